@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, Window, WindowSpec
@@ -45,7 +46,17 @@ class Frame:
         return self.full(n, F.stddev_pop(x), x)
 
     def quantile(self, x: Column, n: int, p: float) -> Column:
-        return self.full(n, F.percentile(x, F.lit(p)), x)
+        """Quantile with linear interpolation, from the sorted window."""
+        return self.rows(x, n, lambda v: sorted_quantile(F.sort_array(v), n, p))
+
+    def weighted(self, x: Column, n: int) -> Column:
+        """Linearly weighted mean: the newest value weighs n.
+
+        The weights come from the position inside the block, so the sums stay small.
+        """
+        frame, place = self.last(n), F.col("_place")
+        moment = F.sum(x * place).over(frame) - (place - n) * F.sum(x).over(frame)
+        return F.when(F.count(x).over(frame) == n, moment / (n * (n + 1) / 2.0))
 
     def skew(self, x: Column, n: int) -> Column:
         """Bias-corrected skewness; NULL for a constant window."""
@@ -71,41 +82,41 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
-def weighted_mean(values: Column, n: int) -> Column:
-    """Linearly weighted mean of an n-array: the newest value weighs n."""
-    weighted = F.transform(values, lambda v, i: v * (i + F.lit(1)))
-    return F.aggregate(weighted, F.lit(0.0), lambda a, v: a + v) / F.lit(n * (n + 1) / 2.0)
-
+def sorted_quantile(values: Column, n: int, p: float) -> Column:
+    """Linear-interpolated quantile of an ascending n-array."""
+    place = p * (n - 1)
+    low = min(math.floor(place), n - 2)
+    a, b = F.get(values, F.lit(low)), F.get(values, F.lit(low + 1))
+    return a + (b - a) * (place - low)
+
+
+def mean_up_to(values: Column, limit: Column) -> Column:
+    """Mean of the array's values that do not exceed the limit."""
+    start = F.struct(limit.alias("top"), F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    return F.aggregate(
+        values,
+        start,
+        lambda m, x: F.when(
+            x <= m.top, F.struct(m.top.alias("top"), (m.s + x).alias("s"), (m.n + 1).alias("n"))
+        ).otherwise(m),
+        lambda m: F.try_divide(m.s, m.n),
+    )
 
-def total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
 
+def mean_gap(values: Column, centre: Column, n: int) -> Column:
+    """Mean absolute distance of an n-array from the centre."""
+    start = F.struct(centre.alias("c"), F.lit(0.0).alias("s"))
+    return F.aggregate(
+        values,
+        start,
+        lambda m, x: F.struct(m.c.alias("c"), (m.s + F.abs(x - m.c)).alias("s")),
+        lambda m: m.s / n,
+    )
 
-def hurst(values: Column, n: int, lags: range) -> Column:
-    """Twice the log-log slope of the spread of lagged differences, positional."""
-    import math
 
+def log_slope_weights(lags: list[int]) -> list[float]:
+    """Weights that turn values at the lags into their least-squares slope on log(lag)."""
     xs = [math.log(lag) for lag in lags]
-    mean_x = sum(xs) / len(xs)
-    norm = sum((x - mean_x) ** 2 for x in xs)
-    weights = F.array(*[F.lit((x - mean_x) / norm) for x in xs])
-
-    def spread(lag: Column) -> Column:
-        size = F.lit(n) - lag
-        later = F.slice(values, lag + 1, size)
-        diffs = F.zip_with(later, F.slice(values, F.lit(1), size), lambda b, a: b - a)
-        moments = F.aggregate(
-            diffs,
-            F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
-            lambda m, d: F.struct((m.s + d).alias("s"), (m.q + d * d).alias("q")),
-        )
-        count = size.cast("double")
-        return (moments.q - moments.s * moments.s / count) / count
-
-    lag_array = F.array(*[F.lit(lag) for lag in lags])
-    variances = F.transform(lag_array, spread)
-    logs = F.transform(variances, lambda v: F.when(v > 1e-20, F.ln(v) / 2))
-    slope = F.aggregate(
-        F.zip_with(logs, weights, lambda v, w: v * w), F.lit(0.0), lambda a, v: a + v
-    )
-    return slope * 2
+    mean = sum(xs) / len(xs)
+    norm = sum((x - mean) ** 2 for x in xs)
+    return [(x - mean) / norm for x in xs]

@@ -55,15 +55,19 @@ def lay_out(numbered: DataFrame, block_rows: int, back: int = 0, ahead: int = 0)
         raise ValueError(f"a block of {block_rows} rows cannot look {max(back, ahead)} rows away")
     home = F.floor(F.col("rn") / F.lit(block_rows)).cast("long")
     place = F.col("rn") % F.lit(block_rows)
+    # Window work is bound by cores, not bytes: a fixed number of tasks is not merged again.
+    tasks = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if not back and not ahead:
-        return numbered.withColumn("blk", home)
+        return numbered.withColumn("blk", home).repartition(tasks, "symbol", "blk")
     none = F.lit(None).cast("long")
     targets = [home]
     if back:
         targets.append(F.when(place >= block_rows - back, home + 1).otherwise(none))
     if ahead:
         targets.append(F.when((place < ahead) & (home > 0), home - 1).otherwise(none))
-    return numbered.withColumn("blk", F.explode(F.array_compact(F.array(*targets))))
+    return numbered.withColumn("blk", F.explode(F.array_compact(F.array(*targets)))).repartition(
+        tasks, "symbol", "blk"
+    )
 
 
 def own_row(block_rows: int) -> Column:

@@ -110,9 +110,12 @@ def _ema(name, n):
     return ema_of("close", n, name)
 
 
+_win("_place", "rn", 0, lambda w: F.row_number().over(w.ordered))
+
+
 @_family(r"wma_(\d+)")
 def _wma(name, n):
-    return Feature(name, ("close",), lambda w: w.rows(C("close"), n, lambda v: R.weighted_mean(v, n)), n - 1, True)
+    return Feature(name, ("close", "_place"), lambda w: w.weighted(C("close"), n), n - 1, True)
 
 
 @_family(r"_hull_(\d+)")
@@ -123,7 +126,7 @@ def _hull(name, n):
 @_family(r"hma_(\d+)")
 def _hma(name, n):
     x, m = f"_hull_{n}", math.isqrt(n)
-    return Feature(name, (x,), lambda w: w.rows(C(x), m, lambda v: R.weighted_mean(v, m)), m - 1, True)
+    return Feature(name, (x, "_place"), lambda w: w.weighted(C(x), m), m - 1, True)
 
 
 _scan("ewma_30", Scan("close", lam=29 / 31, gain=2 / 31))
@@ -323,15 +326,21 @@ _win("stoch_d", "_slow_k", 2, lambda w: w.mean(C("_slow_k"), 3))
 _row("stoch_k", "_slow_k rn", lambda: F.when(C("rn") >= 17, C("_slow_k")))
 
 
+@_family(r"_tp_mean_(\d+)")
+def _tp_mean(name, n):
+    return sma_of("_tp", n, name)
+
+
 @_family(r"cci_(\d+)")
 def _cci(name, n):
-    def value(v):
-        mean = R.total(v) / n
-        spread = R.total(F.transform(v, lambda x: F.abs(x - mean))) / n
-        gap = F.element_at(v, n) - mean
+    centre = C(f"_tp_mean_{n}")
+    gap = C("_tp") - centre
+
+    def make(w):
+        spread = w.rows(C("_tp"), n, lambda v: R.mean_gap(v, centre, n))
         return F.when((gap == 0) | (spread == 0), 0.0).otherwise(ratio(gap, 0.015 * spread))
 
-    return Feature(name, ("_tp",), lambda w: w.rows(C("_tp"), n, value), n - 1, True)
+    return Feature(name, ("_tp", f"_tp_mean_{n}"), make, n - 1, True)
 
 
 _win("_up_move", "high", 1, lambda w: C("high") - w.lag("high"))
@@ -469,12 +478,11 @@ _win("volume_kurtosis", "tick_volume", 29, lambda w: w.kurt(C("tick_volume"), 30
 
 
 def _tail_mean(v):
-    worst = F.filter(v, lambda x: x <= C("_tail_limit"))
-    return ratio(R.total(worst), F.size(worst))
+    ordered = F.sort_array(v)
+    return R.mean_up_to(ordered, R.sorted_quantile(ordered, 100, 0.05))
 
 
-_win("_tail_limit", "log_ret", 99, lambda w: w.quantile(C("log_ret"), 100, 0.05))
-_win("es_95", "log_ret _tail_limit", 99, lambda w: w.rows(C("log_ret"), 100, _tail_mean))
+_win("es_95", "log_ret", 99, lambda w: w.rows(C("log_ret"), 100, _tail_mean))
 _win("var_95", "log_ret", 19, lambda w: w.quantile(C("log_ret"), 20, 0.05))
 
 
@@ -499,12 +507,24 @@ def _ulcer(name, n):
 
 
 _row("ulcer_index", "_ulcer_252", lambda: C("_ulcer_252"))
-_win(
-    "hurst_30",
-    "close",
-    29,
-    lambda w: w.rows(C("close"), 30, lambda v: R.hurst(v, 30, range(2, 20))),
-)
+HURST_LAGS = list(range(2, 20))
+
+
+@_family(r"_step_(\d+)")
+def _step(name, n):
+    return Feature(name, ("close",), lambda w: C("close") - w.lag("close", n), n, True)
+
+
+def _hurst(w):
+    # The differences of lag L inside a 30-row window are those of its last 30 - L rows.
+    total = F.lit(0.0)
+    for lag, weight in zip(HURST_LAGS, R.log_slope_weights(HURST_LAGS)):
+        spread = w.std_pop(C(f"_step_{lag}"), 30 - lag)
+        total = total + F.when(spread > 1e-12, F.ln(spread)) * (2 * weight)
+    return total
+
+
+_win("hurst_30", " ".join(f"_step_{lag}" for lag in HURST_LAGS), 27, _hurst)
 
 
 def _dickey_fuller(w):

@@ -17,6 +17,9 @@ def local_session(cores: int | str = "*", app: str = "barweave", **conf: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        # Wide feature plans hold thousands of expressions; do not record a call site for each.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
