@@ -27,7 +27,8 @@ feature_query("bollinger", "bb_upper21 bb_lower21 bb_upper9 bb_lower9 bb_upper50
 feature_query("bollinger_width", "bb_width bollinger_percent_b")
 feature_query("keltner", "keltner_upper keltner_lower keltner_break")
 feature_query("ichimoku", "ichi_conversion ichi_base ichi_leading_span_a ichi_leading_span_b")
-feature_query("vwap", "vwap")
+# Means of two-decimal prices often end on a tie at six decimals.
+feature_query("vwap", "vwap", digits=9)
 feature_query("vwap_rolling", "vwap_20")
 feature_query("rolling_extremes", "rolling_max_20 rolling_min_20")
 feature_query("sma_difference", "sma_diff_9_21 sma_diff_50_200")

@@ -10,8 +10,8 @@ HOUR = 3600
 ORACLE: dict[str, str] = {}
 
 
-def rounded(expression: str, name: str) -> str:
-    return f"round(CAST({expression} AS DOUBLE), 6) + 0.0 AS {name}"
+def rounded(expression: str, name: str, digits: int = 6) -> str:
+    return f"round(CAST({expression} AS DOUBLE), {digits}) + 0.0 AS {name}"
 
 
 def bar_table(name: str, seconds: int = HOUR, symbol: str = "event_type") -> str:
@@ -60,10 +60,12 @@ def recursion(name: str, source: str, start: int, first: dict[str, str], step: d
         SELECT b.symbol, b.rn, {s} FROM {name} p JOIN {source} b ON b.symbol = p.symbol AND b.rn = p.rn + 1)"""
 
 
-def select(columns: dict[str, str], source: str = "n", tables: list[str] = (), where: str = "") -> str:
+def select(
+    columns: dict[str, str], source: str = "n", tables: list[str] = (), where: str = "", digits: int = 6
+) -> str:
     """A query on numbered bars: symbol, time in epoch seconds, rounded columns."""
     parts = ",\n    ".join([bar_table("bars"), NUMBERED, *tables])
-    shown = ", ".join(rounded(e, c) for c, e in columns.items())
+    shown = ", ".join(rounded(e, c, digits) for c, e in columns.items())
     return f"""WITH RECURSIVE {parts}
     SELECT symbol, epoch(time)::BIGINT AS time, {shown} FROM {source} {where}"""
 
@@ -142,7 +144,7 @@ ORACLE["ichimoku"] = select(
         "ichi_leading_span_b": middle(52),
     }
 )
-ORACLE["vwap"] = select({"vwap": f"sum(close * tick_volume) {CUM} / sum(tick_volume) {CUM}"})
+ORACLE["vwap"] = select({"vwap": f"sum(close * tick_volume) {CUM} / sum(tick_volume) {CUM}"}, digits=9)
 ORACLE["vwap_rolling"] = select(
     {"vwap_20": f"{full(20, 'sum(close * tick_volume)', 'close')} / sum(tick_volume) {over(20)}"}
 )
@@ -664,7 +666,7 @@ ORACLE["ledger_closed_at_end"] = book_query(_END_SIGNALS, _BOOK_COLUMNS)
 ORACLE["trades"] = book_query(
     _LABEL_SIGNALS,
     f"""SELECT symbol, trade_id::BIGINT AS trade_id, epoch(min(time))::BIGINT AS open_time,
-        epoch(max(CASE WHEN closes THEN time END))::BIGINT AS close_time, max(side)::BIGINT AS side,
+        {rounded("epoch(max(CASE WHEN closes THEN time END))", "close_time")}, max(side)::BIGINT AS side,
         {rounded("max(entry_price)", "entry_price")}, {rounded("max(exit_price)", "exit_price")},
         {rounded("count(*) - 1", "bars_held")}, {rounded("sum(pnl)", "pnl")}
         FROM book WHERE trade_id IS NOT NULL GROUP BY symbol, trade_id""",

@@ -193,7 +193,7 @@ def _trades(spark, sf_dir):
         "symbol",
         "trade_id",
         F.unix_timestamp("open_time").alias("open_time"),
-        F.unix_timestamp("close_time").alias("close_time"),
+        rounded(F.unix_timestamp("close_time")).alias("close_time"),
         F.col("side").cast("long").alias("side"),
         *[rounded(c).alias(c) for c in ("entry_price", "exit_price", "bars_held", "pnl")],
     )

@@ -131,13 +131,16 @@ def _hma(name, n):
 
 _scan("ewma_30", Scan("close", lam=29 / 31, gain=2 / 31))
 _scan("_ewm_volatility", Scan("volatility", lam=29 / 31, gain=1.0))
-_row(
-    "vol_cluster",
-    "volatility _ewm_volatility rn",
-    lambda: (
-        C("volatility") > C("_ewm_volatility") / ((1 - F.pow(F.lit(29 / 31), C("rn") + 1)) / F.lit(1 - 29 / 31))
-    ).cast("int"),
-)
+
+
+def _vol_cluster():
+    weights = (1 - F.pow(F.lit(29 / 31), C("rn") + 1)) / F.lit(1 - 29 / 31)
+    mean = C("_ewm_volatility") / weights
+    # A first or constant value equals its own mean; rounding must not tell them apart.
+    return (C("volatility") - mean > 1e-12 * mean).cast("int")
+
+
+_row("vol_cluster", "volatility _ewm_volatility rn", _vol_cluster)
 
 
 @_family(r"bb_(upper|lower)(\d+)")

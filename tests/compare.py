@@ -24,9 +24,8 @@ def connect(sf: str) -> duckdb.DuckDBPyConnection:
 def canonical(table: pd.DataFrame) -> pd.DataFrame:
     table = table[sorted(table.columns)].copy()
     for c in table.columns:
-        table[c] = table[c].astype(object).where(table[c].notna(), None).map(
-            lambda v: None if v is None else (v if isinstance(v, str) else float(v))
-        )
+        if pd.api.types.is_numeric_dtype(table[c]) or pd.api.types.is_bool_dtype(table[c]):
+            table[c] = table[c].astype("float64")
     keys = [c for c in ("symbol", "time", "event_id", "order_id", "trade_id") if c in table.columns]
     rest = [c for c in table.columns if c not in keys]
     return table.sort_values(keys + rest, na_position="first", ignore_index=True)
@@ -44,7 +43,11 @@ def difference(mine: pd.DataFrame, theirs: pd.DataFrame) -> str | None:
         return f"types {odd}"
     a, b = canonical(mine), canonical(theirs)
     for c in a.columns:
-        bad = [(i, x, y) for i, (x, y) in enumerate(zip(a[c], b[c])) if x != y]
+        bad = [
+            (i, x, y)
+            for i, (x, y) in enumerate(zip(a[c], b[c]))
+            if x != y and not (pd.isna(x) and pd.isna(y))
+        ]
         if bad:
             return f"{c}: {len(bad)} differ, first {bad[:3]}"
     return None
