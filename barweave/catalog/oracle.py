@@ -10,8 +10,9 @@ HOUR = 3600
 ORACLE: dict[str, str] = {}
 
 
-def rounded(expression: str, name: str, digits: int = 6) -> str:
-    return f"round(CAST({expression} AS DOUBLE), {digits}) + 0.0 AS {name}"
+def rounded(expression: str, name: str) -> str:
+    """Six decimals and no negative zero; exact ties go up."""
+    return f"round(CAST({expression} AS DOUBLE) + 3e-10, 6) + 0.0 AS {name}"
 
 
 def bar_table(name: str, seconds: int = HOUR, symbol: str = "event_type") -> str:
@@ -60,12 +61,10 @@ def recursion(name: str, source: str, start: int, first: dict[str, str], step: d
         SELECT b.symbol, b.rn, {s} FROM {name} p JOIN {source} b ON b.symbol = p.symbol AND b.rn = p.rn + 1)"""
 
 
-def select(
-    columns: dict[str, str], source: str = "n", tables: list[str] = (), where: str = "", digits: int = 6
-) -> str:
+def select(columns: dict[str, str], source: str = "n", tables: list[str] = (), where: str = "") -> str:
     """A query on numbered bars: symbol, time in epoch seconds, rounded columns."""
     parts = ",\n    ".join([bar_table("bars"), NUMBERED, *tables])
-    shown = ", ".join(rounded(e, c, digits) for c, e in columns.items())
+    shown = ", ".join(rounded(e, c) for c, e in columns.items())
     return f"""WITH RECURSIVE {parts}
     SELECT symbol, epoch(time)::BIGINT AS time, {shown} FROM {source} {where}"""
 
@@ -144,7 +143,7 @@ ORACLE["ichimoku"] = select(
         "ichi_leading_span_b": middle(52),
     }
 )
-ORACLE["vwap"] = select({"vwap": f"sum(close * tick_volume) {CUM} / sum(tick_volume) {CUM}"}, digits=9)
+ORACLE["vwap"] = select({"vwap": f"sum(close * tick_volume) {CUM} / sum(tick_volume) {CUM}"})
 ORACLE["vwap_rolling"] = select(
     {"vwap_20": f"{full(20, 'sum(close * tick_volume)', 'close')} / sum(tick_volume) {over(20)}"}
 )
@@ -617,8 +616,9 @@ _END_SIGNALS = [
 ]
 
 
-def book(signals: list[str]) -> list[str]:
+def book(signals: list[str], stake: int = 20000, exits: int = 2) -> list[str]:
     """The position machine, one bar at a time, and the money that follows from it."""
+    mark = f"(close - side * {0.025 * min(exits, 1)})"
     held = "CASE WHEN b.reset THEN 0 ELSE least(1, greatest(-1, p.st + b.s)) END"
     return [
         *signals,
@@ -637,23 +637,24 @@ def book(signals: list[str]) -> list[str]:
         ),
         "k AS (SELECT *, was = 0 AND st <> 0 AS opens, was <> 0 AND st = 0 AS closes, "
         "CASE WHEN was <> 0 AND st = 0 THEN was ELSE st END AS side FROM q JOIN pos USING (symbol, rn))",
-        "m AS (SELECT *, CASE WHEN closes THEN 20000 / entry * side * (close - 2 * side * 0.025 - entry) ELSE 0 END AS pnl FROM k)",
-        """book AS (SELECT symbol, time, close, pnl, opens, closes, side, CASE WHEN side = 0 THEN 'Sem Operação'
+        f"m AS (SELECT *, CASE WHEN closes THEN {stake} / entry * side * (close - {exits} * side * 0.025 - entry) ELSE 0 END AS pnl FROM k)",
+        f"""book AS (SELECT symbol, time, close, pnl, opens, closes, side, CASE WHEN side = 0 THEN 'Sem Operação'
             WHEN opens THEN CASE WHEN side = 1 THEN 'Compra' ELSE 'Venda' END
             WHEN closes AND reset THEN 'Fechado Horário'
             WHEN closes THEN CASE WHEN side = 1 THEN 'Reversão Long' ELSE 'Reversão Short' END
             WHEN side = 1 THEN 'Comprado' ELSE 'Vendido' END AS state,
             CASE WHEN opens THEN entry END AS entry_price,
-            CASE WHEN closes THEN close - side * 0.025 END AS exit_price,
-            pnl / 20000 * 100 AS result_pct,
+            CASE WHEN closes THEN {mark} END AS exit_price,
+            pnl / {stake} * 100 AS result_pct,
             CASE WHEN side = 0 THEN NULL WHEN opens THEN 0 WHEN closes THEN pnl
-                ELSE 20000 / entry * side * (close - side * 0.025 - entry) END AS running_pnl,
+                ELSE {stake} / entry * side * ({mark} - entry) END AS running_pnl,
             CASE WHEN side <> 0 THEN id END AS trade_id FROM m)""",
     ]
 
 
-def book_query(signals: list[str], query: str) -> str:
-    return "WITH RECURSIVE " + ",\n    ".join([bar_table("bars"), NUMBERED, *book(signals)]) + "\n    " + query
+def book_query(signals: list[str], query: str, **terms: int) -> str:
+    tables = [bar_table("bars"), NUMBERED, *book(signals, **terms)]
+    return "WITH RECURSIVE " + ",\n    ".join(tables) + "\n    " + query
 
 
 _BOOK_COLUMNS = "SELECT symbol, epoch(time)::BIGINT AS time, state, " + ", ".join(
@@ -723,3 +724,53 @@ ORACLE["results_table"] = book_query(
     f"SELECT symbol, wins, losses, {_SUMMARY_NAMES}, {_CLOSED_NAMES} "
     f"FROM {_SUMMARY} LEFT JOIN {_CLOSED_STATS} USING (symbol)",
 )
+
+# --- learning -------------------------------------------------------------------------------
+
+_BASE = [bar_table("bars"), NUMBERED]
+_FEATURED = f"ft AS (SELECT symbol, time, {mean(9, 'close')} AS s, (close / lag(close, 5) OVER {W} - 1) * 100 AS o, lead(close, 9) OVER {W} AS later FROM n)"
+ORACLE["imputed_scaled_features"] = select(
+    {
+        "sma_9": "(s - avg(s) OVER ()) / stddev_pop(s) OVER ()",
+        "roc_5": "(o - avg(o) OVER ()) / stddev_pop(o) OVER ()",
+    },
+    "filled",
+    [
+        _FEATURED,
+        "kept AS (SELECT * FROM ft WHERE later IS NOT NULL)",
+        "filled AS (SELECT symbol, time, coalesce(s, avg(s) OVER ()) AS s, coalesce(o, avg(o) OVER ()) AS o FROM kept)",
+    ],
+)
+ORACLE["stratified_split"] = (
+    "WITH "
+    + ", ".join([*_BASE, *_LABELS])
+    + " SELECT target::BIGINT AS target, round(count(*) * 0.3)::BIGINT AS test_rows, count(*) AS all_rows FROM lab GROUP BY 1"
+)
+ORACLE["ordered_split"] = (
+    "WITH "
+    + ", ".join([*_BASE, *_LABELS])
+    + f""", o AS (SELECT symbol, time, row_number() OVER {W} - 1 >= count(*) OVER (PARTITION BY symbol)
+            - round(count(*) OVER (PARTITION BY symbol) * 0.3) AS t FROM lab)
+    SELECT symbol, count_if(t)::BIGINT AS test_rows, epoch(min(CASE WHEN t THEN time END))::BIGINT AS first_test
+    FROM o GROUP BY 1"""
+)
+
+# --- streams --------------------------------------------------------------------------------
+
+ORACLE["stream_bars"] = (
+    "WITH "
+    + bar_table("bars", 300)
+    + " SELECT symbol, epoch(time)::BIGINT AS time, "
+    + ", ".join(rounded(c, c) for c in _PRICES)
+    + " FROM bars WHERE time + INTERVAL 15 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM events)"
+)
+ORACLE["stream_positions"] = book_query(
+    _SESSION_SIGNALS,
+    "SELECT symbol, epoch(time)::BIGINT AS time, state, "
+    + ", ".join(rounded(c, c) for c in ("entry_price", "exit_price", "pnl"))
+    + f", {rounded('sum(pnl) ' + CUM, 'realized_pnl')}, "
+    + rounded("CASE WHEN state IN ('Comprado', 'Vendido') THEN running_pnl ELSE 0 END", "unrealized_pnl")
+    + f", {rounded('trade_id', 'trade_id')} FROM book",
+    stake=2000,
+    exits=0,
+)

@@ -40,19 +40,17 @@ def bars(spark: SparkSession, sf_dir: str, seconds: int = HOUR, market: str | No
     return bars_from_ticks(ticks(spark, sf_dir), seconds, market)
 
 
-def rounded(c: Column | str, digits: int = 6) -> Column:
-    """Fixed decimals, and no negative zero."""
+def rounded(c: Column | str) -> Column:
+    """Fixed decimals and no negative zero; exact ties, common in means of prices, go up."""
     c = F.col(f"`{c}`") if isinstance(c, str) else c
-    return F.round(c.cast("double"), digits) + F.lit(0.0)
+    return F.round(c.cast("double") + F.lit(3e-10), 6) + F.lit(0.0)
 
 
-def shown(
-    df: DataFrame, names: list[str], rename: dict[str, str] | None = None, digits: int = 6
-) -> DataFrame:
+def shown(df: DataFrame, names: list[str], rename: dict[str, str] | None = None) -> DataFrame:
     """symbol, time as epoch seconds, and the rounded columns."""
     rename = rename or {}
     return df.select(
-        "symbol", F.unix_timestamp("time").alias("time"), *[rounded(n, digits).alias(rename.get(n, n)) for n in names]
+        "symbol", F.unix_timestamp("time").alias("time"), *[rounded(n).alias(rename.get(n, n)) for n in names]
     )
 
 
@@ -69,11 +67,11 @@ PLAIN = {
 }
 
 
-def feature_query(name: str, columns: str, seconds: int = HOUR, digits: int = 6) -> None:
+def feature_query(name: str, columns: str, seconds: int = HOUR) -> None:
     """Register a query that shows feature columns of the bars."""
     names = columns.split()
     QUERIES[name] = lambda spark, sf_dir: shown(
-        features(bars(spark, sf_dir, seconds), names, seconds), names, PLAIN, digits
+        features(bars(spark, sf_dir, seconds), names, seconds), names, PLAIN
     )
 
 
