@@ -768,7 +768,7 @@ ORACLE["stream_positions"] = book_query(
     _SESSION_SIGNALS,
     "SELECT symbol, epoch(time)::BIGINT AS time, state, "
     + ", ".join(rounded(c, c) for c in ("entry_price", "exit_price", "pnl"))
-    + f", {rounded('sum(pnl) ' + CUM, 'realized_pnl')}, "
+    + ", "
     + rounded("CASE WHEN state IN ('Comprado', 'Vendido') THEN running_pnl ELSE 0 END", "unrealized_pnl")
     + f", {rounded('trade_id', 'trade_id')} FROM book",
     stake=2000,

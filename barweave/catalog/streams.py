@@ -12,7 +12,7 @@ from barweave.catalog.trading import PRICES, labelled
 from barweave.plans.features import features
 from barweave.session import shared_dir
 from barweave.streaming.bars import bar_stream
-from barweave.streaming.live import read_signals, score_bars, trading_hours, write_stream
+from barweave.streaming.live import position_batches, read_signals, score_bars, trading_hours, write_stream
 from barweave.streaming.positions import alerts, position_stream
 
 ONCE = {"availableNow": True}
@@ -50,8 +50,9 @@ def _positions(spark, sf_dir):
     folder = new_folder(spark)
     signals = labelled(spark, sf_dir).select("symbol", "time", "close", F.col("target").alias("signal"))
     signals.write.parquet(f"{folder}/signals")
-    table = finished(position_stream(read_signals(spark, folder)), folder, "positions")
-    numbers = ["entry_price", "exit_price", "pnl", "realized_pnl", "unrealized_pnl", "trade_id"]
+    position_batches(read_signals(spark, folder), folder, HOUR, trigger=ONCE).awaitTermination()
+    table = spark.read.parquet(f"{folder}/positions")
+    numbers = ["entry_price", "exit_price", "pnl", "unrealized_pnl", "trade_id"]
     return table.select(
         "symbol", F.unix_timestamp("time").alias("time"), "state", *[rounded(c).alias(c) for c in numbers]
     )
@@ -67,4 +68,5 @@ def _alerts(spark, sf_dir):
     folder = new_folder(spark)
     bars = bar_stream(tick_stream(spark, sf_dir), HOUR)
     score_bars(trading_hours(bars), folder, crossing_signal, HOUR, trigger=ONCE).awaitTermination()
-    return finished(alerts(position_stream(read_signals(spark, folder))), folder, "alerts")
+    stream = position_stream(read_signals(spark, folder))
+    return finished(alerts(stream), folder, "alerts")

@@ -45,12 +45,18 @@ def ledger(
 ) -> DataFrame:
     """One row per bar of signals(symbol, time, close, signal), with state and profit.
 
+    A boolean column `reset` in the signals marks bars that close whatever their signal is.
+
     exit_spreads: how often the spread is taken at the exit: 2 in the back-test, 0 live.
     close_at: local time of day whose first bar closes an open position.
     close_at_end: close an open position on the last bar of a symbol.
     """
-    numbered = number_rows(signals.select("symbol", "time", "close", "signal"), bar_seconds)
-    if close_at is None:
+    given = "reset" in signals.columns
+    columns = ["symbol", "time", "close", "signal", *(["reset"] if given else [])]
+    numbered = number_rows(signals.select(*columns), bar_seconds)
+    if given:
+        rows = numbered
+    elif close_at is None:
         rows = numbered.withColumn("reset", F.lit(False))
     else:
         rows = features(numbered, ["reset"], bar_seconds, own=[closing_bar(close_at, time_zone)])

@@ -1,7 +1,9 @@
 """The live job: ticks to bars, bars to scores, scores to positions, all symbols at once.
 
-Two streaming queries meet in a table of scored bars, so each keeps its own checkpoint and can
-be restarted alone.
+The streaming queries meet in a table of scored bars, so each keeps its own checkpoint and can
+be restarted alone. Positions can be kept per symbol (`positions.position_stream`, for live
+triggers with few bars per symbol) or per batch with the block-wise ledger (`position_batches`,
+for catching up on a long past, where one symbol may fill most of a batch).
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from barweave import schema as S
-from barweave.operators.ledger import local_clock
+from barweave.operators.ledger import closing_bar, ledger, local_clock
+from barweave.plans.features import features
 from barweave.sources.bars import last_rows
 
 TRIGGER = {"processingTime": "5 minutes"}
@@ -27,6 +30,20 @@ def trading_hours(
     return df.where(local_clock("time", time_zone).between(start, end))
 
 
+def rewrite(df: DataFrame, path: str) -> DataFrame:
+    """Write over the folder, and read it back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_if_there(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """The table, or None before its first write."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return None
+    return spark.read.schema(schema).parquet(path)
+
+
 def score_bars(
     bars: DataFrame,
     folder: str,
@@ -37,24 +54,22 @@ def score_bars(
 ) -> StreamingQuery:
     """Append closed bars to `folder`/bars and their signals to `folder`/signals.
 
-    score(bars) returns (symbol, time, close, signal) for the last `history` bars of each
-    symbol, computed with the batch code; the rows of the new bars are kept. A batch that runs
-    again overwrites its own folders, so nothing is written twice.
+    score(bars) returns (symbol, time, close, signal) for the new bars and the `history` bars
+    of each symbol before them, computed with the batch code; the rows of the new bars are
+    kept. `folder`/recent holds those last bars, so a batch never reads the whole past.
+    A batch that runs again overwrites its own folders, so nothing is written twice.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{folder}/bars/batch={batch_id}")
-        new = spark.read.schema(batch.schema).parquet(f"{folder}/bars/batch={batch_id}")
-        sizes = new.groupBy("symbol").agg(F.count(F.lit(1)).alias("_new"), F.min("time").alias("_from"))
-        if sizes.isEmpty():
-            return
-        most = sizes.agg(F.max("_new")).first()[0]
-        seen = spark.read.schema(batch.schema).option("recursiveFileLookup", True).parquet(f"{folder}/bars")
-        recent = last_rows(seen, history + most, bar_seconds)
-        scored = score(recent).join(sizes, "symbol").where(F.col("time") >= F.col("_from"))
-        signals = scored.select("symbol", "time", "close", F.coalesce("signal", F.lit(0)).cast("int").alias("signal"))
-        signals.write.mode("overwrite").parquet(f"{folder}/signals/batch={batch_id}")
+        new = rewrite(batch, f"{folder}/bars/batch={batch_id}")
+        before = read_if_there(spark, f"{folder}/recent/batch={batch_id - 1}", batch.schema)
+        known = new if before is None else before.unionByName(new)
+        rewrite(last_rows(known, history, bar_seconds), f"{folder}/recent/batch={batch_id}")
+        firsts = new.groupBy("symbol").agg(F.min("time").alias("_from"))
+        fresh = score(known).join(firsts, "symbol").where(F.col("time") >= F.col("_from"))
+        signal = F.coalesce("signal", F.lit(0)).cast("int").alias("signal")
+        rewrite(fresh.select("symbol", "time", "close", signal), f"{folder}/signals/batch={batch_id}")
 
     return (
         bars.writeStream.foreachBatch(one_batch)
@@ -82,3 +97,106 @@ def write_stream(df: DataFrame, folder: str, name: str, trigger: dict | None = N
         .trigger(**(trigger or TRIGGER))
         .start()
     )
+
+
+CARRY = (
+    "symbol string, last_time timestamp, last_close double, side int, open_time timestamp, "
+    "open_close double, trades long, realized double"
+)
+
+
+def position_batches(
+    signals: DataFrame,
+    folder: str,
+    bar_seconds: int,
+    spread: float = S.SPREAD,
+    trade_value: float = S.LIVE_TRADE_VALUE,
+    leverage: float = S.LEVERAGE,
+    close_at: str | None = S.CLOSE_AT,
+    time_zone: str = S.TIME_ZONE,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Positions of a stream of signals in `folder`/positions, by the batch ledger.
+
+    Between batches only one row per symbol is kept: its last bar, the opening bar of an open
+    trade, the number of trades and the profit so far. The opening bar, put before the new
+    bars, brings the ledger into the state it had.
+    """
+
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = rewrite(
+            batch.select("symbol", "time", "close", F.col("signal").cast("int").alias("signal")),
+            f"{folder}/new/batch={batch_id}",
+        )
+        carry = read_if_there(spark, f"{folder}/carry/batch={batch_id - 1}", CARRY)
+        if carry is None:
+            carry = spark.createDataFrame([], CARRY)
+        rows = new.withColumn("reset", F.lit(False))
+        if close_at is not None:
+            # The bar before the batch tells whether the first new bar is the day's first late one.
+            lasts = carry.select(
+                "symbol", F.col("last_time").alias("time"), F.col("last_close").alias("close"), F.lit(0).alias("signal")
+            )
+            known = lasts.withColumn("old", F.lit(True)).unionByName(new.withColumn("old", F.lit(False)))
+            marked = features(known, ["reset"], bar_seconds, own=[closing_bar(close_at, time_zone)])
+            rows = marked.where(~F.col("old")).select(*rows.columns)
+        openings = carry.where(F.col("side") != 0).select(
+            "symbol",
+            F.col("open_time").alias("time"),
+            F.col("open_close").alias("close"),
+            F.col("side").alias("signal"),
+            F.lit(False).alias("reset"),
+        )
+        book = ledger(
+            openings.unionByName(rows), bar_seconds, spread, trade_value, leverage, exit_spreads=0
+        ).join(carry, "symbol", "left")
+        held = F.coalesce("side", F.lit(0)) != 0
+        earlier = F.coalesce("trades", F.lit(0)) - held.cast("int")
+        moved = book.select(
+            *[c for c in ("symbol", "time", "close", "signal", "state", "entry_price", "exit_price", "pnl")],
+            F.when(F.col("state").isin(S.HOLD_LONG, S.HOLD_SHORT), F.col("running_pnl")).otherwise(0.0).alias("unrealized_pnl"),
+            (F.col("trade_id") + earlier).alias("trade_id"),
+            (F.coalesce(F.col("time") <= F.col("last_time"), F.lit(False))).alias("old"),
+        )
+        moved = rewrite(moved, f"{folder}/moved/batch={batch_id}")
+        rewrite(moved.where(~F.col("old")).drop("old"), f"{folder}/positions/batch={batch_id}")
+        rewrite(_next_carry(moved, carry), f"{folder}/carry/batch={batch_id}")
+
+    return (
+        signals.writeStream.foreachBatch(one_batch)
+        .option("checkpointLocation", f"{folder}/checkpoint-positions")
+        .trigger(**(trigger or TRIGGER))
+        .start()
+    )
+
+
+def _next_carry(moved: DataFrame, carry: DataFrame) -> DataFrame:
+    """The row kept per symbol after a batch; symbols without new bars keep theirs."""
+    opened = F.col("state").isin(S.OPEN_LONG, S.OPEN_SHORT)
+    opening = F.struct("time", "close", "state")
+    now = moved.groupBy("symbol").agg(
+        F.max_by(F.struct("time", "close", "state"), "time").alias("_last"),
+        F.max_by(F.when(opened, opening), F.when(opened, F.col("time"))).alias("_open"),
+        F.max("trade_id").alias("_trades"),
+        F.sum("pnl").alias("_realized"),
+    )
+    open_states = [S.OPEN_LONG, S.OPEN_SHORT, S.HOLD_LONG, S.HOLD_SHORT]
+    side = F.when(~F.col("_last.state").isin(open_states), 0).when(
+        F.col("_last.state").isin(S.OPEN_LONG, S.HOLD_LONG), 1
+    ).otherwise(-1)
+    touched = F.col("_last").isNotNull()
+
+    def pick(new, old: str):
+        return F.when(touched, new).otherwise(F.col(old)).alias(old)
+
+    return carry.join(now, "symbol", "full").select(
+        "symbol",
+        pick(F.col("_last.time"), "last_time"),
+        pick(F.col("_last.close"), "last_close"),
+        pick(side, "side"),
+        pick(F.col("_open.time"), "open_time"),
+        pick(F.col("_open.close"), "open_close"),
+        F.coalesce("_trades", "trades", F.lit(0)).cast("long").alias("trades"),
+        (F.coalesce("realized", F.lit(0.0)) + F.coalesce("_realized", F.lit(0.0))).alias("realized"),
+    )
