@@ -18,10 +18,11 @@ def read_bars(
     num_candles: int | None = None,
     bar_seconds: int = 300,
     schema: T.StructType = BAR,
+    timeframe: str | None = None,
 ) -> DataFrame:
-    """Bars of the wanted symbols, the newest `num_candles` of each when given.
+    """Bars of the wanted symbols and timeframe, the newest `num_candles` of each when given.
 
-    The symbol filter reaches the scan. A bad request fails before any work; a symbol without
+    The filters reach the scan. A bad request fails before any work; a symbol without
     rows gives no rows.
     """
     if symbols is not None and (
@@ -33,9 +34,12 @@ def read_bars(
     reader = spark.read.schema(schema).format(format)
     if format == "csv":
         reader = reader.option("header", True)
-    bars = missing_to_null(reader.load(path))
+    bars = reader.load(path)
+    if timeframe is not None:
+        bars = bars.where(F.col("timeframe") == timeframe)
     if symbols is not None:
         bars = bars.where(F.col("symbol").isin(symbols))
+    bars = missing_to_null(bars.select(*schema.names))
     return bars if num_candles is None else last_rows(bars, num_candles, bar_seconds)
 
 
