@@ -23,6 +23,22 @@ class Frame:
     def lag(self, x: Column | str, n: int = 1) -> Column:
         return F.lag(x, n).over(self.ordered)
 
+    def span(self, x: str, n: int) -> Column:
+        """Sum of the last n values of column x, once all n are present, in constant time.
+
+        The difference of two running totals of the block (`_run[x]`, `_num[x]`); totals stay
+        small as a block is short, and a run of zeros sums to exactly zero.
+        """
+        return F.when(self.present(x, n), self.since(x, n))
+
+    def since(self, x: str, n: int) -> Column:
+        total = F.col(f"`_run[{x}]`")
+        return total - F.coalesce(self.lag(total, n), F.lit(0))
+
+    def present(self, x: str, n: int) -> Column:
+        number = F.col(f"`_num[{x}]`")
+        return number - F.coalesce(self.lag(number, n), F.lit(0)) == n
+
     def full(self, n: int, value: Column, present: Column) -> Column:
         """`value` (an aggregate) over the last n rows, once all n have `present`."""
         return F.when(F.count(present).over(self.last(n)) == n, value.over(self.last(n)))
@@ -30,9 +46,6 @@ class Frame:
     def mean(self, x: Column, n: int) -> Column:
         return self.full(n, F.avg(x), x)
 
-    def sum(self, x: Column, n: int) -> Column:
-        return self.full(n, F.sum(x), x)
-
     def max(self, x: Column, n: int) -> Column:
         return self.full(n, F.max(x), x)
 

@@ -71,6 +71,21 @@ def resolve(name: str) -> Feature | None:
     return None
 
 
+def _totals(*columns: str) -> tuple[str, ...]:
+    """The running totals `Frame.span` works on."""
+    return tuple(f"_{kind}[{c}]" for c in columns for kind in ("run", "num"))
+
+
+@_family(r"_run\[(.+)\]")
+def _run(name, x):
+    return Feature(name, (x,), lambda w: F.sum(q(x)).over(w.running), 0, True)
+
+
+@_family(r"_num\[(.+)\]")
+def _num(name, x):
+    return Feature(name, (x,), lambda w: F.count(q(x)).over(w.running), 0, True)
+
+
 # --- prices ---------------------------------------------------------------------------------
 
 _row("volatility", "high low", lambda: C("high") - C("low"))
@@ -93,7 +108,7 @@ def _lag(name, column, i):
 
 
 def sma_of(column: str, n: int, name: str) -> Feature:
-    return Feature(name, (column,), lambda w: w.mean(q(column), n), n - 1, True)
+    return Feature(name, _totals(column), lambda w: w.span(column, n) / n, n - 1, True)
 
 
 def ema_of(column: str, n: int, name: str) -> Feature:
@@ -188,8 +203,8 @@ _row("vwap", "_cum_cv _cum_v", lambda: ratio(C("_cum_cv"), C("_cum_v")))
 def _vwap(name, n):
     return Feature(
         name,
-        ("_cv", "tick_volume"),
-        lambda w: ratio(w.sum(C("_cv"), n), w.sum(C("tick_volume"), n)),
+        _totals("_cv", "tick_volume"),
+        lambda w: ratio(w.span("_cv", n), w.span("tick_volume", n)),
         n - 1,
         True,
     )
@@ -386,7 +401,7 @@ def _adx(name, n):
 _row("+DM", "_up_move", lambda: F.when(C("_up_move") > 0, C("_up_move")).otherwise(0.0))
 _row("-DM", "_down_move", lambda: F.when(C("_down_move") > 0, C("_down_move")).otherwise(0.0))
 for _name in ("+DM", "-DM", "TR"):
-    _win(f"{_name}_sum", _name, 13, lambda w, x=_name: w.sum(q(x), 14))
+    _win(f"{_name}_sum", " ".join(_totals(_name)), 13, lambda w, x=_name: w.span(x, 14))
 for _name in ("+", "-"):
     _row(
         f"{_name}VI",
@@ -428,10 +443,10 @@ for _name, _op in (("_flow_up", "gt"), ("_flow_down", "lt")):
 @_family(r"mfi_(\d+)")
 def _mfi(name, n):
     def make(w):
-        up, down = w.sum(C("_flow_up"), n), w.sum(C("_flow_down"), n)
+        up, down = w.span("_flow_up", n), w.span("_flow_down", n)
         return F.when(up + down < 1, 0.0).otherwise(100 * ratio(up, up + down))
 
-    return Feature(name, ("_flow_up", "_flow_down"), make, n - 1, True)
+    return Feature(name, _totals("_flow_up", "_flow_down"), make, n - 1, True)
 
 
 _row(
@@ -448,8 +463,8 @@ _row(
 def _cmf(name, n):
     return Feature(
         name,
-        ("_flow", "tick_volume"),
-        lambda w: ratio(w.sum(C("_flow"), n), w.sum(C("tick_volume"), n)),
+        _totals("_flow", "tick_volume"),
+        lambda w: ratio(w.span("_flow", n), w.span("tick_volume", n)),
         n - 1,
         True,
     )
@@ -470,9 +485,9 @@ _scan("_ad_slow", Scan("_ad_line", lam=9 / 11, gain=2 / 11))
 _row("adl", "_ad_fast _ad_slow rn", lambda: F.when(C("rn") >= 9, C("_ad_fast") - C("_ad_slow")))
 _win(
     "vw_rsi",
-    "rsi_14 tick_volume",
+    "rsi_14 tick_volume " + " ".join(_totals("tick_volume")),
     13,
-    lambda w: ratio(C("rsi_14") * C("tick_volume"), w.mean(C("tick_volume"), 14)),
+    lambda w: ratio(C("rsi_14") * C("tick_volume"), w.span("tick_volume", 14) / 14),
 )
 _win("volume_skew", "tick_volume", 29, lambda w: w.skew(C("tick_volume"), 30))
 _win("volume_kurtosis", "tick_volume", 29, lambda w: w.kurt(C("tick_volume"), 30))
@@ -489,24 +504,31 @@ _win("es_95", "log_ret", 99, lambda w: w.rows(C("log_ret"), 100, _tail_mean))
 _win("var_95", "log_ret", 19, lambda w: w.quantile(C("log_ret"), 20, 0.05))
 
 
-def _omega(w):
-    r = C("log_ret")
-    gains = w.full(30, F.sum(F.when(r > 0, r).otherwise(0.0)), r)
-    losses = w.full(30, F.sum(F.when(r < 0, r).otherwise(0.0)), r)
-    return ratio(gains, -losses)
-
-
-_win("omega_ratio", "log_ret", 29, _omega)
+_row("_won", "log_ret", lambda: positive(C("log_ret")))
+_row("_lost", "log_ret", lambda: positive(-C("log_ret")))
+_win(
+    "omega_ratio",
+    " ".join(_totals("_won", "_lost")),
+    29,
+    lambda w: ratio(w.span("_won", 30), w.span("_lost", 30)),
+)
 _scan("cum_max", Scan("close", kind="max"))
 _row("drawdown", "cum_max close", lambda: ratio(C("cum_max") - C("close"), C("cum_max")))
 _row("max_drawdown", "cum_max close", lambda: C("cum_max") - C("close"))
 
 
+_row("_squared_drawdown", "max_drawdown", lambda: C("max_drawdown") * C("max_drawdown"))
+
+
+@_family(r"_depth_(\d+)")
+def _depth(name, n):
+    return sma_of("_squared_drawdown", n, name)
+
+
 @_family(r"_ulcer_(\d+)")
 def _ulcer(name, n):
-    return Feature(
-        name, ("max_drawdown",), lambda w: F.sqrt(w.mean(C("max_drawdown") * C("max_drawdown"), n)), n - 1, True
-    )
+    x = C(f"_depth_{n}")
+    return Feature(name, (f"_depth_{n}",), lambda w: F.sqrt(F.when(x < 0, 0.0).otherwise(x)))
 
 
 _row("ulcer_index", "_ulcer_252", lambda: C("_ulcer_252"))
@@ -518,16 +540,41 @@ def _step(name, n):
     return Feature(name, ("close",), lambda w: C("close") - w.lag("close", n), n, True)
 
 
-def _hurst(w):
+@_family(r"_square_(\d+)")
+def _square(name, n):
+    return Feature(name, (f"_step_{n}",), lambda w: C(f"_step_{n}") * C(f"_step_{n}"))
+
+
+@_family(r"_turn_(\d+)")
+def _turn(name, n):
+    # Counts changes exactly, as a spread of zero must not be a rounding residue.
+    x = f"_step_{n}"
+    return Feature(name, (x,), lambda w: (C(x) != w.lag(x)).cast("long"), 1, True)
+
+
+@_family(r"_sum_(step|square|turn)_(\d+)")
+def _lag_sum(name, kind, lag):
     # The differences of lag L inside a 30-row window are those of its last 30 - L rows.
-    total = F.lit(0.0)
+    x, n = f"_{kind}_{lag}", 30 - lag - (kind == "turn")
+    return Feature(name, (f"_run[{x}]",), lambda w: w.since(x, n), n - 1, True)
+
+
+def _hurst():
+    result = F.when(C("_complete_30"), F.lit(0.0))
     for lag, weight in zip(HURST_LAGS, R.log_slope_weights(HURST_LAGS)):
-        spread = w.std_pop(C(f"_step_{lag}"), 30 - lag)
-        total = total + F.when(spread > 1e-12, F.ln(spread)) * (2 * weight)
-    return total
+        n = 30 - lag
+        square, total = C(f"_sum_square_{lag}"), C(f"_sum_step_{lag}")
+        variance = (square - total * total / n) / n
+        result = result + F.when(C(f"_sum_turn_{lag}") > 0, F.ln(variance)) * weight
+    return result
 
 
-_win("hurst_30", " ".join(f"_step_{lag}" for lag in HURST_LAGS), 27, _hurst)
+_win("_complete_30", "_num[close]", 29, lambda w: w.present("close", 30))
+_row(
+    "hurst_30",
+    "_complete_30 " + " ".join(f"_sum_{kind}_{lag}" for lag in HURST_LAGS for kind in ("step", "square", "turn")),
+    _hurst,
+)
 
 
 def _dickey_fuller(w):
