@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.catalog.tables import HOUR, bars, query, rounded, shown
+from barweave.catalog.tables import HOUR, MARKET, PLAIN, bars, query, shown, ticks
 from barweave.catalog.trading import labelled
 from barweave.operators import reports
 from barweave.operators.labels import reversal_label
@@ -13,7 +13,9 @@ from barweave.operators.ledger import ledger
 from barweave.operators.split import ordered_split, stratified_split
 from barweave.plans import ml
 from barweave.plans.features import features
+from barweave.schema import MODEL_FEATURES
 from barweave.session import stage
+from barweave.sources.bars import latest_quotes, market_returns
 
 NAMES = "close volatility change_percent sma_9 sma_21 roc_5 rsi_14 close_lag1 volume_profile".split()
 TREES, DEPTH = 10, 6
@@ -53,6 +55,19 @@ def _ordered(spark, sf_dir):
     )
 
 
+@query("model_features")
+def _model_features(spark, sf_dir):
+    from barweave.plans.job import model_table
+
+    table = model_table(
+        bars(spark, sf_dir).withColumn("spread", F.lit(0.025)),
+        HOUR,
+        latest_quotes(ticks(spark, sf_dir), 0.025),
+        market_returns(bars(spark, sf_dir, market=MARKET), HOUR),
+    )
+    return shown(table, MODEL_FEATURES, PLAIN)
+
+
 def _first_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ml.Trained]:
     split = stage(stratified_split(learning_table(spark, sf_dir), "target", 0.7), "split")
     return split, ml.fit(split, NAMES, TREES, DEPTH)
@@ -111,6 +126,3 @@ def _predicted(spark, sf_dir):
     signals = scored.select("symbol", "time", "close", F.col("prediction_class").alias("signal"))
     book = stage(ledger(signals, HOUR), "ledger")
     return reports.results_table(reports.summary(book), reports.closed_trades(book), hits)
-
-
-__all__ = ["learning_table", "rounded"]

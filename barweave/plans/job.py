@@ -9,7 +9,8 @@ from barweave.operators.unit_root import rolling_adf
 from barweave.operators.validate import validate
 from barweave.operators.wavelet import wavelet_coeff
 from barweave.plans.features import add_quotes, features
-from barweave.plans.registry import set_columns
+from barweave.plans.registry import resolve, set_columns
+from barweave.schema import MODEL_FEATURES
 from barweave.session import stage
 from barweave.sources.bars import last_rows, read_bars, write_bars
 
@@ -27,8 +28,9 @@ def build_features(
     wavelet: bool = False,
     check: bool = True,
     complete: bool = True,
+    names: list[str] | None = None,
 ) -> DataFrame:
-    """Validated bars with the columns of the sets.
+    """Validated bars with the columns of the sets, or with the named features.
 
     quotes: adds bid, ask, last_price. market: adds beta and market_correlation; without it
     those columns do not exist. adf, wavelet: the two columns no set contains.
@@ -36,7 +38,7 @@ def build_features(
     """
     if check:
         bars, _ = validate(bars)
-    names = set_columns(sets)
+    names = set_columns(sets) if names is None else list(names)
     if market is not None and "log_ret" not in names:
         names.append("log_ret")
     table = features(bars, names, bar_seconds)
@@ -54,6 +56,15 @@ def build_features(
     return table.na.drop("any") if complete else table
 
 
+def model_table(bars: DataFrame, bar_seconds: int, quotes: DataFrame, market: DataFrame) -> DataFrame:
+    """Bars with every feature the model may use; missing values stay for the imputer."""
+    joined = {"bid", "ask", "last_price"}
+    names = [n for n in MODEL_FEATURES if n not in bars.columns and n not in joined and resolve(n)]
+    return build_features(
+        bars, bar_seconds, names=names, quotes=quotes, market=market, adf=True, complete=False
+    )
+
+
 def run_features(
     spark: SparkSession,
     source: str,
