@@ -56,7 +56,10 @@ def lay_out(numbered: DataFrame, block_rows: int, back: int = 0, ahead: int = 0)
     home = F.floor(F.col("rn") / F.lit(block_rows)).cast("long")
     place = F.col("rn") % F.lit(block_rows)
     # Window work is bound by cores, not bytes: a fixed number of tasks is not merged again.
-    tasks = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = numbered.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.sparkContext.master.startswith("local"):
+        tasks = min(tasks, spark.sparkContext.defaultParallelism)
     if not back and not ahead:
         return numbered.withColumn("blk", home).repartition(tasks, "symbol", "blk")
     none = F.lit(None).cast("long")
