@@ -5,14 +5,14 @@ elements. The universe of n-grams is cut by hash into segments, in each band of
 that two such sets must agree on a segment (pigeonhole over H + 1 segments), or differ there by
 one element where a segment is allotted an error (its one-deletion neighbourhoods are indexed, and
 it counts as two). First every set is indexed by its segment subsets alone, about one entry per
-ten elements. Lists that come out long are indexed again inside themselves under a new cut; how
-many segments get an error there follows from the cost of the entries against that of the pairs.
-Candidates pass an exact lower bound on their difference (parity bitmaps) and are then verified on
-the words themselves.
+ten elements. The sets of lists that come out long are indexed again under a new cut; how many
+segments get an error there follows, band by band, from the cost of the entries against that of
+the pairs. Candidates pass an exact lower bound on their difference (parity bitmaps) and are then
+verified on the words themselves.
 
 Sets that are equal form one class and are joined by one member. In a long list all members are
-compared with one of them first; those linked to it are in one component already and are not
-paired with each other again, so a large group of near copies costs about its size, not its square.
+compared with one of them first; members of one component are not paired with each other again,
+so a large group of near copies costs about its size, not its square.
 """
 
 from __future__ import annotations
@@ -29,12 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barweave.llm.common import Scratch, small_batches
+from barweave.llm.components import components
 
 LONG_LIST = 64  # pairs of shorter lists are formed at once
 BLOCK = 1 << 20  # index entries combined locally before the shuffle
-LEVELS = 4  # cuts of long lists; what is still long then is paired by a join
 LARGEST_SET = 1 << 40
-BALL, DELETED = 1, 2  # two entries that share a flag make no pair
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -164,11 +163,28 @@ def least_apart(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
-def list_pairs(lists: np.ndarray, ids: np.ndarray, flags: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Pairs (i < j) of rows in the same list; rows are sorted by list, `sizes` is the list length of a row."""
+def deletions(h: np.ndarray, bands: Bands, allotted: dict[int, tuple[int, int]]) -> list[tuple[np.ndarray, bool]]:
+    """Index entries of a set with errors allotted: subsets, and those with one element deleted."""
+    out = []
+    for cut in bands.cuts_of(len(h)):
+        if cut in allotted:
+            zeros, ones = allotted[cut]
+            at, weights, sums = segment_sums(h, zeros + ones, 101)
+            out.append((entry(sums, np.arange(zeros + ones), cut << 32 | 1), False))
+            inside = at < ones
+            gone = sums[at[inside]] - weights[inside]
+            out.append((entry(gone, at[inside], cut << 32 | 1), True))
+    return out
+
+
+def list_pairs(lists: np.ndarray, labels: np.ndarray, deleted: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Pairs (i < j) of rows in the same list, of different components, not both with a deletion.
+
+    Rows are sorted by list; `sizes` is the length of a row's list.
+    """
     out = []
     for step in range(1, int(sizes.max(initial=1))):
-        same = (lists[step:] == lists[:-step]) & ((flags[step:] & flags[:-step]) == 0) & (ids[step:] != ids[:-step])
+        same = (lists[step:] == lists[:-step]) & ~(deleted[step:] & deleted[:-step]) & (labels[step:] != labels[:-step])
         out.append(np.stack([np.flatnonzero(same), np.flatnonzero(same) + step]))
     return np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
 
@@ -202,20 +218,33 @@ class Join:
     def index(self, members: DataFrame) -> DataFrame:
         """One row per class and list. A list that is long within one block sends its rows there past the
         sort, and one mark in their place; so a task sees few rows per block of any list."""
+
+        def first(batches):
+            for batch in batches:
+                for key, e in zip(batch["key"], batch["entries"]):
+                    yield key, key, [(np.asarray(e, np.int64), False)]
+
         def combine(batches):
-            for lists, ids in blocks(batches):
-                order = np.argsort(lists, kind="stable")
-                lists, ids = lists[order], ids[order]
-                there, first, many = np.unique(lists, return_index=True, return_counts=True)
-                hot = many > LONG_LIST
-                yield pd.DataFrame({"list": lists, "id": ids, "hot": np.repeat(hot, many), "mark": False, "flags": 0})
-                if hot.any():
-                    yield pd.DataFrame({"list": there[hot], "id": ids[first[hot]], "hot": False, "mark": True, "flags": 0})
+            yield from marked(first(batches))
 
         return members.select("key", "entries").mapInPandas(combine, self.entry_schema())
 
+    def index_again(self, open_sets: DataFrame, allotted: dict[int, tuple[int, int]]) -> DataFrame:
+        """The same for open sets (id, label, text) with errors allotted."""
+        n, bands = self.n, self.bands
+
+        def again(batches):
+            for batch in batches:
+                for key, label, text in zip(batch["id"], batch["label"], batch["text"]):
+                    yield key, label, deletions(hashed_set(text, n), bands, allotted)
+
+        def combine(batches):
+            yield from marked(again(batches))
+
+        return open_sets.select("id", "label", "text").mapInPandas(combine, self.entry_schema())
+
     def entry_schema(self) -> str:
-        return f"list long, id {self.kind}, hot boolean, mark boolean, flags int"
+        return f"list long, id {self.kind}, label {self.kind}, deleted boolean, hot boolean, mark boolean"
 
     def pairs(self, entries: DataFrame) -> DataFrame:
         """Streams through the lists in order: pairs of short lists (list null), members of long ones (b null).
@@ -223,9 +252,9 @@ class Join:
         Entries already known to be in a long list are spread at random and pass through.
         """
         kind = self.kind
-        spread = F.when(F.col("hot"), F.xxhash64("list", "id")).otherwise(F.col("list"))
+        spread = F.when(F.col("hot"), F.xxhash64("list", "id", "deleted")).otherwise(F.col("list"))
         ordered = entries.repartition(spread).sortWithinPartitions(
-            "hot", "list", F.col("mark").desc(), "id", "flags"
+            "hot", "list", F.col("mark").desc(), "id", "deleted"
         )
 
         def stream(batches):
@@ -267,18 +296,18 @@ class Join:
                 yield members(plain)
             short = rows[~is_long & (many[code] > 1)]
             if len(short):
-                ids, flags = short["id"].to_numpy(), short["flags"].to_numpy()
-                i, j = list_pairs(short["list"].to_numpy(), ids, flags, many[code][~is_long & (many[code] > 1)])
+                ids, sizes = short["id"].to_numpy(), many[code][~is_long & (many[code] > 1)]
+                i, j = list_pairs(short["list"].to_numpy(), short["label"].to_numpy(), short["deleted"].to_numpy(bool), sizes)
                 a, b = ids[i], ids[j]
                 swap = a > b
                 found = pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b)}).drop_duplicates()
-                yield found.assign(list=pd.array([pd.NA] * len(found), "Int64"), flags=0)[["a", "b", "list", "flags"]]
+                yield found.assign(list=pd.array([pd.NA] * len(found), "Int64"), deleted=False)
 
         def members(rows: pd.DataFrame) -> pd.DataFrame:
             none = pd.Series([None] * len(rows), index=rows.index, dtype=object)
-            return pd.DataFrame({"a": rows["id"], "b": none, "list": rows["list"], "flags": rows["flags"]})
+            return pd.DataFrame({"a": rows["id"], "b": none, "list": rows["list"], "deleted": rows["deleted"]})
 
-        return ordered.mapInPandas(stream, f"a {kind}, b {kind}, list long, flags int")
+        return ordered.mapInPandas(stream, f"a {kind}, b {kind}, list long, deleted boolean")
 
     def apart(self, pairs: DataFrame, meta: DataFrame) -> DataFrame:
         """Pairs with the sizes of both sets and the lower bound of their difference."""
@@ -325,56 +354,40 @@ class Join:
         )
         return both.select("a", "b", "ta", "tb").mapInPandas(check, f"a {self.kind}, b {self.kind}")
 
-    def narrow(self, level: int, long_rows: DataFrame, meta: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links of the long lists' members to one of them each, and new entries for what is still to be paired."""
-        room, up, down = self.room, self.t.numerator, self.t.denominator
+    def star(self, name: str, long_rows: DataFrame, meta: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(rows, links): every member of a long list beside one of them, and the links among these pairs."""
         pivots = long_rows.groupBy("list").agg(F.min("id").alias("a"))
-        star = room.save(
-            self.apart(long_rows.select("list", F.col("id").alias("b")).distinct().join(pivots, "list"), meta), f"star-{level}"
-        )
-        near = star.where(self.possible() & (F.col("a") != F.col("b"))).select("a", "b").distinct()
-        links = room.save(self.verified(near, texts), f"star-links-{level}")
-        marked = star.join(links.distinct().withColumn("_linked", F.lit(True)), ["a", "b"], "left").withColumn(
-            "ball", F.coalesce("_linked", F.col("a") == F.col("b"))
-        )
-        # Differences obey the triangle inequality: whatever is farther from the pivot than this cannot
-        # link with a set that links with the pivot.
-        far = (F.col("na") + F.col("nb") + 2 * F.least("na", "nb") * down / up) * (down - up) / (down + up)
-        border = ~F.col("ball") & (F.col("apart") <= far)
-        marked = marked.withColumn("border", border).select("list", "b", "nb", "apart", "ball", "border")
-        stats = marked.groupBy("list").agg(
-            F.max("border").alias("has_border"), F.sum((~F.col("ball")).cast("long")).alias("others"),
-            F.count(F.lit(1)).alias("members"), F.max("nb").alias("largest"), F.avg("nb").alias("size"), F.avg("apart").alias("mean_apart"),
-        )
-        going = marked.join(stats.where((F.col("others") > 1) | F.col("has_border")), "list").where(
-            ~F.col("ball") | F.col("has_border")
-        )
-        lists = F.struct("list", "ball", "members", "largest", "size", "mean_apart")
-        by_set = going.groupBy(F.col("b").alias("id")).agg(F.collect_list(lists).alias("lists"))
-        bands, n = self.bands, self.n
-
-        def cut_again(batches):
-            for batch in batches:
-                for key, text, its in zip(batch["id"], batch["text"], batch["lists"]):
-                    h, out = hashed_set(text, n), []
-                    for x in its:
-                        errors = bands.most(2 * int(x["largest"]))
-                        zeros, ones = allot(int(x["members"]), x["size"], x["mean_apart"], errors)
-                        at, weights, sums = segment_sums(h, zeros + ones, 100 * level)
-                        flag, owner = BALL if x["ball"] else 0, int(x["list"])
-                        out.append((entry(sums, np.arange(zeros + ones), owner), flag))
-                        inside = at < ones
-                        if inside.any():
-                            gone = sums[at[inside]] - weights[inside]
-                            out.append((entry(gone, at[inside], owner), flag | DELETED))
-                    yield pd.DataFrame(
-                        {
-                            "list": np.concatenate([e for e, _ in out]).view(np.int64), "id": key, "hot": False, "mark": False,
-                            "flags": np.repeat([f for _, f in out], [len(e) for e, _ in out]),
-                        }
-                    )
-
-        return links, by_set.join(texts, "id").mapInPandas(cut_again, self.entry_schema())
+        rows = long_rows.select("list", F.col("id").alias("b")).distinct().join(pivots, "list")
+        rows = self.room.save(self.apart(rows, meta), f"star-{name}")
+        near = rows.where(self.possible() & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+        return rows, self.room.save(self.verified(near, texts), f"star-links-{name}")
+
+    def still_open(self, star: DataFrame, links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """(lists, labels): long lists that hold several components, and everybody's component so far."""
+        labels = components(links, self.room, f"labels-{name}")
+        label = F.coalesce("component", F.col("b"))
+        named = star.join(labels.withColumnRenamed("id", "b"), "b", "left").select("list", "b", label.alias("label"))
+        several = named.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+        return several.select("list"), labels
+
+    def allotment(self, open_star: DataFrame) -> dict[int, tuple[int, int]]:
+        """Errors per cut, from the number, size and distance of the open sets in each band.
+
+        One row per band reaches the driver, of which there are at most a few hundred.
+        """
+        edges = F.array(*[F.lit(x) for x in self.bands.first])
+        band = (F.size(F.filter(edges, lambda x: x <= F.col("nb"))) - 1).alias("band")
+        sets = open_star.groupBy("b", "nb").agg(F.avg("apart").alias("apart")).select(band, "nb", "apart")
+        rows = sets.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.avg("nb").alias("size"), F.avg("apart").alias("apart")).collect()
+        seen = {r["band"]: (r["n"], r["size"], r["apart"]) for r in rows}
+        out = {}
+        for cut in {c for b in seen for c in (b, b + 1)}:
+            errors, there = self.bands.errors(cut), [seen[b] for b in (cut - 1, cut) if b in seen]
+            members = sum(n for n, _, _ in there)
+            size, apart = (sum(t[0] * t[k] for t in there) / members for k in (1, 2))
+            if errors:
+                out[cut] = allot(members, size, apart, errors)
+        return out
 
 
 def linked_documents(
@@ -391,8 +404,6 @@ def linked_documents(
     component is its own key. A null key takes part in nothing; its component is null. Rows that
     share a key count as one document with all their links. Other columns are not read.
     """
-    from barweave.llm.components import components
-
     small_batches(docs.sparkSession)
     job = Join(room, n, Fraction(similarity).limit_denominator(10_000), key, text)
     sets = job.sets(docs)
@@ -405,27 +416,38 @@ def linked_documents(
         job.apart(found.where(F.col("b").isNotNull()).select("a", "b").distinct(), meta).where(job.possible()).select("a", "b"),
         "near-0",
     )
-    long_rows = found.where(F.col("b").isNull()).select("list", F.col("a").alias("id"), "flags")
+    long_rows = found.where(F.col("b").isNull()).select("list", F.col("a").alias("id"))
     wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id")))
     wanted = wanted.unionByName(long_rows.select("id")).distinct()
     body = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     texts = room.save(body.join(wanted, "id", "left_semi"), "texts")
-    links, level = room.save(job.verified(near, texts), "links-0"), 0
-    while not long_rows.isEmpty():
-        level += 1
-        if level > LEVELS:
-            x, y = long_rows.alias("x"), long_rows.alias("y")
-            apart = F.col("x.flags").bitwiseAND(F.col("y.flags")) == 0
-            more = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.id") < F.col("y.id")) & apart)
-            pairs, long_rows = more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), long_rows.limit(0)
-        else:
-            star, entries = job.narrow(level, long_rows, meta, texts)
-            found = room.save(job.pairs(entries), f"lists-{level}")
-            pairs = found.where(F.col("b").isNotNull()).select("a", "b")
-            long_rows = found.where(F.col("b").isNull()).select("list", F.col("a").alias("id"), "flags")
-            links = links.unionByName(star)
-        near = job.apart(pairs.distinct(), meta).where(job.possible()).select("a", "b")
-        links = links.unionByName(room.save(job.verified(near, texts), f"links-{level}"))
+    links = room.save(job.verified(near, texts), "links-0")
+    if not long_rows.isEmpty():
+        star, more = job.star("0", long_rows, meta, texts)
+        links = room.save(links.unionByName(more), "links-1")
+        lists, labels = job.still_open(star, links, "0")
+        open_star = room.save(star.join(lists, "list", "left_semi"), "open")
+        named = texts.join(open_star.select(F.col("b").alias("id")).distinct(), "id", "left_semi").join(labels, "id", "left")
+        again = job.index_again(named.withColumn("label", F.coalesce("component", "id")), job.allotment(open_star))
+        found = room.save(job.pairs(again), "lists-1")
+        pairs = found.where(F.col("b").isNotNull()).select("a", "b").distinct()
+        near = job.apart(pairs, meta).where(job.possible()).select("a", "b")
+        links = room.save(links.unionByName(job.verified(near, texts)), "links-2")
+        # Lists of deletions alone pair nothing.
+        full = found.where(F.col("b").isNull() & ~F.col("deleted")).select("list").distinct()
+        long_rows = found.where(F.col("b").isNull()).join(full, "list", "left_semi").select("list", F.col("a").alias("id"), "deleted")
+        if not long_rows.isEmpty():
+            star, more = job.star("1", long_rows, meta, texts)
+            links = room.save(links.unionByName(more), "links-3")
+            lists, labels = job.still_open(star, links, "1")
+            rest = long_rows.join(lists, "list", "left_semi").join(labels, "id", "left")
+            rest = room.save(rest.select("list", "id", "deleted", F.coalesce("component", "id").alias("label")), "rest")
+            x, y = rest.alias("x"), rest.alias("y")
+            apart = (F.col("x.label") != F.col("y.label")) & ~(F.col("x.deleted") & F.col("y.deleted"))
+            both = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.id") < F.col("y.id")) & apart)
+            pairs = both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+            near = job.apart(pairs, meta).where(job.possible()).select("a", "b")
+            links = room.save(links.unionByName(job.verified(near, texts)), "links-4")
     links = links.distinct()
     reached = components(links, room)
     named = classes.join(reached.withColumnRenamed("id", "class_id"), "class_id", "left").select(
@@ -439,21 +461,31 @@ def linked_documents(
     return with_set.select("key", "n_shingles", "class_id", "component").unionByName(alone), links
 
 
-def blocks(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Entries of several sets as flat arrays, about BLOCK at a time."""
-    lists, ids, held = [], [], 0
-    for batch in batches:
-        for key, e in zip(batch["key"], batch["entries"]):
-            lists.append(np.asarray(e, np.int64))
-            ids.append((key, len(e)))
-            held += len(e)
-            if held >= BLOCK:
-                yield _flat(lists, ids)
-                lists, ids, held = [], [], 0
+def marked(sets) -> Iterator[pd.DataFrame]:
+    """Index rows of (key, label, [(entries, deleted)]), BLOCK at a time; lists long within a block are marked."""
+    held, parts = 0, []
+    for key, label, its in sets:
+        for e, deleted in its:
+            if len(e):
+                parts.append((key, label, e, deleted))
+                held += len(e)
+        if held >= BLOCK:
+            yield from _block(parts)
+            held, parts = 0, []
     if held:
-        yield _flat(lists, ids)
-
-
-def _flat(lists: list, ids: list) -> tuple[np.ndarray, np.ndarray]:
-    keys = pd.Series([k for k, _ in ids]).to_numpy()
-    return np.concatenate(lists), np.repeat(keys, [n for _, n in ids])
+        yield from _block(parts)
+
+
+def _block(parts: list) -> Iterator[pd.DataFrame]:
+    keys, labels, entries, deleted = zip(*parts)
+    many = [len(e) for e in entries]
+    lists = np.concatenate([np.asarray(e).view(np.int64) for e in entries])
+    order = np.argsort(lists, kind="stable")
+    lists = lists[order]
+    ids, labels = (np.repeat(pd.Series(list(x)).to_numpy(), many)[order] for x in (keys, labels))
+    _, first, size = np.unique(lists, return_index=True, return_counts=True)
+    hot = size > LONG_LIST
+    rows = {"list": lists, "id": ids, "label": labels, "deleted": np.repeat(deleted, many)[order]}
+    yield pd.DataFrame(rows | {"hot": np.repeat(hot, size), "mark": False})
+    if hot.any():
+        yield pd.DataFrame({k: v[first[hot]] for k, v in rows.items()} | {"hot": False, "mark": True})
