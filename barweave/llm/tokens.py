@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -23,14 +24,22 @@ SPACE = r"\t-\r \x85\xa0"
 MARK = f"[^{SPACE}{LETTER}{NUMBER}]"
 SUFFIX = "'(?:[stmd]|re|ve|ll)"
 # Outside of this range, or where the case or white-space rules differ, the library sees the text.
-UNSURE = re.compile(r"[\x1c-\x1f\u0130\u0250-\u200f\u2028-\u20ab\u20ad-\U0010ffff]")
+UNSURE = re.compile(r"[\u0130\u0250-\u200f\u2028-\u20ab\u20ad-\U0010ffff]")
 WORD_PIECES = re.compile(f"[{LETTER}]+|{SUFFIX}|[{NUMBER}]|{MARK}+")
 BYTE_PIECES = re.compile(
     f" ?[{LETTER}]+| ?[{NUMBER}]+|{SUFFIX}| ?{MARK}+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
-# White space that does not stand alone between two words.
-LOOSE_SPACE = re.compile(rf" [{SPACE}]|[{SPACE}] |\A | \Z")
-MEMORY = 200_000
+# White space other than the space: beside a space, it is not cut off by splitting at spaces.
+OTHER_SPACE = "\t\n\v\f\r\x85\xa0"
+MEMORY = 350_000
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: printable Latin-1 characters for
+    themselves, the other bytes, in order, from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
 class Memory(dict):
@@ -63,7 +72,8 @@ class Encoder:
         self.dtype = np.dtype(dtype or id_type(self.library.get_vocab_size(True)))
         with open(path, encoding="utf-8") as f:
             kind = _kind(json.load(f))
-        self.pieces = Memory(self._whole)
+        self.letters, self.item = byte_letters(), {2: "H", 4: "I"}[self.dtype.itemsize]
+        self.pieces = Memory(self._piece)
         self.encode = {"word": self._by_words, "byte": self._by_bytes, "": self._whole}[kind]
         pattern = {"word": WORD_PIECES, "byte": BYTE_PIECES}.get(kind)
         self.cut = pattern.findall if pattern else None
@@ -73,23 +83,43 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _piece(self, text: str) -> bytes:
+        """One piece of the pre-tokenizer: straight to the library's merges."""
+        letters = text.encode("utf-8").decode("latin-1").translate(self.letters)
+        return array(self.item, [t.id for t in self.library.model.tokenize(letters)]).tobytes()
+
     def _cut_and_join(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.cut(text)))
 
     def _by_words(self, text: str) -> bytes:
-        if UNSURE.search(text):
+        if _unsure(text) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self._whole(text)
         return b"".join(map(self.words.__getitem__, text.lower().split()))
 
     def _by_bytes(self, text: str) -> bytes:
-        if UNSURE.search(text):
+        if _unsure(text):
             return self._whole(text)
-        if LOOSE_SPACE.search(text):
+        if _loose_space(text):
             return self._cut_and_join(text)
         first, *rest = text.split(" ")
         return self.words[first] + b"".join(map(self.spaced.__getitem__, rest))
 
 
+def _unsure(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+        return False
+    except UnicodeEncodeError:
+        return UNSURE.search(text) is not None
+
+
+def _loose_space(text: str) -> bool:
+    """Whether white space does anything but stand alone between two words, or in lines without spaces beside."""
+    if "  " in text or text[:1] == " " or text[-1:] == " ":
+        return True
+    return any(c in text and (c + " " in text or " " + c in text) for c in OTHER_SPACE)
+
+
 def _kind(config: dict) -> str:
     """Which known way of cutting the tokenizer file describes, if any."""
     norm, pre = config.get("normalizer"), config.get("pre_tokenizer") or {}
