@@ -32,6 +32,7 @@ from barweave.llm.common import Scratch, small_batches
 from barweave.llm.components import components
 
 LONG_LIST = 64  # pairs of shorter lists are formed at once
+COMPARED = 1024  # rows of one block of a long list
 BLOCK = 1 << 20  # index entries combined locally before the shuffle
 LARGEST_SET = 1 << 40
 
@@ -177,6 +178,13 @@ def deletions(h: np.ndarray, bands: Bands, allotted: dict[int, tuple[int, int]])
     return out
 
 
+def folded(bitmaps: pd.Series) -> np.ndarray:
+    """Bitmaps of several lengths as rows of 64-bit words of the shortest length."""
+    words = min(len(b) for b in bitmaps) // 8
+    rows = [np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, words), axis=0) for b in bitmaps]
+    return np.stack(rows)
+
+
 def list_pairs(lists: np.ndarray, labels: np.ndarray, deleted: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Pairs (i < j) of rows in the same list, of different components, not both with a deletion.
 
@@ -370,6 +378,41 @@ class Join:
         several = named.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
         return several.select("list"), labels
 
+    def compared(self, rows: DataFrame, meta: DataFrame) -> DataFrame:
+        """Pairs of the lists (list, id, deleted, label) that pass the bound; the others are never made.
+
+        A list is dealt to blocks of bounded size, and each two blocks of a list meet in one group,
+        where their bitmaps are compared in place.
+        """
+        up, down, kind = self.t.numerator, self.t.denominator, self.kind
+
+        def compare(rows: pd.DataFrame) -> pd.DataFrame:
+            low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
+            rows = rows.sort_values("id", ignore_index=True)
+            bits = folded(rows["bitmap"])
+            ids, n, label = rows["id"].to_numpy(), rows["n_shingles"].to_numpy(), rows["label"].to_numpy()
+            deleted, block = rows["deleted"].to_numpy(bool), rows["block"].to_numpy()
+            out = []
+            for i in range(len(rows) - 1):
+                j = slice(i + 1, None)
+                apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                good = (apart * (down + up) <= (n[j] + n[i]) * (down - up)) & (label[j] != label[i])
+                good &= (n[j] * down >= n[i] * up) & (n[i] * down >= n[j] * up) & ~(deleted[j] & deleted[i])
+                if low != high:
+                    good &= block[j] != block[i]
+                out += [(i, k) for k in (np.flatnonzero(good) + i + 1).tolist()]
+            at = np.array(out, np.int64).reshape(-1, 2)
+            return pd.DataFrame({"a": ids[at[:, 0]], "b": ids[at[:, 1]]})
+
+        count = rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(COMPARED)).cast("int").alias("blocks"))
+        own = meta.select(F.col("key").alias("id"), "n_shingles", "bitmap")
+        dealt = rows.join(count, "list").join(own, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        others = F.sequence(F.lit(0), F.col("blocks") - 1)
+        met = dealt.withColumn("other", F.explode(others)).drop("blocks").select(
+            "*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+        )
+        return met.groupBy("list", "low", "high").applyInPandas(compare, f"a {kind}, b {kind}")
+
     def allotment(self, open_star: DataFrame) -> dict[int, tuple[int, int]]:
         """Errors per cut, from the number, size and distance of the open sets in each band.
 
@@ -442,11 +485,7 @@ def linked_documents(
             lists, labels = job.still_open(star, links, "1")
             rest = long_rows.join(lists, "list", "left_semi").join(labels, "id", "left")
             rest = room.save(rest.select("list", "id", "deleted", F.coalesce("component", "id").alias("label")), "rest")
-            x, y = rest.alias("x"), rest.alias("y")
-            apart = (F.col("x.label") != F.col("y.label")) & ~(F.col("x.deleted") & F.col("y.deleted"))
-            both = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.id") < F.col("y.id")) & apart)
-            pairs = both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-            near = job.apart(pairs, meta).where(job.possible()).select("a", "b")
+            near = job.compared(rest, meta).distinct()
             links = room.save(links.unionByName(job.verified(near, texts)), "links-4")
     links = links.distinct()
     reached = components(links, room)
