@@ -4,8 +4,8 @@ Two sets with a Jaccard similarity of t or more differ in at most H = (|r| + |s|
 elements. The universe of n-grams is cut by hash into segments, in each band of set sizes so many
 that two such sets must agree on a segment (pigeonhole over H + 1 segments), or differ there by
 one element where a segment is allotted an error (its one-deletion neighbourhoods are indexed, and
-it counts as two). First every set is indexed by its segment subsets alone, about one entry per
-ten elements. The sets of lists that come out long are indexed again under a new cut; how many
+it counts as two). First small sets are indexed with one error per
+segment and all others by segment subsets alone (at t = 0.9 about one entry per five elements). The sets of lists that come out long are indexed again under a new cut; how many
 segments get an error there follows, band by band, from the cost of the entries against that of
 the pairs. Candidates pass an exact lower bound on their difference (parity bitmaps) and are then
 verified on the words themselves.
@@ -21,7 +21,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from fractions import Fraction
 from hashlib import blake2b
-from math import exp, floor
+from math import erf, exp, floor, sqrt
 
 import numpy as np
 import pandas as pd
@@ -32,9 +32,12 @@ from barweave.llm.common import Scratch, small_batches
 from barweave.llm.components import components
 
 LONG_LIST = 64  # pairs of shorter lists are formed at once
+SMALL_SET = 40  # up to here a set's own size is about the cost of deletions
 COMPARED = 1024  # rows of one block of a long list
 BLOCK = 1 << 20  # index entries combined locally before the shuffle
 LARGEST_SET = 1 << 40
+# Kinds of index rows: one element deleted; passes by the sort; stands for rows that do.
+DELETED, HOT, MARK = 1, 2, 4
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -75,6 +78,9 @@ def hashed_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(run)
 
 
+Plan = tuple[int, int]  # segments without an error, segments with one
+
+
 class Bands:
     """Size bands for a similarity t: partners of a set are in its own band or in the next ones beside it.
 
@@ -95,10 +101,33 @@ class Bands:
         """The most elements in which a pair of this cut may differ."""
         return self.most(2 * (self.first[cut + 1] - 1))
 
+    def first_plan(self, cut: int) -> Plan | None:
+        """How a cut is indexed at first: small sets by one-deletion neighbourhoods, which cost little
+        there and leave few empty segments, others by segments alone. None if only equal sets pair."""
+        errors = self.errors(cut)
+        if errors == 0:
+            return None
+        if self.first[cut + 1] <= SMALL_SET:
+            return 0, (errors + 2) // 2
+        return errors + 1 + spare_segments(self.first[max(0, cut - 1)], errors), 0
+
     def most(self, total: int) -> int:
         return floor(total * (1 - self.t) / (1 + self.t))
 
 
+class Plans(dict):
+    """First plans by cut, as they are asked for."""
+
+    def __init__(self, bands: Bands):
+        super().__init__()
+        self.bands = bands
+
+    def __contains__(self, cut: int) -> bool:
+        if not super().__contains__(cut):
+            self[cut] = self.bands.first_plan(cut)
+        return self[cut] is not None
+
+
 def segment_sums(h: np.ndarray, segments: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segment of each element (sorted), the elements' weights in that order, and the sum per segment."""
     at = (seeded(h, seed) % np.uint64(segments)).astype(np.int64)
@@ -114,15 +143,46 @@ def entry(sums: np.ndarray, segment: np.ndarray, owner: int) -> np.ndarray:
     return mix(seeded(sums, 5) + mix(segment.astype(np.uint64) + np.uint64(owner % (1 << 64))))
 
 
-def subsets(h: np.ndarray, bands: Bands) -> np.ndarray:
-    """Index entries of a set: all its segments, without errors, in its two cuts."""
-    out = []
+def spare_segments(size: int, errors: int) -> int:
+    """Segments beyond errors + 1, so that hardly a set of `size` has more empty ones than that.
+
+    Empty segments agree by chance. With m segments, m - errors at least agree in a pair; a set
+    with fewer empty segments than that needs no entries for them, as a filled one agrees too.
+    """
+    best = (2.0, 0)
+    for spare in range(0, 12 + errors // 4):
+        m = errors + 1 + spare
+        mean = m * exp(-size / m)
+        if mean > 500:
+            inside = (1 + erf((spare + 0.5 - mean) / sqrt(2 * mean))) / 2
+        else:
+            inside, term = 0.0, exp(-mean)
+            for k in range(spare + 1):
+                inside += term
+                term *= mean / (k + 1)
+        best = min(best, (1 - inside, spare))
+        if 1 - inside < 0.003:
+            return spare
+    return best[1]
+
+
+def index_entries(h: np.ndarray, bands: Bands, plans: dict[int, Plan], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A set's entries in its two cuts: segment subsets, and those with one element deleted."""
+    full, gone = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
     for cut in bands.cuts_of(len(h)):
-        errors = bands.errors(cut)
-        if errors:  # without errors only equal sets pair, and these are one class already
-            _, _, sums = segment_sums(h, errors + 1, 11)
-            out.append(entry(sums, np.arange(errors + 1), cut << 32))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+        if cut in plans:
+            zeros, ones = plans[cut]
+            n = zeros + ones
+            at, weights, sums = segment_sums(h, n, seed)
+            kept = np.arange(n)
+            if not ones:
+                filled = np.unique(at)
+                if n - len(filled) < n - bands.errors(cut):
+                    kept = filled
+            full.append(entry(sums[kept], kept, cut << 32 | seed))
+            inside = at < ones
+            gone.append(entry(sums[at[inside]] - weights[inside], at[inside], cut << 32 | seed))
+    return np.concatenate(full), np.concatenate(gone)
 
 
 def allot(members: int, size: float, apart: float, errors: int) -> tuple[int, int]:
@@ -164,20 +224,6 @@ def least_apart(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
-def deletions(h: np.ndarray, bands: Bands, allotted: dict[int, tuple[int, int]]) -> list[tuple[np.ndarray, bool]]:
-    """Index entries of a set with errors allotted: subsets, and those with one element deleted."""
-    out = []
-    for cut in bands.cuts_of(len(h)):
-        if cut in allotted:
-            zeros, ones = allotted[cut]
-            at, weights, sums = segment_sums(h, zeros + ones, 101)
-            out.append((entry(sums, np.arange(zeros + ones), cut << 32 | 1), False))
-            inside = at < ones
-            gone = sums[at[inside]] - weights[inside]
-            out.append((entry(gone, at[inside], cut << 32 | 1), True))
-    return out
-
-
 def folded(bitmaps: pd.Series) -> np.ndarray:
     """Bitmaps of several lengths as rows of 64-bit words of the shortest length."""
     words = min(len(b) for b in bitmaps) // 8
@@ -205,8 +251,8 @@ class Join:
         self.bands = Bands(t)
 
     def sets(self, docs: DataFrame) -> DataFrame:
-        """key, n_shingles, set_id (equal for equal sets), bitmap, entries; one row per input row."""
-        n, bands = self.n, self.bands
+        """key, n_shingles, set_id (equal for equal sets), bitmap; one row per input row."""
+        n = self.n
         rows = docs.select(F.col(self.key).alias("key"), F.col(self.text).alias("text"))
         self.kind = rows.schema["key"].dataType.simpleString()
 
@@ -216,26 +262,31 @@ class Join:
                 for t in batch["text"]:
                     h = hashed_set(t, n)
                     digest = blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None
-                    out.append((len(h), digest, parity_bitmap(h), subsets(h, bands).view(np.int64)))
-                table = pd.DataFrame(out, columns=["n_shingles", "set_id", "bitmap", "entries"])
+                    out.append((len(h), digest, parity_bitmap(h)))
+                table = pd.DataFrame(out, columns=["n_shingles", "set_id", "bitmap"])
                 yield table.assign(key=batch["key"].to_numpy())
 
-        schema = f"key {self.kind}, n_shingles long, set_id binary, bitmap binary, entries array<long>"
+        schema = f"key {self.kind}, n_shingles long, set_id binary, bitmap binary"
         return self.room.save(rows.mapInPandas(build, schema), "sets")
 
     def index(self, members: DataFrame) -> DataFrame:
         """One row per class and list. A list that is long within one block sends its rows there past the
         sort, and one mark in their place; so a task sees few rows per block of any list."""
 
+        n, bands = self.n, self.bands
+
         def first(batches):
+            plans = Plans(bands)
             for batch in batches:
-                for key, e in zip(batch["key"], batch["entries"]):
-                    yield key, key, [(np.asarray(e, np.int64), False)]
+                for key, text in zip(batch["id"], batch["text"]):
+                    full, gone = index_entries(hashed_set(text, n), bands, plans, 11)
+                    yield key, key, [(full, False), (gone, True)]
 
         def combine(batches):
-            yield from marked(first(batches))
+            for rows in marked(first(batches)):
+                yield rows.drop(columns="label")  # as yet everybody's own
 
-        return members.select("key", "entries").mapInPandas(combine, self.entry_schema())
+        return members.select("id", "text").mapInPandas(combine, self.entry_schema(""))
 
     def index_again(self, open_sets: DataFrame, allotted: dict[int, tuple[int, int]]) -> DataFrame:
         """The same for open sets (id, label, text) with errors allotted."""
@@ -244,15 +295,16 @@ class Join:
         def again(batches):
             for batch in batches:
                 for key, label, text in zip(batch["id"], batch["label"], batch["text"]):
-                    yield key, label, deletions(hashed_set(text, n), bands, allotted)
+                    full, gone = index_entries(hashed_set(text, n), bands, allotted, 101)
+                    yield key, label, [(full, False), (gone, True)]
 
         def combine(batches):
             yield from marked(again(batches))
 
-        return open_sets.select("id", "label", "text").mapInPandas(combine, self.entry_schema())
+        return open_sets.select("id", "label", "text").mapInPandas(combine, self.entry_schema(f"label {self.kind},"))
 
-    def entry_schema(self) -> str:
-        return f"list long, id {self.kind}, label {self.kind}, deleted boolean, hot boolean, mark boolean"
+    def entry_schema(self, label: str) -> str:
+        return f"list long, id {self.kind}, {label} kind int"
 
     def pairs(self, entries: DataFrame) -> DataFrame:
         """Streams through the lists in order: pairs of short lists (list null), members of long ones (b null).
@@ -260,15 +312,18 @@ class Join:
         Entries already known to be in a long list are spread at random and pass through.
         """
         kind = self.kind
-        spread = F.when(F.col("hot"), F.xxhash64("list", "id", "deleted")).otherwise(F.col("list"))
-        ordered = entries.repartition(spread).sortWithinPartitions(
-            "hot", "list", F.col("mark").desc(), "id", "deleted"
-        )
+        hot = F.col("kind").bitwiseAND(HOT) > 0
+        spread = F.when(hot, F.xxhash64("list", "id", "kind")).otherwise(F.col("list"))
+        ordered = entries.repartition(spread).sortWithinPartitions(hot, "list", F.col("kind").desc(), "id")
 
         def stream(batches):
             rest, long_list = None, None  # rows of the last, unfinished list; the long list we are in
             for batch in batches:
-                hot = batch["hot"].to_numpy(bool)
+                kinds = batch["kind"].to_numpy()
+                hot = kinds & HOT > 0
+                batch = batch.assign(deleted=kinds & DELETED > 0, mark=kinds & MARK > 0)
+                if "label" not in batch:
+                    batch["label"] = batch["id"]
                 if hot.any():
                     yield members(batch[hot])
                 cold = batch[~hot]
@@ -429,7 +484,8 @@ class Join:
             members = sum(n for n, _, _ in there)
             size, apart = (sum(t[0] * t[k] for t in there) / members for k in (1, 2))
             if errors:
-                out[cut] = allot(members, size, apart, errors)
+                zeros, ones = allot(members, size, apart, errors)
+                out[cut] = (zeros if ones else zeros + spare_segments(self.bands.first[max(0, cut - 1)], errors)), ones
         return out
 
 
@@ -454,7 +510,9 @@ def linked_documents(
     classes = room.save(real.groupBy("set_id").agg(F.min("key").alias("class_id")), "classes")
     own = real.join(classes.withColumnRenamed("class_id", "key"), ["set_id", "key"])
     meta = room.save(own.select("key", "n_shingles", "bitmap").dropDuplicates(["key"]), "meta")
-    found = room.save(job.pairs(job.index(own)), "lists-0")
+    body = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    members = body.join(meta.select(F.col("key").alias("id")), "id", "left_semi")
+    found = room.save(job.pairs(job.index(members)), "lists-0")
     near = room.save(
         job.apart(found.where(F.col("b").isNotNull()).select("a", "b").distinct(), meta).where(job.possible()).select("a", "b"),
         "near-0",
@@ -462,7 +520,6 @@ def linked_documents(
     long_rows = found.where(F.col("b").isNull()).select("list", F.col("a").alias("id"))
     wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id")))
     wanted = wanted.unionByName(long_rows.select("id")).distinct()
-    body = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     texts = room.save(body.join(wanted, "id", "left_semi"), "texts")
     links = room.save(job.verified(near, texts), "links-0")
     if not long_rows.isEmpty():
@@ -524,7 +581,8 @@ def _block(parts: list) -> Iterator[pd.DataFrame]:
     ids, labels = (np.repeat(pd.Series(list(x)).to_numpy(), many)[order] for x in (keys, labels))
     _, first, size = np.unique(lists, return_index=True, return_counts=True)
     hot = size > LONG_LIST
-    rows = {"list": lists, "id": ids, "label": labels, "deleted": np.repeat(deleted, many)[order]}
-    yield pd.DataFrame(rows | {"hot": np.repeat(hot, size), "mark": False})
+    kind = np.repeat(np.where(deleted, DELETED, 0), many)[order]
+    rows = {"list": lists, "id": ids, "label": labels}
+    yield pd.DataFrame(rows | {"kind": (kind | np.repeat(np.where(hot, HOT, 0), size)).astype(np.int32)})
     if hot.any():
-        yield pd.DataFrame({k: v[first[hot]] for k, v in rows.items()} | {"hot": False, "mark": True})
+        yield pd.DataFrame({k: v[first[hot]] for k, v in rows.items()} | {"kind": np.full(hot.sum(), MARK, np.int32)})
