@@ -7,7 +7,7 @@ one element where a segment is allotted an error (its one-deletion neighbourhood
 it counts as two). First small sets are indexed with one error per
 segment and all others by segment subsets alone (at t = 0.9 about one entry per five elements). The sets of lists that come out long are indexed again under a new cut; how many
 segments get an error there follows, band by band, from the cost of the entries against that of
-the pairs. Candidates pass an exact lower bound on their difference (parity bitmaps) and are then
+the pairs; lists of a few thousand are compared in place, which costs less still. Candidates pass an exact lower bound on their difference (parity bitmaps) and are then
 verified on the words themselves.
 
 Sets that are equal form one class and are joined by one member. In a long list all members are
@@ -32,8 +32,9 @@ from barweave.llm.common import Scratch, small_batches
 from barweave.llm.components import components
 
 LONG_LIST = 64  # pairs of shorter lists are formed at once
+IN_PLACE = 8192  # members of a list whose bitmaps are compared sooner than they are indexed again
 SMALL_SET = 40  # up to here a set's own size is about the cost of deletions
-COMPARED = 1024  # rows of one block of a long list
+COMPARED = 4096  # rows of one block of a long list
 BLOCK = 1 << 20  # index entries combined locally before the shuffle
 LARGEST_SET = 1 << 40
 # Kinds of index rows: one element deleted; passes by the sort; stands for rows that do.
@@ -527,23 +528,25 @@ def linked_documents(
         links = room.save(links.unionByName(more), "links-1")
         lists, labels = job.still_open(star, links, "0")
         open_star = room.save(star.join(lists, "list", "left_semi"), "open")
-        named = texts.join(open_star.select(F.col("b").alias("id")).distinct(), "id", "left_semi").join(labels, "id", "left")
-        again = job.index_again(named.withColumn("label", F.coalesce("component", "id")), job.allotment(open_star))
-        found = room.save(job.pairs(again), "lists-1")
-        pairs = found.where(F.col("b").isNotNull()).select("a", "b").distinct()
-        near = job.apart(pairs, meta).where(job.possible()).select("a", "b")
-        links = room.save(links.unionByName(job.verified(near, texts)), "links-2")
-        # Lists of deletions alone pair nothing.
-        full = found.where(F.col("b").isNull() & ~F.col("deleted")).select("list").distinct()
-        long_rows = found.where(F.col("b").isNull()).join(full, "list", "left_semi").select("list", F.col("a").alias("id"), "deleted")
-        if not long_rows.isEmpty():
-            star, more = job.star("1", long_rows, meta, texts)
-            links = room.save(links.unionByName(more), "links-3")
-            lists, labels = job.still_open(star, links, "1")
-            rest = long_rows.join(lists, "list", "left_semi").join(labels, "id", "left")
-            rest = room.save(rest.select("list", "id", "deleted", F.coalesce("component", "id").alias("label")), "rest")
-            near = job.compared(rest, meta).distinct()
-            links = room.save(links.unionByName(job.verified(near, texts)), "links-4")
+        size = open_star.groupBy("list").agg(F.count(F.lit(1)).alias("members"))
+        short = open_star.join(size.where(F.col("members") <= IN_PLACE), "list", "left_semi")
+        longer = open_star.join(size.where(F.col("members") > IN_PLACE), "list", "left_semi")
+        label = F.coalesce("component", "id").alias("label")
+        rest = short.select("list", F.col("b").alias("id"), F.lit(False).alias("deleted")).join(labels, "id", "left")
+        rest = rest.select("list", "id", "deleted", label)
+        if not longer.isEmpty():
+            named = texts.join(longer.select(F.col("b").alias("id")).distinct(), "id", "left_semi").join(labels, "id", "left")
+            found = room.save(job.pairs(job.index_again(named.withColumn("label", label), job.allotment(longer))), "lists-1")
+            pairs = found.where(F.col("b").isNotNull()).select("a", "b").distinct()
+            near = job.apart(pairs, meta).where(job.possible()).select("a", "b")
+            links = room.save(links.unionByName(job.verified(near, texts)), "links-2")
+            # Lists of deletions alone pair nothing.
+            full = found.where(F.col("b").isNull() & ~F.col("deleted")).select("list").distinct()
+            long_rows = found.where(F.col("b").isNull()).join(full, "list", "left_semi")
+            still = long_rows.select("list", F.col("a").alias("id"), "deleted").join(labels, "id", "left")
+            rest = rest.unionByName(still.select("list", "id", "deleted", label))
+        near = job.compared(room.save(rest, "rest"), meta).distinct()
+        links = room.save(links.unionByName(job.verified(near, texts)), "links-3")
     links = links.distinct()
     reached = components(links, room)
     named = classes.join(reached.withColumnRenamed("id", "class_id"), "class_id", "left").select(

@@ -301,6 +301,8 @@ def family(rng, base, copies, changes):
 @pytest.mark.parametrize("long_list,n,t", [(64, 3, Fraction(9, 10)), (4, 3, Fraction(9, 10)), (3, 5, Fraction(8, 10)), (2, 1, Fraction(7, 10))])
 def test_join_is_exact(spark, room, monkeypatch, long_list, n, t):
     monkeypatch.setattr(jaccard, "LONG_LIST", long_list)
+    monkeypatch.setattr(jaccard, "IN_PLACE", 3 * long_list)
+    monkeypatch.setattr(jaccard, "COMPARED", 8)
     rng = np.random.default_rng(long_list)
     texts = list(TEXTS)
     for size, copies, changes in ((4, 6, 1), (12, 12, 2), (40, 25, 4), (120, 30, 12), (300, 20, 20), (60, 30, 1), (900, 8, 40)):
