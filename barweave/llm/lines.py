@@ -12,7 +12,8 @@ from barweave.llm.common import Scratch, ascii_lower
 
 def plain_line(unit: Column) -> Column:
     """A-Z lower-cased, runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(ascii_lower(unit), r"[\x09-\x0D\x20]+", " "))
+    # A single space stays as it is, so only what changes is matched.
+    return F.trim(F.regexp_replace(ascii_lower(unit), r"[\x09-\x0D\x20]{2,}|[\x09-\x0D]", " "))
 
 
 def repeated_units(
