@@ -697,7 +697,7 @@ ORACLE["monthly_results"] = book_query(_LABEL_SIGNALS, f"{result_columns('month'
 ORACLE["monthly_mean"] = book_query(
     _LABEL_SIGNALS, f"SELECT symbol, {rounded('avg(total)', 'monthly_mean')} FROM {_MONTHLY} GROUP BY 1"
 )
-_RECENT = f"(SELECT *, date >= max(date) OVER (PARTITION BY symbol) - 10 AS recent FROM {_DAILY})"
+_RECENT = f"(SELECT *, date >= max(date) OVER (PARTITION BY symbol) - 30 AS recent FROM {_DAILY})"
 ORACLE["last_days"] = book_query(_LABEL_SIGNALS, f"{result_columns('date')} FROM {_RECENT} WHERE recent")
 ORACLE["recent_statistics"] = book_query(
     _LABEL_SIGNALS,

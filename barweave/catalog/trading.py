@@ -229,12 +229,12 @@ def _monthly_mean(spark, sf_dir):
 
 @query("last_days")
 def _last_days(spark, sf_dir):
-    return _shown_results(reports.last_days(reports.daily_results(label_ledger(spark, sf_dir)), 10), "date")
+    return _shown_results(reports.last_days(reports.daily_results(label_ledger(spark, sf_dir))), "date")
 
 
 @query("recent_statistics")
 def _recent(spark, sf_dir):
-    table = reports.recent_statistics(reports.daily_results(label_ledger(spark, sf_dir)), 10)
+    table = reports.recent_statistics(reports.daily_results(label_ledger(spark, sf_dir)))
     return table.select("symbol", *[rounded(c).alias(c) for c in ("total_30", "mean_30", "std_30")])
 
 

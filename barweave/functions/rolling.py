@@ -72,12 +72,18 @@ class Frame:
         return F.when(F.count(x).over(frame) == n, moment / (n * (n + 1) / 2.0))
 
     def skew(self, x: Column, n: int) -> Column:
-        """Bias-corrected skewness; NULL for a constant window."""
-        return self.full(n, F.skewness(x), x) * ((n * (n - 1)) ** 0.5 / (n - 2))
+        """Bias-corrected skewness; 0 for a constant window."""
+        moment = self.full(n, F.skewness(x), x) * ((n * (n - 1)) ** 0.5 / (n - 2))
+        return F.when(self._constant(x, n), F.lit(0.0)).otherwise(moment)
 
     def kurt(self, x: Column, n: int) -> Column:
-        """Bias-corrected excess kurtosis; NULL for a constant window."""
-        return ((n + 1) * self.full(n, F.kurtosis(x), x) + 6) * ((n - 1) / ((n - 2) * (n - 3)))
+        """Bias-corrected excess kurtosis; -3 for a constant window."""
+        moment = ((n + 1) * self.full(n, F.kurtosis(x), x) + 6) * ((n - 1) / ((n - 2) * (n - 3)))
+        return F.when(self._constant(x, n), F.lit(-3.0)).otherwise(moment)
+
+    def _constant(self, x: Column, n: int) -> Column:
+        frame = self.last(n)
+        return (F.count(x).over(frame) == n) & (F.min(x).over(frame) == F.max(x).over(frame))
 
     def rows(self, x: Column, n: int, then: Callable[[Column], Column]) -> Column:
         """`then` applied to the array of the last n values, oldest first."""

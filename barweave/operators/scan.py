@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from barweave.functions.rolling import Frame
 from barweave.operators.blocks import prefix
 
-# A state weight below e^-NEGLIGIBLE cannot change a double.
-NEGLIGIBLE = 48.0
+# A state weight below e^-UNDERFLOW is zero as a double. Nothing above it is left out: quotients of
+# decayed states (RSI, ADX) still depend on very small ones.
+UNDERFLOW = 746.0
 # Largest exponent of lam ** position kept inside a block (doubles end near e^709).
 MAX_EXPONENT = 600.0
 
@@ -150,7 +151,7 @@ def _carry(states: DataFrame, scans: dict[str, Scan], tiling: Tiling) -> DataFra
     affine = {n: s for n, s in scans.items() if s.kind == "affine" and s.lam > 0}
     parts = []
     if affine:
-        reach = max(1 + math.ceil(NEGLIGIBLE / (tiling.rows * -math.log(s.lam))) for s in affine.values())
+        reach = max(1 + math.ceil(UNDERFLOW / (tiling.rows * -math.log(s.lam))) for s in affine.values())
         later = states.select("symbol", "blk", *affine).withColumn(
             "_i", F.explode(F.sequence(F.lit(1), F.lit(reach)))
         )

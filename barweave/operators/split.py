@@ -42,14 +42,14 @@ def stratified_split(
         .select(label, "_b", (F.col("_want") - F.col("_before")).alias("_rank"))
     )
     place = F.struct("_h", *keys)
-    in_edge = hashed.select(label, "_b", "_h", *keys).join(F.broadcast(edges), [label, "_b"])
+    in_edge = hashed.select(label, "_b", "_h", *keys).join(edges, [label, "_b"])
     cuts = (
         in_edge.withColumn("_i", F.row_number().over(Window.partitionBy(label, "_b").orderBy(place)))
         .where(F.col("_i") == F.col("_rank"))
         .select(label, place.alias("_cut"))
     )
     return (
-        hashed.join(F.broadcast(cuts), label, "left")
+        hashed.join(cuts, label, "left")
         .withColumn("is_test", F.coalesce(place <= F.col("_cut"), F.lit(False)))
         .drop("_h", "_b", "_cut")
     )

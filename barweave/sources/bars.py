@@ -44,13 +44,13 @@ def read_bars(
 
 
 def missing_to_null(df: DataFrame) -> DataFrame:
-    """NaN as NULL in every float column: the only missing value from here on."""
+    """NaN and infinities as NULL in every float column: the only missing value from here on."""
     floats = {
         f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))
     }
     return df.select(
         *[
-            F.nanvl(F.col(f"`{c}`"), F.lit(None).cast("double")).alias(c) if c in floats else F.col(f"`{c}`")
+            F.when(F.abs(F.col(f"`{c}`")) < float("inf"), F.col(f"`{c}`").cast("double")).alias(c) if c in floats else F.col(f"`{c}`")
             for c in df.columns
         ]
     )

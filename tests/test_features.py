@@ -175,3 +175,17 @@ def test_prefix_levels_agree(spark):
     small = prefix(rows, ["v"], size=7).orderBy("blk").toPandas()
     large = prefix(rows, ["v"], size=5000).orderBy("blk").toPandas()
     pd.testing.assert_frame_equal(small, large)
+
+
+@pytest.mark.parametrize("block_rows", [128, 256, 1024])
+def test_long_flat_stretch_keeps_the_quotient(spark, block_rows):
+    """After moving bars and thousands of flat ones, RSI and ADX are what they were, in any blocks."""
+    rng = np.random.default_rng(5)
+    close = np.concatenate([100 + np.cumsum(rng.normal(0, 1, 300)), np.zeros(3000)])
+    close[300:] = close[299]
+    time = pd.date_range("2024-01-01", periods=len(close), freq="5min")
+    bars = spark.createDataFrame(
+        pd.DataFrame({"symbol": "S", "time": time, "open": close, "high": close, "low": close, "close": close, "tick_volume": 1})
+    )
+    got = features(bars, ["rsi_14"], 300, block_rows=block_rows).orderBy("time").toPandas()["rsi_14"].to_numpy()
+    assert np.allclose(got[300:], got[300], rtol=1e-9, atol=0)
