@@ -28,6 +28,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXTS_PER_BATCH))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows for the jobs inside, for narrow rows; their bytes stay bounded by the session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables of one run in a folder of their own below the shared folder.
 

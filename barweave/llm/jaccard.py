@@ -28,10 +28,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barweave.llm.common import Scratch, small_batches
+from barweave.llm.common import Scratch, batches_of, small_batches
 from barweave.llm.components import components
 
 LONG_LIST = 64  # pairs of shorter lists are formed at once
+ENTRIES_PER_BATCH = 10_000
 IN_PLACE = 8192  # members of a list whose bitmaps are compared sooner than they are indexed again
 SMALL_SET = 40  # up to here a set's own size is about the cost of deletions
 COMPARED = 4096  # rows of one block of a long list
@@ -513,7 +514,8 @@ def linked_documents(
     meta = room.save(own.select("key", "n_shingles", "bitmap").dropDuplicates(["key"]), "meta")
     body = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     members = body.join(meta.select(F.col("key").alias("id")), "id", "left_semi")
-    found = room.save(job.pairs(job.index(members)), "lists-0")
+    with batches_of(docs.sparkSession, ENTRIES_PER_BATCH):
+        found = room.save(job.pairs(job.index(members)), "lists-0")
     near = room.save(
         job.apart(found.where(F.col("b").isNotNull()).select("a", "b").distinct(), meta).where(job.possible()).select("a", "b"),
         "near-0",
