@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from barweave.llm.common import Scratch, batches_of, small_batches
 from barweave.llm.components import components
 
-LONG_LIST = 64  # pairs of shorter lists are formed at once
+LONG_LIST = 8  # pairs of lists up to here are formed at once: at most 3.5 for each of their rows
 ENTRIES_PER_BATCH = 10_000
 IN_PLACE = 8192  # members of a list whose bitmaps are compared sooner than they are indexed again
 SMALL_SET = 40  # up to here a set's own size is about the cost of deletions
@@ -419,13 +419,15 @@ class Join:
         )
         return both.select("a", "b", "ta", "tb").mapInPandas(check, f"a {self.kind}, b {self.kind}")
 
-    def star(self, name: str, long_rows: DataFrame, meta: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(rows, links): every member of a long list beside one of them, and the links among these pairs."""
+    def star(self, name: str, long_rows: DataFrame, meta: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(rows, measured, links): every member of a long list beside one of them, these pairs once with their
+        bounds, and the links among them. Lists of the same sets mostly share their one, so the pairs are few."""
         pivots = long_rows.groupBy("list").agg(F.min("id").alias("a"))
         rows = long_rows.select("list", F.col("id").alias("b")).distinct().join(pivots, "list")
-        rows = self.room.save(self.apart(rows, meta), f"star-{name}")
-        near = rows.where(self.possible() & (F.col("a") != F.col("b"))).select("a", "b").distinct()
-        return rows, self.room.save(self.verified(near, texts), f"star-links-{name}")
+        rows = self.room.save(rows, f"star-{name}")
+        measured = self.room.save(self.apart(rows.select("a", "b").distinct(), meta), f"star-apart-{name}")
+        near = measured.where(self.possible() & (F.col("a") != F.col("b"))).select("a", "b")
+        return rows, measured, self.room.save(self.verified(near, texts), f"star-links-{name}")
 
     def still_open(self, star: DataFrame, links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """(lists, labels): long lists that hold several components, and everybody's component so far."""
@@ -526,7 +528,7 @@ def linked_documents(
     texts = room.save(body.join(wanted, "id", "left_semi"), "texts")
     links = room.save(job.verified(near, texts), "links-0")
     if not long_rows.isEmpty():
-        star, more = job.star("0", long_rows, meta, texts)
+        star, measured, more = job.star("0", long_rows, meta, texts)
         links = room.save(links.unionByName(more), "links-1")
         lists, labels = job.still_open(star, links, "0")
         open_star = room.save(star.join(lists, "list", "left_semi"), "open")
@@ -538,7 +540,7 @@ def linked_documents(
         rest = rest.select("list", "id", "deleted", label)
         if not longer.isEmpty():
             named = texts.join(longer.select(F.col("b").alias("id")).distinct(), "id", "left_semi").join(labels, "id", "left")
-            found = room.save(job.pairs(job.index_again(named.withColumn("label", label), job.allotment(longer))), "lists-1")
+            found = room.save(job.pairs(job.index_again(named.withColumn("label", label), job.allotment(longer.join(measured, ["a", "b"])))), "lists-1")
             pairs = found.where(F.col("b").isNotNull()).select("a", "b").distinct()
             near = job.apart(pairs, meta).where(job.possible()).select("a", "b")
             links = room.save(links.unionByName(job.verified(near, texts)), "links-2")
