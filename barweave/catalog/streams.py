@@ -67,6 +67,7 @@ def crossing_signal(bars: DataFrame) -> DataFrame:
 def _alerts(spark, sf_dir):
     folder = new_folder(spark)
     bars = bar_stream(tick_stream(spark, sf_dir), HOUR)
-    score_bars(trading_hours(bars), folder, crossing_signal, HOUR, trigger=ONCE).awaitTermination()
+    names = ["sma_cross_signal_9_21"]
+    score_bars(trading_hours(bars), folder, crossing_signal, HOUR, names, trigger=ONCE).awaitTermination()
     stream = position_stream(read_signals(spark, folder))
     return finished(alerts(stream), folder, "alerts")

@@ -81,6 +81,39 @@ def _check(rows: int, found: dict[str, Feature], reach: int) -> None:
                 raise ValueError(f"{f.name} needs blocks smaller than {rows} rows")
 
 
+def _fits(names: list[str], own: dict[str, Feature], columns: list[str]) -> bool:
+    """Whether one block size serves all of these features."""
+    found = _gather(names, own, columns)
+    reach = max(0, *_levels(found)[1].values()) if found else 0
+    try:
+        _check(_block_rows(found, reach), found, reach)
+    except ValueError:
+        return False
+    return True
+
+
+def _tilings(names: list[str], own: dict[str, Feature], columns: list[str]) -> list[list[str]]:
+    """The features in groups that can share a block size; one group where they all can."""
+    if _fits(names, own, columns):
+        return [names]
+    groups: list[list[str]] = []
+    for name in names:
+        group = next((g for g in groups if _fits([*g, name], own, columns)), None)
+        if group is None:
+            groups.append([name])
+        else:
+            group.append(name)
+    return groups
+
+
+def rows_needed(names: list[str], columns: list[str], own: list[Feature] = ()) -> int | None:
+    """How many earlier bars of its symbol decide a bar's features; None where the whole past does."""
+    found = _gather(names, {f.name: f for f in own}, [*columns, "rn"])
+    if any(f.scan or "rn" in f.needs for f in found.values()):
+        return None
+    return max(0, *_levels(found)[1].values()) if found else 0
+
+
 def features(
     bars: DataFrame,
     names: list[str],
@@ -98,6 +131,7 @@ def features(
 
     A table that already holds `rn` is not numbered again. Features that need a recurrence
     store the numbered bars once in the shared folder, as they are read once per level.
+    Features that cannot share a block size are formed one group after the other.
     """
     columns = bars.columns
     keep = list(columns) if keep is None else keep
@@ -109,6 +143,13 @@ def features(
     if not ordered:
         return _add_layers(bars, list(found), found, frame).select(*[q(c) for c in wanted])
 
+    groups = [names] if block_rows else _tilings(names, rules, columns + ["rn"])
+    if len(groups) > 1:
+        table = bars if "rn" in columns else stage(number_rows(bars, bar_seconds), "numbered")
+        for group in groups[:-1]:
+            table = stage(features(table, group, bar_seconds, own=own), "tiling")
+        return features(table, groups[-1], bar_seconds, own=own).select(*[q(c) for c in wanted])
+
     level, back, skip = _levels(found)
     reach = max(max(back.values(), default=0), 0)
     rows = block_rows or _block_rows(found, reach)

@@ -194,19 +194,13 @@ def threshold_sweep(
 
 
 def sampled_grid(grid: dict = GRID, size: int = 50, seed: int = SEED) -> list[dict]:
-    """`size` random combinations of the grid, as Spark parameters, each once."""
+    """`size` different random combinations of the grid, as Spark parameters; all if there are no more."""
     combinations = [{}]
     for name, values in grid.items():
-        combinations = [{**c, name: v} for c in combinations for v in values]
-    drawn = random.Random(seed).sample(combinations, min(size, len(combinations)))
-    found = []
-    for c in drawn:
-        c = {k: v for k, v in c.items() if k != "min_samples_split"}
-        if c.get("maxDepth", 0) is None:
-            c["maxDepth"] = MAX_DEPTH
-        if c not in found:
-            found.append(c)
-    return found
+        if name != "min_samples_split":
+            values = [MAX_DEPTH if name == "maxDepth" and v is None else v for v in values]
+            combinations = [{**c, name: v} for c in combinations for v in values]
+    return random.Random(seed).sample(combinations, min(size, len(combinations)))
 
 
 def random_search(

@@ -13,10 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from barweave import schema as S
 from barweave.operators.ledger import closing_bar, ledger, local_clock
-from barweave.plans.features import features
+from barweave.plans.features import features, rows_needed
+from barweave.plans.registry import Feature
 from barweave.sources.bars import last_rows
 
 TRIGGER = {"processingTime": "5 minutes"}
@@ -49,23 +51,33 @@ def score_bars(
     folder: str,
     score: Callable[[DataFrame], DataFrame],
     bar_seconds: int,
-    history: int = 200,
+    names: list[str],
+    own: list[Feature] = (),
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Append closed bars to `folder`/bars and their signals to `folder`/signals.
 
-    score(bars) returns (symbol, time, close, signal) for the new bars and the `history` bars
-    of each symbol before them, computed with the batch code; the rows of the new bars are
-    kept. `folder`/recent holds those last bars, so a batch never reads the whole past.
+    score(bars) returns (symbol, time, close, signal), computed with the batch code from the
+    features `names` (`own`: rules of its own, as for `features`). It gets the new bars and the
+    earlier bars of each symbol that these features look at; the rows of the new bars are kept.
+    Where all features look back a bounded number of bars, `folder`/recent holds just these.
+    Recurrences and running totals follow from the whole past, so with them every batch reads all
+    of `folder`/bars; the signals are those of the batch code in both cases.
     A batch that runs again overwrites its own folders, so nothing is written twice.
     """
+    history = rows_needed(names, bars.columns, own)
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = rewrite(batch, f"{folder}/bars/batch={batch_id}")
-        before = read_if_there(spark, f"{folder}/recent/batch={batch_id - 1}", batch.schema)
-        known = new if before is None else before.unionByName(new)
-        rewrite(last_rows(known, history, bar_seconds), f"{folder}/recent/batch={batch_id}")
+        if history is None:
+            dated = StructType([*batch.schema.fields, StructField("batch", LongType())])
+            known = spark.read.schema(dated).parquet(f"{folder}/bars").where(F.col("batch") <= batch_id).drop("batch")
+        else:
+            # Two folders in turn: a batch that runs again still finds what it read.
+            before = read_if_there(spark, f"{folder}/recent/{(batch_id - 1) % 2}", batch.schema) if batch_id else None
+            known = new if before is None else before.unionByName(new)
+            rewrite(last_rows(known, history, bar_seconds), f"{folder}/recent/{batch_id % 2}")
         firsts = new.groupBy("symbol").agg(F.min("time").alias("_from"))
         fresh = score(known).join(firsts, "symbol").where(F.col("time") >= F.col("_from"))
         signal = F.coalesce("signal", F.lit(0)).cast("int").alias("signal")

@@ -189,3 +189,15 @@ def test_long_flat_stretch_keeps_the_quotient(spark, block_rows):
     )
     got = features(bars, ["rsi_14"], 300, block_rows=block_rows).orderBy("time").toPandas()["rsi_14"].to_numpy()
     assert np.allclose(got[300:], got[300], rtol=1e-9, atol=0)
+
+
+def test_features_of_different_block_sizes(bars, bars_frame):
+    """A fast and a slow average, and one whose window is longer than the fast one's blocks, in one call."""
+    from loops import ema
+
+    got = by_symbol(features(bars, ["ema_2", "ema_1200", "sma_1400"], SECONDS))["A"]
+    close = bars_frame[bars_frame.symbol == "A"].sort_values("time").close.to_numpy()
+    np.testing.assert_allclose(got.ema_2.to_numpy(float), ema(close, 2), rtol=1e-9)
+    np.testing.assert_allclose(got.ema_1200.to_numpy(float), ema(close, 1200), rtol=1e-9)
+    want = pd.Series(close).rolling(1400).mean()
+    np.testing.assert_allclose(got.sma_1400.to_numpy(float), want, rtol=1e-9)

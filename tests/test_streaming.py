@@ -128,20 +128,22 @@ def test_alerts(spark, signals):
     assert got.message.str.contains("A|B").all()
 
 
-def test_live_scores_equal_batch(spark, ticks):
-    """Two arrivals: the second sees the last bars of the first."""
+@pytest.mark.parametrize("names", [["sma_diff_9_21"], ["obv", "ema_21", "rsi_14"]])
+def test_live_scores_equal_batch(spark, ticks, names):
+    """Two arrivals: the second sees what the features need of the first, all of it for recurrences."""
     from barweave.plans.features import features
 
     def score(bars):
-        t = features(bars, ["sma_diff_9_21"], SECONDS, keep=["symbol", "time", "close"])
-        return t.withColumn("signal", F.signum("sma_diff_9_21").cast("int"))
+        t = features(bars, names, SECONDS, keep=["symbol", "time", "close"])
+        parts = [F.coalesce(F.round(n, 6).cast("string"), F.lit("")) for n in names]
+        return t.withColumn("signal", F.hash(*parts))
 
     folder = new_folder(spark)
     half = len(ticks) // 2
     for part in (ticks.iloc[:half], ticks.iloc[half:]):
         spark.createDataFrame(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
         stream = bar_stream(read_tick_stream(spark, f"{folder}/in", 1), SECONDS)
-        score_bars(stream, folder, score, SECONDS, history=40, trigger=ONCE).awaitTermination()
+        score_bars(stream, folder, score, SECONDS, names, trigger=ONCE).awaitTermination()
     got = spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/signals").toPandas()
     want = score(bars_from_ticks(spark.createDataFrame(ticks), SECONDS)).fillna({"signal": 0}).toPandas()
     want = want[want.time <= ticks.ts.max() - pd.Timedelta(minutes=15)]
