@@ -609,6 +609,7 @@ _win("haar_detail", "close _prev", 0, lambda w: (C("_prev") - C("close")) / F.li
 
 # --- named sets -----------------------------------------------------------------------------
 
+# The columns of each set.
 SETS: dict[str, list[str]] = {
     "core": """volatility change_percent avg_price sma_5 sma_9 sma_21 sma_50 sma_100 sma_200
         ema_5 ema_9 ema_21 ema_50 ema_100 ema_200 rsi_14 rsi_9 macd signal_macd

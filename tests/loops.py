@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 import numpy as np
 import pandas as pd
@@ -130,9 +131,18 @@ def obv(b):
 
 
 def hurst(w):
-    lags = np.arange(2, 20)
-    spread = np.array([np.std(w[lag:] - w[:-lag]) for lag in lags])
-    return NAN if (spread < 1e-12).any() else np.polyfit(np.log(lags), np.log(spread), 1)[0] * 2
+    """Twice the least-squares slope of log(deviation of the changes over k rows) on log(k), k from 2 to 19."""
+    points = []
+    for k in range(2, 20):
+        changes = [later - earlier for earlier, later in zip(w, w[k:])]
+        mean = math.fsum(changes) / len(changes)
+        deviation = math.sqrt(math.fsum((x - mean) ** 2 for x in changes) / len(changes))
+        if deviation < 1e-12:
+            return NAN
+        points.append((math.log(k), math.log(deviation)))
+    middle = math.fsum(x for x, _ in points) / len(points)
+    rise = math.fsum((x - middle) * y for x, y in points)
+    return 2 * rise / math.fsum((x - middle) ** 2 for x, _ in points)
 
 
 def adf(w):
