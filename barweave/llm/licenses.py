@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from importlib import resources
 from zlib import crc32
 
 import numpy as np
@@ -21,34 +22,84 @@ MAX_TEMPLATE_WORDS = 2_000_000
 WORD = re.compile(r"[^\W_]+")
 MATCH, MISS = 2, -1
 
-# Notices and short licenses, as published by their authors.
-TEMPLATES = {
-    "Apache-2.0 (line)": "Licensed under the Apache License, Version 2.0.",
-    "MIT (line)": "Released under the MIT License.",
-    "GPL-3.0 (line)": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0 (line)": "Licensed under CC BY-NC 4.0.",
-    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+# The notices the licenses' own authors ask for, whole.
+NOTICES = {
+    "Apache-2.0 (notice)": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
         compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
         Unless required by applicable law or agreed to in writing, software distributed under the License is distributed
         on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for
         the specific language governing permissions and limitations under the License.""",
-    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
-        General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
-        option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
+    "MPL-2.0 (notice)": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
+        MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+} | {
+    f"{name} (notice)": f"""This {kind} is free software: you can redistribute it and/or modify it under the terms of the GNU
+        {title} as published by the Free Software Foundation, either version {version} of the License, or (at your
+        option) any later version. This {kind} is distributed in the hope that it will be useful, but WITHOUT ANY
         WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
-        General Public License for more details.""",
-    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-        documentation files (the "Software"), to deal in the Software without restriction, including without limitation
-        the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and
-        to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above
-        copyright notice and this permission notice shall be included in all copies or substantial portions of the
-        Software.""",
-    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-        granted, provided that the above copyright notice and this permission notice appear in all copies.""",
-    "BSD": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
-        the following conditions are met: Redistributions of source code must retain the above copyright notice, this
-        list of conditions and the following disclaimer.""",
+        {title} for more details. You should have received a copy of the GNU {title} along with this {kind}. If not,
+        see <http://www.gnu.org/licenses/>."""
+    for name, kind, title, version in [
+        ("GPL-2.0", "program", "General Public License", "2"),
+        ("GPL-3.0", "program", "General Public License", "3"),
+        ("LGPL-2.1", "library", "Lesser General Public License", "2.1"),
+        ("LGPL-3.0", "library", "Lesser General Public License", "3"),
+        ("AGPL-3.0", "program", "Affero General Public License", "3"),
+    ]
 }
+# The whole license texts lie beside this module, one file each, named by their SPDX identifiers.
+TEXTS = (
+    "Apache-2.0", "Artistic-1.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC",
+    "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+)
+TEMPLATES = {
+    name: resources.files("barweave.llm").joinpath("license_texts", f"{name}.txt").read_text("utf-8") for name in TEXTS
+} | NOTICES
+# Templates that are variants of each other: over the same words, the one that matches most of them is reported.
+RIVALS = {name: "BSD" for name in ("BSD-2-Clause", "BSD-3-Clause")}
+RIVALS |= {name: "GNU" for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0")}
+RIVALS |= {name: "notice" for name in NOTICES if "GPL" in name}
+
+# One sentence that names a license: a verb, "under" and the name. Names are read as written; of the other words one may
+# be missing or changed, as far as the coverage allows.
+GRANTS = frozenset(
+    "licensed licenced relicensed sublicensed released distributed redistributed published provided available offered shared covered "
+    "governed used reused usable protected".split()
+)
+FILLERS = frozenset("the a an this its terms term of conditions condition following and same either".split())
+GNU = r"(?:GNU[\W_]+)?"
+NAMES = [
+    ("AGPL", GNU + r"(?:Affero[\W_]+General[\W_]+Public[\W_]+Licen[sc]e|AGPL)"),
+    ("LGPL", GNU + r"(?:(?:Lesser|Library)[\W_]+General[\W_]+Public[\W_]+Licen[sc]e|LGPL)"),
+    ("GPL", GNU + r"(?:General[\W_]+Public[\W_]+Licen[sc]e|GPL)"),
+    ("MPL", r"(?:Mozilla[\W_]+Public[\W_]+Licen[sc]e|MPL)"),
+    ("EPL", r"(?:Eclipse[\W_]+Public[\W_]+Licen[sc]e|EPL)"),
+    ("Apache", r"Apache(?:[\W_]+Software)?(?:[\W_]+Licen[sc]e)?"),
+    ("Artistic", r"Artistic[\W_]+Licen[sc]e"),
+    ("CC0", r"(?:CC0|CC[\W_]+Zero|Creative[\W_]+Commons[\W_]+Zero)"),
+    ("CC-BY", r"(?:CC[\W_]+BY(?![^\W_])|Creative[\W_]+Commons[\W_]+Attribution)"
+        r"(?:[\W_]+(?:NC|SA|ND|Non[\W_]?Commercial|Share[\W_]?Alike|No[\W_]?Deriv(?:ative|ativ)?(?:e?s)?(?:[\W_]+Works)?)(?![^\W_]))*"),
+    ("BSD-2-Clause", r"(?:(?:(?:2|two)[\W_]+clause|simplified|FreeBSD)[\W_]+BSD|BSD[\W_]+(?:2|two)[\W_]+clause)"),
+    ("BSD-3-Clause", r"(?:(?:(?:3|three)[\W_]+clause|new|modified|revised)[\W_]+BSD|BSD[\W_]+(?:3|three)[\W_]+clause)"),
+    ("BSD", r"BSD"),
+    ("BSL", r"(?:Boost[\W_]+Software[\W_]+Licen[sc]e|BSL)"),
+    ("MIT", r"(?:MIT|Expat)"),
+    ("ISC", r"ISC"),
+    ("Unlicense", r"Unlicense"),
+    ("Zlib", r"zlib(?:[\W_]+libpng)?"),
+]
+NAMED = re.compile(
+    r"(?<![^\W_])(?:" + "|".join(f"({pattern})" for _, pattern in NAMES) + r")(?![^\W_])(?:[\W_]+style(?![^\W_]))?"
+    r"(?:[\W_]+(?:Public[\W_]+)?(?:Licen[sc]e|Dedication)(?![^\W_]))?"
+    r"(?:[\W_]{0,3}(?:(?:version|v)\.?\s*)?(\d(?:\.\d){0,2})(?![^\W_]))?(?:[\W_]+(?:International|Unported|Universal)(?![^\W_]))?"
+    r"(?:[\W_]+(?:Public[\W_]+)?Licen[sc]e(?![^\W_]))?",
+    re.IGNORECASE,
+)
+FIRST_WORDS = frozenset(
+    "gnu affero agpl lesser library lgpl general gpl mozilla mpl eclipse epl apache artistic cc0 cc creative 2 two simplified freebsd "
+    "bsd 3 three new modified revised boost bsl mit expat isc unlicense zlib".split()
+)
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
+REACH = 160  # code points before a name in which the sentence begins
 
 
 @dataclass(frozen=True)
@@ -87,49 +138,144 @@ def winnow(prints: np.ndarray) -> list[int]:
     return kept
 
 
+def spdx_matches(text: str) -> list[Match]:
+    """The identifiers of every SPDX line, in the order read; an exception after WITH is part of its license."""
+    out = []
+    for line in SPDX.finditer(text):
+        names, end, after = [], 0, True
+        for token in re.finditer(r"[A-Za-z0-9.+:-]+|[()]|\S", line[1]):
+            word = token[0].upper()
+            if word in "()":
+                continue
+            if after == (word in ("AND", "OR", "WITH")) or not re.match(r"[A-Za-z0-9]", word):
+                break
+            if not after:
+                after = word
+                continue
+            if after != "WITH":
+                names.append(token[0].rstrip(".:-"))
+            end, after = token.start() + len(token[0].rstrip(".:-")), False
+        out += [Match(f"{name} (SPDX)", 1.0, line.start(), line.start(1) + end) for name in dict.fromkeys(names)]
+    return out
+
+
+def line_matches(text: str, words: list[str], least: float) -> list[Match]:
+    """Sentences that name a license: the verb, "under" and the words of the name are counted, fillers are not."""
+    if FIRST_WORDS.isdisjoint(words) or not ("under" in words or not GRANTS.isdisjoint(words)):
+        return []
+    out = []
+    for name in NAMED.finditer(text):
+        low = max(0, name.start() - REACH)
+        before = [(m[0].lower(), low + m.start()) for m in WORD.finditer(text[low : name.start()])][::-1]
+        before = [*before, ("", 0), ("", 0), ("", 0)]
+        at = strange = 0
+        while before[at][0] in FILLERS:
+            at += 1
+        if before[at][0] != "under" and before[at][0] not in GRANTS:
+            at, strange = at + 1, 1
+            while before[at][0] in FILLERS:
+                at += 1
+        first, cues = None, 0
+        if before[at][0] == "under":
+            first, cues, at = before[at][1], 1, at + 1
+        if before[at][0] in GRANTS:
+            first, cues = before[at][1], cues + 1
+        size = len(WORD.findall(name[0]))
+        coverage = (cues + size) / (2 + size + strange)
+        if first is not None and coverage >= least:
+            out.append(Match(f"{_identifier(name)} (line)", round(coverage, 6), first, name.end()))
+    return out
+
+
+def _identifier(name: re.Match) -> str:
+    k = next(i for i in range(len(NAMES)) if name[i + 1])
+    own, version = NAMES[k][0], name[len(NAMES) + 1]
+    if own == "CC-BY":
+        said = re.sub(r"[\W_]", "", name[k + 1]).lower()
+        own += "".join(f"-{x}" for x, long in (("NC", "noncommercial"), ("SA", "sharealike"), ("ND", "noderiv")) if long in said
+                       or re.search(rf"(?<![^\W_]){x}(?![^\W_])", name[k + 1], re.IGNORECASE))
+    if version and own not in ("MIT", "ISC", "Unlicense", "Zlib") and not own.startswith("BSD"):
+        own += "-" + (version if "." in version else version + ".0")
+    return own
+
+
 class Scanner:
     """The inverted index of the templates' fingerprints, and the search."""
 
-    def __init__(self, templates: dict[str, str], least: float = LEAST_COVERAGE):
-        self.least = least
-        self.words = {name: word_ids(text)[1] for name, text in templates.items()}
+    def __init__(self, templates: dict[str, str], least: float = LEAST_COVERAGE, lines: bool = False):
+        self.least, self.lines = least, lines
+        self.words, self.ids = {}, {}
         self.index: dict[int, list[tuple[str, int]]] = defaultdict(list)
         for name, text in templates.items():
-            prints = grams(word_ids(text)[0])
+            self.ids[name], self.words[name] = word_ids(text)
+            prints = grams(self.ids[name])
             for place in winnow(prints):
                 self.index[int(prints[place])].append((name, place))
         self.known = np.array(sorted(self.index), np.uint64)
 
     def scan(self, text: str | None) -> list[Match]:
         """Matches in code points of the text. A run of template words that covers a winnowing window is found."""
-        if not isinstance(text, str) or not len(self.known):
+        if not isinstance(text, str):
             return []
         ids, words = word_ids(text)
+        out = spdx_matches(text) + line_matches(text, words, self.least) if self.lines else []
+        found = self._aligned(ids, words)
+        if found:
+            places = [m.span() for m in WORD.finditer(text)]
+            if len(places) != len(words):  # a character changed its length in lower case
+                places = _places(text)
+            out += [Match(name, round(c, 6), places[a][0], places[b][1]) for (name, a, b), c in found.items()]
+        return sorted(out, key=lambda m: (m.first, m.last, m.license))
+
+    def _aligned(self, ids: np.ndarray, words: list[str]) -> dict[tuple[str, int, int], float]:
+        if not len(self.known):
+            return {}
         prints = grams(ids)
         at = np.searchsorted(self.known, prints)
         hits = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] == prints)
-        if len(hits) == 0:
-            return []
-        diagonals = defaultdict(list)
+        diagonals = defaultdict(set)
         for place in hits.tolist():
             for name, own in self.index[int(prints[place])]:
-                diagonals[name].append(place - own)
-        found = {}
+                diagonals[name].add(place - own)
+        found, present = {}, np.unique(ids)
         for name, offsets in diagonals.items():
-            for offset in near_ones(sorted(set(offsets))):
+            template, size = self.ids[name], len(self.words[name])
+            if np.isin(template, present).sum() < self.least * size:
+                continue
+            for offset in near_ones(sorted(offsets)):
+                if most(template, ids, offset) < self.least * size:
+                    continue
                 matched, first, last = align(self.words[name], words, offset)
-                coverage = matched / len(self.words[name])
-                if coverage >= self.least:
-                    found[name, first, last] = coverage
-        if not found:
-            return []
-        places = [m.span() for m in WORD.finditer(text)]
-        if len(places) != len(words):  # a character changed its length in lower case
-            places = _places(text)
-        return sorted(
-            (Match(name, round(c, 6), places[a][0], places[b][1]) for (name, a, b), c in found.items()),
-            key=lambda m: (m.first, m.last, m.license),
-        )
+                if matched / size >= self.least:
+                    found[name, first, last] = matched / size
+        return without_rivals(found, {name: len(w) for name, w in self.words.items()})
+
+
+def most(template: np.ndarray, ids: np.ndarray, offset: int) -> int:
+    """A bound for the words that `align` can match: those with an equal word anywhere in the band."""
+    low, high = max(0, -offset - BAND), min(len(template), len(ids) - offset + BAND)
+    if high <= low:
+        return 0
+    seen = np.zeros(high - low, bool)
+    for drift in range(offset - BAND, offset + BAND + 1):
+        a, b = max(low, -drift), min(high, len(ids) - drift)
+        if a < b:
+            seen[a - low : b - low] |= template[a:b] == ids[a + drift : b + drift]
+    return int(seen.sum())
+
+
+def without_rivals(found: dict[tuple[str, int, int], float], sizes: dict[str, int]) -> dict[tuple[str, int, int], float]:
+    """Of rivals over mostly the same words the one with most words matched stays, then the one covered best."""
+    kept: dict[tuple[str, int, int], float] = {}
+    for (name, a, b), c in sorted(found.items(), key=lambda x: (-round(x[1] * sizes[x[0][0]]), -x[1], x[0])):
+        beaten = any(
+            name != other and name in RIVALS and RIVALS.get(other) == RIVALS[name]
+            and 2 * (min(b, y) - max(a, x) + 1) > min(b - a, y - x) + 1
+            for other, x, y in kept
+        )
+        if not beaten:
+            kept[name, a, b] = c
+    return kept
 
 
 def _places(text: str) -> list[tuple[int, int]]:
@@ -182,17 +328,19 @@ def scan_licenses(
     """`docs` with `licenses`: array of (license, coverage, first, last), by place in the text.
 
     coverage is the share of the template's words that are matched; first and last (exclusive) are
-    code points. Null or empty text has no matches. Rows are judged alone, without a shuffle;
+    code points. Without `templates` the scan knows TEMPLATES, of which variants of each other are told
+    apart (RIVALS), sentences that name a license ("X (line)") and SPDX lines ("X (SPDX)"); given
+    templates are looked for alone. Null or empty text has no matches. Rows are judged alone, without a shuffle;
     repeated rows give equal results; a column `licenses` of `docs` is replaced. The templates are
     held by every task and must have fewer than MAX_TEMPLATE_WORDS words in all.
     """
-    chosen = TEMPLATES if templates is None else templates
+    chosen, lines = (TEMPLATES, True) if templates is None else (templates, False)
     if sum(len(WORD.findall(t)) for t in chosen.values()) > MAX_TEMPLATE_WORDS:
         raise ValueError("too many template words; scan them in parts")
 
     @F.pandas_udf("array<struct<license:string,coverage:double,first:long,last:long>>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scanner = Scanner(chosen, least)
+        scanner = Scanner(chosen, least, lines)
         for texts in batches:
             yield pd.Series([[vars(m) for m in scanner.scan(t)] for t in texts], dtype=object)
 

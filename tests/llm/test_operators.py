@@ -190,6 +190,40 @@ def test_license_matches(spark, docs, none):
     assert licenses.scan_licenses(docs).count() == len(TEXTS)
 
 
+def test_whole_licenses_are_covered_to_their_end():
+    scanner = licenses.Scanner(licenses.TEMPLATES, lines=True)
+    ends = {"MIT": "in the software.", "ISC": "of this software.", "BSD-2-Clause": "of such damage.", "Apache-2.0": "under the license.", "GPL-3.0": "why-not-lgpl.html"}
+    for name, text in licenses.TEMPLATES.items():
+        for put in (text, "Kopf. " * 30 + text + " Ende." * 30):
+            whole = [m for m in scanner.scan(put) if m.license == name]
+            assert [m.coverage for m in whole] == [1.0], name
+            part = put[whole[0].first : whole[0].last].lower()
+            assert ends.get(name, "x").rstrip(".") in part.replace("\n", " ") + "x"
+    assert [m.license for m in scanner.scan(licenses.TEMPLATES["BSD-3-Clause"]) if m.license.startswith("BSD")] == ["BSD-3-Clause"]
+    apache = licenses.TEMPLATES["Apache-2.0"]
+    assert any(m.license == "Apache-2.0" for m in scanner.scan(apache[: apache.index("APPENDIX")]))
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("It is distributed under the terms of the BSD 3-Clause License, see", [("BSD-3-Clause (line)", 1.0, "distributed under the terms of the BSD 3-Clause License")]),
+        ("Released under teh MIT License.", [("MIT (line)", 0.8, "Released under teh MIT License")]),
+        ("Relesed under the MIT License.", [("MIT (line)", 0.75, "under the MIT License")]),
+        ("Licensed under the GNU AGPL v3", [("AGPL-3.0 (line)", 1.0, "Licensed under the GNU AGPL v3")]),
+        ("available under the Creative Commons Attribution-ShareAlike 4.0 International License", [("CC-BY-SA-4.0 (line)", 1.0, "available under the Creative Commons Attribution-ShareAlike 4.0 International License")]),
+        ("published under the Mozilla Public License, version 2.0", [("MPL-2.0 (line)", 1.0, "published under the Mozilla Public License, version 2.0")]),
+        ("/* SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) */", [
+            ("GPL-2.0-only (SPDX)", 1.0, "SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0"),
+            ("MIT (SPDX)", 1.0, "SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0")]),
+        ("Released under the Foo License. Fahrt mit dem Bus. He studied at MIT under a professor.", []),
+    ],
+)
+def test_license_lines(text, want):
+    scanner = licenses.Scanner(licenses.TEMPLATES, lines=True)
+    assert [(m.license, m.coverage, text[m.first : m.last]) for m in scanner.scan(text)] == want
+
+
 def test_alignment_against_full_dynamic_programming():
     rng = np.random.default_rng(3)
     for _ in range(30):
