@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 GRAM = 3  # words of a fingerprint
 WINNOW = 4  # of so many fingerprints in a row the least is kept
+FEW = 24  # of a template with fewer kept fingerprints all are indexed, of runs short enough to outlast the words it may lack
 BAND = 12  # words by which a match may drift from its diagonal
 LEAST_COVERAGE = 0.7
 MAX_TEMPLATE_WORDS = 2_000_000
@@ -115,11 +117,11 @@ def word_ids(text: str) -> tuple[np.ndarray, list[str]]:
     return np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)), words
 
 
-def grams(ids: np.ndarray) -> np.ndarray:
-    """A hash for every run of GRAM words; one of all words if there are fewer."""
+def grams(ids: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """A hash for every run of `size` words; one of all words if there are fewer."""
     if len(ids) == 0:
         return ids
-    size = min(GRAM, len(ids))
+    size = min(size, len(ids))
     out = np.zeros(len(ids) - size + 1, np.uint64)
     for i in range(size):
         out = out * np.uint64(0x9E3779B97F4A7C15) + ids[i : i + len(out)] + np.uint64(1)
@@ -205,16 +207,19 @@ class Scanner:
     def __init__(self, templates: dict[str, str], least: float = LEAST_COVERAGE, lines: bool = False):
         self.least, self.lines = least, lines
         self.words, self.ids = {}, {}
-        self.index: dict[int, list[tuple[str, int]]] = defaultdict(list)
+        self.index: dict[int, dict[int, list[tuple[str, int]]]] = defaultdict(lambda: defaultdict(list))  # by words of a gram
         for name, text in templates.items():
             self.ids[name], self.words[name] = word_ids(text)
-            prints = grams(self.ids[name])
-            for place in winnow(prints):
-                self.index[int(prints[place])].append((name, place))
-        self.known = np.array(sorted(self.index), np.uint64)
+            kept = winnow(grams(self.ids[name]))
+            size = GRAM if len(kept) >= FEW else unbroken(len(self.words[name]), least)
+            prints = grams(self.ids[name], size)
+            for place in kept if len(kept) >= FEW else range(len(prints)):
+                self.index[size][int(prints[place])].append((name, place))
+        self.known = {size: np.array(sorted(prints), np.uint64) for size, prints in self.index.items() if prints}
 
     def scan(self, text: str | None) -> list[Match]:
-        """Matches in code points of the text. A run of template words that covers a winnowing window is found."""
+        """Matches in code points of the text. A run of template words that covers a winnowing window is
+        found, and a short template whichever of its words are changed."""
         if not isinstance(text, str):
             return []
         ids, words = word_ids(text)
@@ -228,28 +233,55 @@ class Scanner:
         return sorted(out, key=lambda m: (m.first, m.last, m.license))
 
     def _aligned(self, ids: np.ndarray, words: list[str]) -> dict[tuple[str, int, int], float]:
-        if not len(self.known):
-            return {}
-        prints = grams(ids)
-        at = np.searchsorted(self.known, prints)
-        hits = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] == prints)
         diagonals = defaultdict(set)
-        for place in hits.tolist():
-            for name, own in self.index[int(prints[place])]:
-                diagonals[name].add(place - own)
+        for size, known in self.known.items():
+            if len(ids) < size:
+                continue
+            prints = grams(ids, size)
+            at = np.searchsorted(known, prints)
+            for place in np.flatnonzero(known[np.minimum(at, len(known) - 1)] == prints).tolist():
+                for name, own in self.index[size][int(prints[place])]:
+                    diagonals[name].add(place - own)
+        if not diagonals:
+            return {}
         found, present = {}, np.unique(ids)
         for name, offsets in diagonals.items():
             template, size = self.ids[name], len(self.words[name])
             if np.isin(template, present).sum() < self.least * size:
                 continue
-            for offset in near_ones(sorted(offsets)):
-                if most(template, ids, offset) < self.least * size:
-                    continue
-                matched, first, last = align(self.words[name], words, offset)
-                if matched / size >= self.least:
-                    found[name, first, last] = matched / size
+            for first, last, matched in self._apart(name, ids, words, near_ones(sorted(offsets), min(BAND, size - 1))):
+                found[name, first, last] = matched / size
         return without_rivals(found, {name: len(w) for name, w in self.words.items()})
 
+    def _apart(self, name: str, ids: np.ndarray, words: list[str], offsets: list[int]) -> list[tuple[int, int, int]]:
+        """(first, last, matched) of the matches of one template, none over another's words: the best is taken first, and the
+        search goes on in the words before and after it."""
+        template, own = self.ids[name], self.words[name]
+        least, taken, heap = self.least * len(own), [], []
+
+        def look(offset: int, low: int, high: int) -> None:
+            if high > low and most(template, ids[low:high], offset - low) >= least:
+                matched, first, last = align(own, words[low:high], offset - low)
+                if matched >= least:
+                    heapq.heappush(heap, (-matched, first + low, last + low, offset, low, high))
+
+        for offset in offsets:
+            look(offset, 0, len(words))
+        while heap:
+            matched, first, last, offset, low, high = heapq.heappop(heap)
+            over = next((t for t in taken if t[0] <= last and first <= t[1]), None)
+            if over is None:
+                taken.append(over := (first, last, -matched))
+            look(offset, low, min(high, over[0]))
+            look(offset, max(low, over[1] + 1), high)
+        return taken
+
+
+def unbroken(size: int, least: float) -> int:
+    """Words, GRAM at most, that stay in a row in any choice of `least` of `size` words."""
+    lost = int((1 - least) * size + 1e-9)
+    return max(1, min(GRAM, -(-(size - lost) // (lost + 1))))
+
 
 def most(template: np.ndarray, ids: np.ndarray, offset: int) -> int:
     """A bound for the words that `align` can match: those with an equal word anywhere in the band."""
@@ -283,11 +315,11 @@ def _places(text: str) -> list[tuple[int, int]]:
     return [(back[m.start()], back[m.end() - 1] + 1) for m in WORD.finditer(text.lower())]
 
 
-def near_ones(offsets: list[int]) -> list[int]:
-    """One offset for each run of offsets that lie within BAND of each other."""
+def near_ones(offsets: list[int], width: int = BAND) -> list[int]:
+    """One offset for each run of offsets that lie within `width` of each other."""
     out, group = [], [offsets[0]]
     for x in offsets[1:]:
-        if x - group[0] > BAND:
+        if x - group[0] > width:
             out.append(group[len(group) // 2])
             group = []
         group.append(x)

@@ -224,6 +224,23 @@ def test_license_lines(text, want):
     assert [(m.license, m.coverage, text[m.first : m.last]) for m in scanner.scan(text)] == want
 
 
+def test_short_notices_side_by_side_and_changed():
+    line = "Released under the MIT License"
+    scanner = licenses.Scanner({"short": line, "word": "Copyleft"})
+    for n in (1, 2, 3, 7):
+        text = "a b. " + f"{line}. " * n + "c d"
+        spans = [(m.first, m.last, m.coverage) for m in scanner.scan(text)]
+        assert spans == [(5 + 32 * i, 35 + 32 * i, 1.0) for i in range(n)]
+    assert len(scanner.scan("copyleft copyleft copyleft")) == 3
+    for i, word in enumerate(["Relesed", "undr", "teh", "MTI", "Licence"]):
+        words = [word if k == i else w for k, w in enumerate(line.split())]
+        assert [m.coverage for m in scanner.scan("x y " + " ".join(words) + " z")] == [0.8], word
+    mit = licenses.TEMPLATES["MIT"]
+    whole = licenses.Scanner({"MIT": mit})
+    text = " ".join([mit, "between", mit, mit])
+    assert [m.coverage for m in whole.scan(text)] == [1.0, 1.0, 1.0]
+
+
 def test_alignment_against_full_dynamic_programming():
     rng = np.random.default_rng(3)
     for _ in range(30):
