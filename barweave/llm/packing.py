@@ -81,10 +81,11 @@ class Packed:
 
 def pack(
     docs: DataFrame, room: Scratch, tokenizer: str, end_id: int, capacity: int = 1024,
-    key: str = "doc_id", text: str = "text",
+    key: str = "doc_id", text: str = "text", special: bool = False,
 ) -> Packed:
     """Encode and pack every row; the two result tables are written to `room`.
 
+    Strings of special tokens in a text are ordinary text, or become their ids with `special`.
     Null text counts as empty (one piece of the end id alone). A document of more than `capacity`
     ids is cut into pieces of `capacity`, the first of which may be shorter. Repeated rows are
     packed as often as they come; an empty table gives no pieces; other columns are not read.
@@ -95,7 +96,7 @@ def pack(
     kind = rows.schema["key"].dataType.simpleString()
 
     def cut(batches):
-        encode = encoder(tokenizer, "<u4").encode
+        encode = encoder(tokenizer, "<u4", special).encode
         end = np.array([end_id], "<u4").tobytes()
         row = TaskContext.get().partitionId() << 36
         for batch in batches:

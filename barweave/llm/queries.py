@@ -26,7 +26,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def op1_token_store(spark: SparkSession, folder: str) -> DataFrame:
     docs, room = table(spark, folder, "documents"), Scratch(spark, "tokens")
-    store = token_store.write_store(docs, room.folder, tokenizer_file("word_bpe_49k.json"), END_ID)
+    store = token_store.write_store(docs, room.folder, tokenizer_file("word_bpe_49k.json"), END_ID, special=True)
     rows = token_store.read_ids(store, token_store.look_up(store, docs.select("doc_id")))
     return rows.select(
         F.col("key").alias("doc_id"), F.col("start").cast("long"), F.col("length").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
@@ -59,7 +59,7 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def packed_pieces(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    packed = packing.pack(docs, Scratch(spark, "packing"), tokenizer_file("byte_bpe_50k.json"), END_ID, CAPACITY)
+    packed = packing.pack(docs, Scratch(spark, "packing"), tokenizer_file("byte_bpe_50k.json"), END_ID, CAPACITY, special=True)
     pieces = packed.pieces.select("row", "key", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pieces.join(packed.places, ["row", "piece"]).select(
         F.col("key").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"

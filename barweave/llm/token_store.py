@@ -38,10 +38,11 @@ class TokenStore:
 
 
 def write_store(
-    docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", special: bool = False
 ) -> TokenStore:
     """Encode every row and write the store.
 
+    Strings of special tokens in a text are ordinary text, or become their ids with `special`.
     Null text counts as empty; every document gets `end_id` at its end, so none has zero ids.
     Rows with equal keys lie side by side and are told apart by `copy` (0, 1, ...; their order
     follows the text). Null keys come first. An empty table gives a store without files. Other
@@ -61,7 +62,7 @@ def write_store(
     kind = ordered.schema["key"].dataType.simpleString()
 
     def write(batches):
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, special=special).encode
         end = np.array([end_id], dtype).tobytes()
         width = np.dtype(dtype).itemsize
         name, out, place, last, copy = "", None, 0, None, 0

@@ -4,7 +4,8 @@ Natural text repeats its words, and the pre-tokenizers used here cut at word bor
 merge is looked up. For the two known kinds of pre-tokenizer a text is therefore cut the same way
 here, and the library encodes each different piece once per memory. Texts with characters outside
 the range where the cut is known to agree, and all other tokenizers, go to the library whole.
-Strings of special tokens in a text are ordinary text.
+With `special` a text that holds the string of an added token goes to the library whole, which turns
+the string into the token's id, as is its default; otherwise these strings are ordinary text.
 """
 
 from __future__ import annotations
@@ -63,23 +64,31 @@ class Memory(dict):
 class Encoder:
     """`encode(text)`: the ids of a text as little-endian bytes of `dtype`."""
 
-    def __init__(self, path: str, dtype: str | None = None):
+    def __init__(self, path: str, dtype: str | None = None, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not special
         self.dtype = np.dtype(dtype or id_type(self.library.get_vocab_size(True)))
         with open(path, encoding="utf-8") as f:
-            kind = _kind(json.load(f))
+            config = json.load(f)
+        added = config.get("added_tokens") or []
+        # Sought in the normalized text, a token can be there without its string in the text; ordinary ones are always sought.
+        kind = "" if any(t["normalized"] or not t["special"] for t in added) else _kind(config)
+        self.added = [t["content"] for t in added] if special else []
         self.letters, self.item = byte_letters(), {2: "H", 4: "I"}[self.dtype.itemsize]
         self.pieces = Memory(self._piece)
-        self.encode = {"word": self._by_words, "byte": self._by_bytes, "": self._whole}[kind]
+        self.cutter = {"word": self._by_words, "byte": self._by_bytes, "": self._whole}[kind]
+        self.encode = self._around_added if self.added else self.cutter
         pattern = {"word": WORD_PIECES, "byte": BYTE_PIECES}.get(kind)
         self.cut = pattern.findall if pattern else None
         self.words = Memory(self._cut_and_join)
         self.spaced = Memory(lambda word: self._cut_and_join(" " + word))
 
+    def _around_added(self, text: str) -> bytes:
+        return self._whole(text) if any(token in text for token in self.added) else self.cutter(text)
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
@@ -142,9 +151,9 @@ def id_type(vocabulary: int) -> str:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, dtype: str | None = None) -> Encoder:
+def encoder(path: str, dtype: str | None = None, special: bool = False) -> Encoder:
     """One encoder per Python worker, kept between tasks."""
-    if (path, dtype) not in _ENCODERS:
+    if (path, dtype, special) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path, dtype] = Encoder(path, dtype)
-    return _ENCODERS[path, dtype]
+        _ENCODERS[path, dtype, special] = Encoder(path, dtype, special)
+    return _ENCODERS[path, dtype, special]

@@ -71,6 +71,29 @@ def test_ids_equal_the_library(name):
         assert np.frombuffer(own.encode(text), own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_special_strings_become_ids_as_the_library_has_it(name):
+    path = public_tokenizers.path(name)
+    own, library = Encoder(path, special=True), Tokenizer.from_file(path)
+    rng = np.random.default_rng(6)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|endof", "text|>", "<|ENDOFTEXT|>", " ", "  ", "\n", "don't", "Ab", "é", "12", "日本", "."]
+    made = ["".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(2000)]
+    for text in [t for t in TEXTS if t is not None] + ["one two <|endoftext|> three", *made]:
+        assert np.frombuffer(own.encode(text), own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_queries_encode_special_strings_as_the_library(spark, tmp_path):
+    from barweave.llm.queries import QUERIES
+
+    texts = ["one two <|endoftext|> three", "a b"]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    for query, name, dtype in (("op1_token_store", "word_bpe_49k.json", "<u2"), ("op4_best_fit_packing", "byte_bpe_50k.json", "<u4")):
+        library = Tokenizer.from_file(public_tokenizers.path(name))
+        ids = [np.array(library.encode(t, add_special_tokens=False).ids + [2], dtype).tobytes() for t in texts]
+        got = QUERIES[query](spark, str(tmp_path)).orderBy("doc_id").collect()
+        assert [r["ids_crc32"] for r in got] in ([zlib.crc32(i) for i in ids], [zlib.crc32(np.frombuffer(i, dtype).astype("<u4").tobytes()) for i in ids])
+
+
 def test_memory_is_bounded_and_right():
     from barweave.llm.tokens import Memory
 
