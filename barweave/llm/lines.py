@@ -1,4 +1,4 @@
-"""Repeated lines or paragraphs across the corpus: the earliest stays, the rest goes."""
+"""Repeated lines, paragraphs or sentences across the corpus: the earliest stays, the rest goes."""
 
 from __future__ import annotations
 
@@ -16,9 +16,20 @@ def plain_line(unit: Column) -> Column:
     return F.trim(F.regexp_replace(ascii_lower(unit), r"[\x09-\x0D\x20]{2,}|[\x09-\x0D]", " "))
 
 
+# Sentences end after their mark, where white space follows, and after a line feed; nothing between them is lost.
+SENTENCE_BORDER = r"(?<=\n)|(?<=[.!?])(?=[\x09-\x0D\x20])|(?<=[\u3002\uFF01\uFF1F])"
+LEAST_SENTENCE = 20  # characters; shorter sentences are common speech
+
+
+def repeated_sentences(docs: DataFrame, room: Scratch, key: str = "doc_id", text: str = "text", least: int = LEAST_SENTENCE) -> DataFrame:
+    """`repeated_units` of sentences, also inside lines that differ elsewhere. A unit holds the white space before it and
+    a line feed at its end; what stays is joined by nothing."""
+    return repeated_units(docs, room, key, text, "", least, border=SENTENCE_BORDER)
+
+
 def repeated_units(
     docs: DataFrame, room: Scratch, key: str = "doc_id", text: str = "text", separator: str = "\n",
-    least: int = 1, normalise: Callable[[Column], Column] = plain_line,
+    least: int = 1, normalise: Callable[[Column], Column] = plain_line, border: str | None = None,
 ) -> DataFrame:
     """One row per input row: key, n_units, text (what stays), removed: array of (start, end, unit).
 
@@ -27,13 +38,14 @@ def repeated_units(
     the first; a null key comes last); start and end are code points of the original text. What
     stays keeps its order and is joined by `separator`. Null text gives null text and no units.
     Rows that share a key and text are repeats of each other: the first in no fixed order stays.
-    An empty table gives none; other columns are not read.
+    An empty table gives none; other columns are not read. A `border` is a pattern of no width at which
+    units end, for an empty `separator`.
     """
     width = len(separator)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn(
         "row", F.monotonically_increasing_id()
     )
-    rows = room.save(rows.withColumn("units", F.split("text", _literal(separator), -1)).drop("text"), "units")
+    rows = room.save(rows.withColumn("units", F.split("text", border or _literal(separator), -1)).drop("text"), "units")
     flat = rows.where("units IS NOT NULL").select("key", "row", F.posexplode("units").alias("unit", "body"))
     digest = F.md5(F.encode(normalise(F.col("body")), "UTF-8"))
     flat = flat.where(F.length(normalise(F.col("body"))) >= least).select("key", "row", "unit", digest.alias("digest"))

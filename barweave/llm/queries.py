@@ -81,7 +81,14 @@ def settled(result: DataFrame, room: Scratch) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    kept = lines.repeated_units(table(spark, folder, "documents"), Scratch(spark, "lines"))
+    return _removed(lines.repeated_units(table(spark, folder, "documents"), Scratch(spark, "lines")))
+
+
+def op6_sentence_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return _removed(lines.repeated_sentences(table(spark, folder, "documents"), Scratch(spark, "sentences")))
+
+
+def _removed(kept: DataFrame) -> DataFrame:
     spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"]))
     return kept.select(
         F.col("key").alias("doc_id"), F.col("n_units").cast("long"), F.size("removed").cast("long").alias("n_removed"),
@@ -142,7 +149,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_store, op2_url_filter, op3_license_scan, op4_best_fit_packing, op5_jaccard_join, op6_line_dedup,
+        op1_token_store, op2_url_filter, op3_license_scan, op4_best_fit_packing, op5_jaccard_join, op6_line_dedup, op6_sentence_dedup,
         op7_decontamination, op8_exact_dedup, op9_secret_scan, op10_quality,
     )
 }

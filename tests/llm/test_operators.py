@@ -442,6 +442,18 @@ def test_lines(spark, room, docs):
         assert (got[i]["text"], got[i]["n_units"], [tuple(x) for x in got[i]["removed"]]) == ("\n".join(kept), len(units), gone), i
 
 
+def test_sentences_inside_lines_that_differ(spark, room):
+    shared = "The passage is repeated word for word. It has a second sentence as well!"
+    texts = [f"Own start of one. {shared} Own end of one.\nNo. Yes.", f"Other text 3.14 here: {shared.upper()} More. No.\n{shared}", None, "", "日本語。日本語。"]
+    rows = {r["key"]: r for r in lines.repeated_sentences(docs_of(spark, texts), room).collect()}
+    assert rows[0]["text"] == texts[0] and rows[2]["text"] is None and rows[3]["text"] == "" and rows[4]["text"] == texts[4]
+    assert rows[1]["text"] == "Other text 3.14 here: THE PASSAGE IS REPEATED WORD FOR WORD. More. No.\n"
+    cut = [(s["start"], s["end"]) for s in rows[1]["removed"]]
+    assert "".join(texts[1][i] for i in range(len(texts[1])) if not any(a <= i < b for a, b in cut)) == rows[1]["text"]
+    room.drop("")
+    assert len(lines.repeated_units(docs_of(spark, texts), room).where("key = 1").first()["removed"]) == 0
+
+
 def test_lines_empty_and_repeated_rows(spark, room, none):
     assert lines.repeated_units(none, room).isEmpty()
     room.drop("")
