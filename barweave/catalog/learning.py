@@ -1,4 +1,4 @@
-"""Queries on preparing, learning and scoring. Few and shallow trees: they show the operators."""
+"""Queries on preparing, learning and scoring, with the operators' own trees, depths, repeats and grid."""
 
 from __future__ import annotations
 
@@ -18,7 +18,6 @@ from barweave.session import stage
 from barweave.sources.bars import latest_quotes, market_returns
 
 NAMES = "close volatility change_percent sma_9 sma_21 roc_5 rsi_14 close_lag1 volume_profile".split()
-TREES, DEPTH = 10, 6
 
 
 def learning_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +69,7 @@ def _model_features(spark, sf_dir):
 
 def _first_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ml.Trained]:
     split = stage(stratified_split(learning_table(spark, sf_dir), "target", 0.7), "split")
-    return split, ml.fit(split, NAMES, TREES, DEPTH)
+    return split, ml.fit(split, NAMES)
 
 
 @query("forest_scores")
@@ -92,21 +91,20 @@ def _importance(spark, sf_dir):
 @query("permutation_importance")
 def _permutation(spark, sf_dir):
     split, trained = _first_model(spark, sf_dir)
-    return ml.permutation_importance(trained, split.where("is_test"), repeats=3)
+    return ml.permutation_importance(trained, split.where("is_test"))
 
 
 @query("importance_threshold_sweep")
 def _sweep(spark, sf_dir):
     split, trained = _first_model(spark, sf_dir)
-    importance = stage(ml.permutation_importance(trained, split.where("is_test"), repeats=2), "importance")
-    return ml.threshold_sweep(split, importance, trees=TREES, depth=DEPTH)
+    importance = stage(ml.permutation_importance(trained, split.where("is_test")), "importance")
+    return ml.threshold_sweep(split, importance)
 
 
 @query("hyper_parameter_search")
 def _search(spark, sf_dir):
     split = stage(stratified_split(learning_table(spark, sf_dir), "target", 0.3), "split")
-    candidates = [{**c, "numTrees": 5, "maxDepth": min(c["maxDepth"], 6)} for c in ml.sampled_grid(size=2)]
-    _, table = ml.random_search(split, NAMES, candidates)
+    _, table = ml.random_search(split, NAMES)
     return table
 
 

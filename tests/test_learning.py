@@ -98,3 +98,32 @@ def test_newest_rows_are_the_test_part(table):
     parts = {r.is_test: r for r in edge.collect()}
     assert parts[False].b < parts[True].a
     assert parts[True].n == round(0.25 * table.count())
+
+
+def test_queries_run_the_operators_with_their_defaults(monkeypatch):
+    from inspect import signature
+    from types import SimpleNamespace
+    from unittest.mock import MagicMock
+
+    from barweave.catalog import learning
+
+    used = {}
+    for name in ("fit", "permutation_importance", "threshold_sweep", "random_search"):
+        real = signature(getattr(ml, name))
+
+        def record(*args, name=name, real=real, **kwargs):
+            bound = real.bind(*args, **kwargs)
+            bound.apply_defaults()
+            used[name] = bound.arguments
+            return MagicMock(), MagicMock()
+
+        monkeypatch.setattr(ml, name, record)
+    for name in ("stage", "stratified_split", "learning_table"):
+        monkeypatch.setattr(learning, name, lambda *args: SimpleNamespace(where=lambda _: None))
+    learning._permutation(None, "")
+    learning._sweep(None, "")
+    learning._search(None, "")
+    assert (used["fit"]["trees"], used["fit"]["depth"]) == (100, 30)
+    assert used["permutation_importance"]["repeats"] == 10
+    assert (used["threshold_sweep"]["trees"], used["threshold_sweep"]["depth"]) == (100, 30)
+    assert used["random_search"]["candidates"] is None and len(ml.sampled_grid()) == 48
