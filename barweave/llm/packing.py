@@ -1,8 +1,9 @@
-"""Packing documents into sequences of a fixed number of tokens, by bounded-space best fit.
+"""Packing documents into sequences of a fixed number of tokens, by best-fit decreasing per task.
 
 Only documents longer than a sequence are cut. Pieces are dealt at random to tasks of a bounded
 number of pieces; a task takes its pieces from the longest down and puts each into the open
-sequence it fills best. A fixed number of sequences is open; beyond it, the fullest closes.
+sequence it fills best. As many sequences may be open as a task has pieces; `best_fit` with a
+lower bound closes the fullest beyond it.
 """
 
 from __future__ import annotations
