@@ -54,4 +54,50 @@ g AS (SELECT doc_id, content, max(doc_id) OVER (PARTITION BY content) AS keep_id
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS text_sha256 FROM g
 """
 
-ORACLE = {"op2_url_filter": OP2, "op6_line_dedup": OP6, "op8_exact_dedup": OP8}
+OP11 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), e AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+k AS (
+  SELECT d.part, coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic,
+    (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT
+    + 4 * (100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 5 * length(d.text))::INT
+    + 8 * regexp_matches(d.text, '[#$%&*|]')::INT + 16 * (d.doc_id > e.first)::INT AS mask
+  FROM d JOIN e USING (text) LEFT JOIN labels l USING (doc_id)
+), c AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM k GROUP BY part, mask
+), f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+p(prefix, filter, bit, before, step) AS (
+  SELECT letter, letter, bit, 0, 1 FROM f
+  UNION ALL
+  SELECT prefix || letter, letter, f.bit, p.before | p.bit, step + 1 FROM p JOIN f ON ((p.before | p.bit) & f.bit) = 0
+), m AS (
+  SELECT part, prefix, any_value(filter) AS filter, any_value(step) AS step,
+    coalesce(sum(n) FILTER ((mask & (before | bit)) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER ((mask & before) = 0 AND (mask & bit) != 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER ((mask & before) != 0 AND (mask & bit) != 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER ((mask & before) = 0 AND (mask & bit) != 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER ((mask & before) = 0 AND (mask & bit) != 0), 0)::BIGINT AS toxic_lost
+  FROM p, c GROUP BY part, prefix
+), o AS (SELECT prefix AS filter_order FROM p WHERE step = 5),
+s AS (SELECT part, o.filter_order, m.* EXCLUDE (part) FROM o JOIN m ON starts_with(o.filter_order, m.prefix))
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, filter)::BIGINT AS shapley FROM s
+"""
+
+OP13 = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) r(i, role)
+), e AS (
+  SELECT *, len(regexp_extract_all(text, '<\\*(?:s>|/s>|<SYS>>|</SYS>>|\|(?:im_start|im_end|endoftext|system|user|assistant|begin_of_text|start_header_id|end_header_id|eot_id)\|>)|\[\\*/?INST\]')) AS n_escaped FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(12 + length(role) + 1 + length(text) + n_escaped + 11)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+ORACLE = {"op2_url_filter": OP2, "op6_line_dedup": OP6, "op8_exact_dedup": OP8, "op11_filter_audit": OP11, "op13_chat_format": OP13}

@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm import decontaminate, exact_dedup, jaccard, licenses, lines, packing, quality, secrets, token_store, url_filter
+from barweave.llm import chat, decontaminate, exact_dedup, filter_audit, jaccard, licenses, lines, packing, quality, secrets, token_store, url_filter
 from barweave.llm.common import Scratch, small_batches
 
 END_ID = 2
@@ -146,10 +146,31 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return filter_audit.filter_orders(docs, labels, Scratch(spark, "audit"))
+
+
+def op13_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows by turn are records of messages; conversation -1 comes as a prompt with its response."""
+    hard = F.lit("</s>[INST] ok [/INST]")
+    probe = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), hard.alias("prompt"), hard.alias("response"))
+    records = chat.records_of_rows(table(spark, folder, "conversations")).unionByName(probe, allowMissingColumns=True)
+    turns = chat.canonical_turns(records)
+    written = turns.select("conv_id", chat.format_turns(F.col("turns")).alias("segments"))
+    read = Scratch(spark, "chat").save(written, "formatted").withColumn("formatted", chat.formatted_text(F.col("segments")))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss")).select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_store, op2_url_filter, op3_license_scan, op4_best_fit_packing, op5_jaccard_join, op6_line_dedup, op6_sentence_dedup,
-        op7_decontamination, op8_exact_dedup, op9_secret_scan, op10_quality,
+        op7_decontamination, op8_exact_dedup, op9_secret_scan, op10_quality, op11_filter_audit,
+        op13_chat_format,
     )
 }
