@@ -86,6 +86,25 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
   sum(removed) OVER (PARTITION BY part, filter)::BIGINT AS shapley FROM s
 """
 
+OP12 = rf"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM documents
+), f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY doc_id),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d),
+q AS (
+  SELECT item_id, term, count(*) AS repeats FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY item_id, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, s WHERE term IN (SELECT term FROM q) GROUP BY term, docs
+), c AS (
+  SELECT item_id, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN f USING (term) JOIN d USING (doc_id), s GROUP BY item_id, doc_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM c WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
 OP13 = r"""
 WITH t AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
@@ -100,4 +119,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-ORACLE = {"op2_url_filter": OP2, "op6_line_dedup": OP6, "op8_exact_dedup": OP8, "op11_filter_audit": OP11, "op13_chat_format": OP13}
+ORACLE = {"op2_url_filter": OP2, "op6_line_dedup": OP6, "op8_exact_dedup": OP8, "op11_filter_audit": OP11, "op12_lexical_search": OP12, "op13_chat_format": OP13}

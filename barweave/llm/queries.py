@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm import chat, decontaminate, exact_dedup, filter_audit, jaccard, licenses, lines, packing, quality, secrets, token_store, url_filter
+from barweave.llm import chat, decontaminate, exact_dedup, filter_audit, jaccard, licenses, lines, packing, quality, search, secrets, token_store, url_filter
 from barweave.llm.common import Scratch, small_batches
 
 END_ID = 2
@@ -151,6 +151,11 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.filter_orders(docs, labels, Scratch(spark, "audit"))
 
 
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    index = search.build_index(table(spark, folder, "documents"), Scratch(spark, "search"))
+    return search.search(index, table(spark, folder, "benchmark")).withColumnRenamed("item", "item_id")
+
+
 def op13_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """Rows by turn are records of messages; conversation -1 comes as a prompt with its response."""
     hard = F.lit("</s>[INST] ok [/INST]")
@@ -171,6 +176,6 @@ QUERIES = {
     for f in (
         op1_token_store, op2_url_filter, op3_license_scan, op4_best_fit_packing, op5_jaccard_join, op6_line_dedup, op6_sentence_dedup,
         op7_decontamination, op8_exact_dedup, op9_secret_scan, op10_quality, op11_filter_audit,
-        op13_chat_format,
+        op12_lexical_search, op13_chat_format,
     )
 }
