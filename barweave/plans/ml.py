@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import random
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import ElementwiseProduct, Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave import schema as S
 from barweave.operators.split import place_by_hash, row_hash, stratified_split
+from barweave.plans.trees import ROWS_AT_ONCE, Forest, forest_of
+from barweave.session import shared_dir
 
 LABEL = "label"
 VECTOR = "features"
@@ -70,8 +77,9 @@ def preparation(count: int, width: int) -> list:
 
 
 def forest(trees: int = TREES, depth: int = MAX_DEPTH, seed: int = SEED) -> RandomForestClassifier:
+    # With cached node ids the growing trees are not sent to the executors for every level.
     return RandomForestClassifier(
-        labelCol=LABEL, featuresCol=VECTOR, numTrees=trees, maxDepth=depth, seed=seed
+        labelCol=LABEL, featuresCol=VECTOR, numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True, maxMemoryInMB=512
     )
 
 
@@ -125,14 +133,40 @@ def impurity_importance(trained: Trained, spark: SparkSession) -> DataFrame:
     )
 
 
+def swapped_hits(trees: Forest, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hits per feature j and repeat when the row takes that value of its donor; j = number of features swaps nothing."""
+    leaf = trees.left < 0
+    for batch in batches:
+        for first in range(0, len(batch), ROWS_AT_ONCE):
+            part = batch.iloc[first : first + ROWS_AT_ONCE]
+            x, donor, label = np.stack(part["x"]), np.stack(part["donor"]), part[LABEL].to_numpy()
+            at, seen = trees.tested(x)
+            width = x.shape[1]
+            hits = {width: trees.classes(at)[0] == label}
+            for j in range(width):
+                moved, (row, tree) = at, np.nonzero(seen[:, :, j] & (x[:, j] != donor[:, j])[:, None])
+                if len(row):
+                    other = x.copy()
+                    other[:, j] = donor[:, j]
+                    moved = at.copy()
+                    moved[row, tree] = trees.roots[tree]
+                    moved = trees.walk(other, moved, leaf)
+                hits[j] = trees.classes(moved)[0] == label
+            found = pd.DataFrame(hits).groupby(part["repeat"].to_numpy()).agg("sum")
+            sizes = part.groupby("repeat").size()
+            yield pd.DataFrame([(j, r, int(found.at[r, j]), int(sizes[r])) for r in found.index for j in found.columns], columns=["j", "repeat", "hits", "n"])
+
+
 def permutation_importance(
     trained: Trained, test: DataFrame, repeats: int = 10, seed: int = SEED
 ) -> DataFrame:
     """(feature, importance, deviation): loss of accuracy when one feature is permuted.
 
     Per repeat every row meets one other row, its donor: the row at its position in another
-    hash order. One join brings the donor's whole vector, and each feature swaps one value.
+    hash order. One join brings the donor's whole vector, and each feature swaps one value. Only
+    the trees that test the swapped feature on the row's path are walked again.
     """
+    spark = test.sparkSession
     prepared = PipelineModel(stages=trained.model.stages[:-1]).transform(labelled_rows(test, trained.names))
     base = prepared.select("symbol", "time", LABEL, vector_to_array(VECTOR).alias("x"))
     keys = ["symbol", "time"]
@@ -141,20 +175,16 @@ def permutation_importance(
     ).select("_place", F.col("x").alias("donor"))
     repeated = base.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     repeated = repeated.withColumn("_h", row_hash(keys, F.col("repeat") + seed))
-    met = place_by_hash(repeated, "_h", ["repeat"], "_place").join(donors, "_place")
+    met = place_by_hash(repeated, "_h", ["repeat"], "_place").join(donors, "_place").select(LABEL, "repeat", "x", "donor")
     width = len(trained.names)
-    # Index `width` changes nothing and gives the accuracy to compare with.
-    swapped = met.select(LABEL, "repeat", "x", "donor", F.explode(F.sequence(F.lit(0), F.lit(width))).alias("j"))
-    vector = F.transform(
-        "x", lambda v, i: F.when(i == F.col("j"), F.get(F.col("donor"), F.col("j"))).otherwise(v)
-    )
-    scored = trained.forest.transform(swapped.select(LABEL, "repeat", "j", array_to_vector(vector).alias(VECTOR)))
-    rates = scored.groupBy("j", "repeat").agg(
-        F.avg((F.col("prediction") == F.col(LABEL)).cast("double")).alias("rate")
+    trees = forest_of(spark, trained.forest, f"{shared_dir(spark)}/forest-{uuid.uuid4().hex}")
+    rates = (
+        met.mapInPandas(lambda batches: swapped_hits(trees, batches), "j int, repeat int, hits long, n long")
+        .groupBy("j", "repeat")
+        .agg((F.sum("hits") / F.sum("n")).alias("rate"))
     )
     plain = rates.where(F.col("j") == width).select("repeat", F.col("rate").alias("base"))
     losses = rates.where(F.col("j") < width).join(plain, "repeat")
-    spark = test.sparkSession
     names = spark.createDataFrame(list(enumerate(trained.names)), "j int, feature string")
     return (
         losses.groupBy("j")
@@ -203,34 +233,75 @@ def sampled_grid(grid: dict = GRID, size: int = 50, seed: int = SEED) -> list[di
     return random.Random(seed).sample(combinations, min(size, len(combinations)))
 
 
+def cut_hits(trees: Forest, cuts: list[tuple[int, int]], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hits of the forest cut to each (trees, depth), by number of the cut."""
+    depths = sorted({d for _, d in cuts})
+    stops = {d: trees.stops(d) for d in depths}
+    for batch in batches:
+        for first in range(0, len(batch), ROWS_AT_ONCE):
+            part = batch.iloc[first : first + ROWS_AT_ONCE]
+            x, label, rows = np.stack(part["x"]), part[LABEL].to_numpy(), []
+            at = trees.starts(len(x))
+            for d in depths:  # a deeper cut goes on where the one before stopped
+                at = trees.walk(x, at, stops[d])
+                asked = [(i, n) for i, (n, depth) in enumerate(cuts) if depth == d]
+                sizes = sorted({n for _, n in asked})
+                right = dict(zip(sizes, ((c == label).sum() for c in trees.classes(at, sizes))))
+                rows += [(i, int(right[n]), len(x)) for i, n in asked]
+            yield pd.DataFrame(rows, columns=["cut", "hits", "n"])
+
+
 def random_search(
     split: DataFrame,
     names: list[str],
     candidates: list[dict] | None = None,
     folds: int = 3,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> tuple[Trained, DataFrame]:
-    """The best forest by cross-validated accuracy, and the table of all candidates."""
+    """The best forest by cross-validated accuracy, and the table of all candidates.
+
+    Candidates that differ in trees and depth alone are cuts of one forest: it is grown once per
+    fold with the most trees and the largest depth among them, so the whole grid takes 12 forests
+    instead of 144. A cut to fewer trees has the law of its candidate, not its seed. Folds follow a
+    hash of symbol and time, so they are the same on every run. The winner is fitted anew on all
+    training rows; of equal candidates the first one wins.
+    """
     candidates = sampled_grid() if candidates is None else candidates
+    spark = split.sparkSession
     rows = labelled_rows(split, names).persist()
     train = rows.where(~F.col("is_test"))
     steps = Pipeline(stages=preparation(train.count(), len(names))).fit(train)
+    fold = F.pmod(row_hash(["symbol", "time"], SEED), F.lit(folds)).alias("fold")
+    prepared = steps.transform(train).select(LABEL, VECTOR, fold).persist()
+    shapes: dict[tuple, list[int]] = {}
+    for i, c in enumerate(candidates):
+        shapes.setdefault(tuple(sorted((k, v) for k, v in c.items() if k not in ("numTrees", "maxDepth"))), []).append(i)
+
+    def rates(job: tuple[tuple, int]) -> list[tuple[int, float]]:
+        shape, number = job
+        cuts = [(candidates[i].get("numTrees", TREES), candidates[i].get("maxDepth", MAX_DEPTH)) for i in shapes[shape]]
+        estimator = forest(max(n for n, _ in cuts), max(d for _, d in cuts))
+        grown = estimator.fit(prepared.where(F.col("fold") != number), {estimator.getParam(k): v for k, v in shape})
+        trees = forest_of(spark, grown, f"{shared_dir(spark)}/forest-{uuid.uuid4().hex}")
+        held = prepared.where(F.col("fold") == number).select(LABEL, vector_to_array(VECTOR).alias("x"))
+        hits = held.mapInPandas(lambda batches: cut_hits(trees, cuts, batches), "cut int, hits long, n long")
+        found = hits.groupBy("cut").agg((F.sum("hits") / F.sum("n")).alias("rate")).collect()
+        return [(shapes[shape][r["cut"]], r["rate"]) for r in found]
+
+    jobs = [(shape, number) for shape in shapes for number in range(folds)]
+    sums = [0.0] * len(candidates)
+    with ThreadPool(min(parallelism, len(jobs))) as pool:
+        for found in pool.imap(inheritable_thread_target(spark)(rates), jobs):
+            for i, rate in found:
+                sums[i] += rate / folds
+    best = candidates[max(range(len(candidates)), key=lambda i: sums[i])]
     estimator = forest()
-    maps = [{estimator.getParam(k): v for k, v in c.items()} for c in candidates]
-    search: CrossValidatorModel = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=maps,
-        evaluator=MulticlassClassificationEvaluator(labelCol=LABEL, metricName="accuracy"),
-        numFolds=folds,
-        parallelism=parallelism,
-        seed=SEED,
-    ).fit(steps.transform(train))
-    model = PipelineModel(stages=[*steps.stages, search.bestModel])
+    chosen = estimator.fit(steps.transform(train), {estimator.getParam(k): v for k, v in best.items()})
+    model = PipelineModel(stages=[*steps.stages, chosen])
     trained = Trained(model, names, accuracy(model.transform(rows.where("is_test"))))
+    prepared.unpersist()
     rows.unpersist()
-    table = split.sparkSession.createDataFrame(
-        [(str(c), float(m)) for c, m in zip(candidates, search.avgMetrics)], "parameters string, accuracy double"
-    )
+    table = spark.createDataFrame([(str(c), float(m)) for c, m in zip(candidates, sums)], "parameters string, accuracy double")
     return trained, table
 
 

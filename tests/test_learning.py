@@ -81,6 +81,70 @@ def test_grid():
     assert len({str(c) for c in grid}) == len(grid)
 
 
+@pytest.fixture(scope="module")
+def grown(trained):
+    """Prepared rows and a function that fits a forest on them."""
+    split, model = trained
+    prepared = ml.PipelineModel(stages=model.model.stages[:-1]).transform(ml.labelled_rows(split, model.names)).persist()
+    yield prepared, lambda trees, depth, **more: ml.forest(trees, depth).setParams(**more).fit(prepared)
+    prepared.unpersist()
+
+
+def test_cut_forests_equal_separate_fits(spark, grown, tmp_path):
+    prepared, fit = grown
+    for more in ({}, {"minInstancesPerNode": 2, "featureSubsetStrategy": "log2"}):
+        deep = fit(12, 14, **more)
+        trees = ml.forest_of(spark, deep, f"file://{tmp_path}/{len(more)}")
+        rows = prepared.select(ml.LABEL, ml.vector_to_array(ml.VECTOR).alias("x")).toPandas()
+        x, at = np.stack(rows["x"]), trees.starts(len(rows))
+        for depth in (1, 3, 6, 14):
+            at = trees.walk(x, at, trees.stops(depth))
+            mine = trees.classes(at)[0]
+            theirs = fit(12, depth, **more).transform(prepared).toPandas()["prediction"]
+            assert (mine == theirs).all()
+        votes = sum(np.array([t.predictProbability(ml.Vectors.dense(v)).toArray() for v in x[:50]]) for t in deep.trees[:5])
+        assert (trees.classes(at, [5])[0][:50] == votes.argmax(1)).all()
+
+
+def test_search_equals_counting_cut_by_cut(spark, trained):
+    split, model = trained
+    candidates = [{"numTrees": n, "maxDepth": d, "minInstancesPerNode": m} for n in (2, 5) for d in (2, 5) for m in (1, 2)]
+    best, table = ml.random_search(split, model.names, candidates)
+    got = {r.parameters: r.accuracy for r in table.collect()}
+    assert len(got) == 8 and best.forest.getNumTrees == [c for c in candidates if got[str(c)] == max(got.values())][0]["numTrees"]
+    train = ml.labelled_rows(split, model.names).where("not is_test")
+    prepared = ml.Pipeline(stages=ml.preparation(train.count(), len(model.names))).fit(train).transform(train)
+    folded = prepared.withColumn("fold", F.pmod(ml.row_hash(["symbol", "time"], ml.SEED), F.lit(3))).persist()
+    for c in candidates:
+        if c["numTrees"] == 5:  # the most trees, so the very forest of a separate fit
+            rates = []
+            for k in range(3):
+                estimator = ml.forest(5, c["maxDepth"]).setMinInstancesPerNode(c["minInstancesPerNode"])
+                rates.append(ml.accuracy(estimator.fit(folded.where(F.col("fold") != k)).transform(folded.where(F.col("fold") == k))))
+            assert got[str(c)] == pytest.approx(sum(rates) / 3, abs=1e-12)
+    folded.unpersist()
+
+
+def test_rescored_paths_equal_whole_rescoring(spark, trained, grown, tmp_path):
+    import pandas as pd
+
+    _, model = trained
+    prepared, _ = grown
+    rows = prepared.select(ml.LABEL, ml.vector_to_array(ml.VECTOR).alias("x")).toPandas()
+    rows["repeat"], rows["donor"] = np.arange(len(rows)) % 3, list(np.stack(rows["x"])[::-1])
+    trees = ml.forest_of(spark, model.forest, f"file://{tmp_path}/forest")
+    got = pd.concat(ml.swapped_hits(trees, iter([rows]))).groupby(["j", "repeat"]).hits.sum()
+    for j in range(len(model.names) + 1):
+        x = np.stack(rows["x"]).copy()
+        if j < x.shape[1]:
+            x[:, j] = np.stack(rows["donor"])[:, j]
+        plain = spark.createDataFrame([(i, ml.Vectors.dense(v)) for i, v in enumerate(x)], ["i", ml.VECTOR])
+        classes = model.forest.transform(plain).orderBy("i").toPandas()["prediction"]
+        for r in range(3):
+            mine = rows["repeat"] == r
+            assert got[j, r] == (classes[mine] == rows[ml.LABEL][mine]).sum()
+
+
 def test_training_end_to_end(spark, table):
     best, reports = ml.train(
         table, NAMES, trees=3, depth=3, repeats=1, candidates=[{"numTrees": 3, "maxDepth": 3}, {"numTrees": 3, "maxDepth": 2}]
