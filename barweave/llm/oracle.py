@@ -30,22 +30,32 @@ SELECT p.page_id, p.host, p.path, m.rule,
 FROM p LEFT JOIN m USING (page_id) LEFT JOIN d USING (page_id)
 """
 
+# Borders of units are marked by a private character that no text of the tables holds.
 OP6 = rf"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS units FROM documents),
-u AS (
+WITH t AS (
+  SELECT doc_id, text, string_split(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(10), chr(10) || chr(63743)),
+    '([.!?])([\x09-\x0D\x20])', '\1' || chr(63743) || '\2', 'g'), '([\x{{3002}}\x{{FF01}}\x{{FF1F}}])', '\1' || chr(63743), 'g'), chr(63743)) AS units FROM documents
+), u AS (
   SELECT doc_id, unnest(units) AS body, unnest(range(1, len(units) + 1)) AS i FROM t
 ), l AS (
-  SELECT doc_id, i, body, length(body) AS n, coalesce(sum(length(body) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-    trim(regexp_replace(translate(body, '{UPPER}', '{LOWER}'), '[\x09-\x0D\x20]+', ' ', 'g'), ' ') AS plain FROM u
+  SELECT doc_id, i, body, length(body) AS n, coalesce(sum(length(body)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    trim(regexp_replace(translate(body, '{UPPER}', '{LOWER}'), '[\x09-\x0D\x20]+', ' ', 'g'), ' ') AS plain FROM u WHERE body != ''
 ), f AS (
-  SELECT *, length(plain) > 0 AND row_number() OVER (PARTITION BY plain ORDER BY doc_id, i) > 1 AS gone FROM l
-), g AS (
-  SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
-    coalesce(string_agg(start::BIGINT || ':' || (start + n)::BIGINT, ',' ORDER BY i) FILTER (gone), '') AS removed,
-    coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM f GROUP BY doc_id
-)
+  SELECT *, CASE WHEN plain = '' THEN 0 ELSE length(plain) - length(replace(plain, ' ', '')) + 1 END AS words,
+    plain != '' AND row_number() OVER (PARTITION BY plain ORDER BY doc_id, i) > 1 AS again FROM l
+), r AS (
+  SELECT *, sum((plain != '' AND NOT again)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f
+), e AS (
+  SELECT *, sum(words) FILTER (again) OVER (PARTITION BY doc_id, run) >= 30 AS enough,
+    min(i) FILTER (again) OVER (PARTITION BY doc_id, run) AS low, max(i) FILTER (again) OVER (PARTITION BY doc_id, run) AS high FROM r
+), g AS (SELECT *, coalesce(enough AND i BETWEEN low AND high, false) AS gone FROM e),
+s AS (
+  SELECT doc_id, run, min(i) AS i, min(start)::BIGINT || ':' || max(start + n)::BIGINT AS span FROM g WHERE gone GROUP BY doc_id, run
+), k AS (
+  SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(body, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM g GROUP BY doc_id
+), w AS (SELECT doc_id, string_agg(span, ',' ORDER BY i) AS removed FROM s GROUP BY doc_id)
 SELECT t.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, sha256(coalesce(kept, '')) AS text_sha256
-FROM t LEFT JOIN g USING (doc_id)
+FROM t LEFT JOIN k USING (doc_id) LEFT JOIN w USING (doc_id)
 """
 
 OP8 = f"""

@@ -81,17 +81,11 @@ def settled(result: DataFrame, room: Scratch) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return _removed(lines.repeated_units(table(spark, folder, "documents"), Scratch(spark, "lines")))
-
-
-def op6_sentence_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return _removed(lines.repeated_sentences(table(spark, folder, "documents"), Scratch(spark, "sentences")))
-
-
-def _removed(kept: DataFrame) -> DataFrame:
+    """Lines, cut further into sentences."""
+    kept = lines.repeated_units(table(spark, folder, "documents"), Scratch(spark, "lines"))
     spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"]))
     return kept.select(
-        F.col("key").alias("doc_id"), F.col("n_units").cast("long"), F.size("removed").cast("long").alias("n_removed"),
+        F.col("key").alias("doc_id"), F.col("n_units").cast("long"), F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["units"]).alias("n_removed"),
         F.array_join(spans, ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
     )
 
@@ -174,7 +168,7 @@ def op13_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_store, op2_url_filter, op3_license_scan, op4_best_fit_packing, op5_jaccard_join, op6_line_dedup, op6_sentence_dedup,
+        op1_token_store, op2_url_filter, op3_license_scan, op4_best_fit_packing, op5_jaccard_join, op6_line_dedup,
         op7_decontamination, op8_exact_dedup, op9_secret_scan, op10_quality, op11_filter_audit,
         op12_lexical_search, op13_chat_format,
     )

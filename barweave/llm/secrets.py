@@ -7,6 +7,8 @@ value of few owners looks live.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,21 +30,35 @@ CHUNK = 256
 SPAN = "struct<start:long,kind:int,end:long,value:string>"
 
 
-def running_sum(lengths: Column) -> Column:
-    """Inclusive running sums of an array of longs, in two levels so that long arrays stay cheap."""
-    none = F.array().cast("array<long>")
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, with the value computed once. Inside a lambda Spark computes an expression anew for every element,
+    but a lambda's own argument is a value."""
+    return F.get(F.transform(F.array(value), use), 0)
 
-    def grow(sums: Column, x: Column) -> Column:
-        return F.concat(sums, F.array(F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0).cast("long")) + x))
 
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(lengths) / CHUNK).cast("int") - 1, F.lit(0))),
-        lambda k: F.slice(lengths, k * CHUNK + 1, CHUNK),
-    )
-    inner = F.transform(chunks, lambda c: F.aggregate(c, none, grow))
-    totals = F.transform(inner, lambda c: F.coalesce(F.try_element_at(c, F.lit(-1)), F.lit(0).cast("long")))
-    before = F.aggregate(totals, F.array(F.lit(0).cast("long")), grow)
-    return F.flatten(F.transform(inner, lambda c, k: F.transform(c, lambda x: x + F.get(before, k))))
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive running results of an array of longs from 0, in two levels: work is linear for arrays of any usual length."""
+    none, zero = F.array().cast("array<long>"), F.lit(0).cast("long")
+
+    def grow(done: Column, x: Column) -> Column:
+        return F.concat(done, F.array(join(F.coalesce(F.try_element_at(done, F.lit(-1)), zero), x)))
+
+    def chunks(all_values: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(all_values) / CHUNK).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.aggregate(F.slice(all_values, k * CHUNK + 1, CHUNK), none, grow))
+
+    def shifted(inner: Column) -> Column:
+        totals = F.transform(inner, lambda c: F.coalesce(F.try_element_at(c, F.lit(-1)), zero))
+        return bound(
+            F.aggregate(totals, F.array(zero), grow),
+            lambda before: F.flatten(F.transform(inner, lambda c, k: bound(F.get(before, k), lambda b: F.transform(c, lambda x: join(b, x))))),
+        )
+
+    return bound(values, lambda v: bound(chunks(v), shifted))
+
+
+def running_sum(lengths: Column) -> Column:
+    return running(lengths, lambda a, b: a + b)
 
 
 def spans_of(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
@@ -51,21 +67,44 @@ def spans_of(text: Column, kind: int, pattern: str, group: int, least: int) -> C
     The places follow from the lengths of the pieces between the matches.
     """
     none = F.array().cast(f"array<{SPAN}>")
+
+    def placed(found: Column) -> Column:
+        steps = F.zip_with(found["m"], F.slice(found["gaps"], F.lit(1), F.size(found["m"])), lambda m, g: (F.length(g) + F.length(m)).cast("long"))
+        return F.transform(
+            F.arrays_zip(found["m"].alias("m"), found["v"].alias("v"), running_sum(steps).alias("e")),
+            lambda x: F.struct(
+                (x["e"] - F.length(x["m"])).alias("start"), F.lit(kind).alias("kind"), x["e"].alias("end"), x["v"].alias("value")
+            ),
+        )
+
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    steps = F.transform(whole, lambda m, i: F.length(F.get(gaps, i)).cast("long") + F.length(m))
-    ends = running_sum(steps)
-    spans = F.transform(
-        F.arrays_zip(whole.alias("m"), value.alias("v"), ends.alias("e")),
-        lambda x: F.struct(
-            (x["e"] - F.length(x["m"])).alias("start"), F.lit(kind).alias("kind"), x["e"].alias("end"), x["v"].alias("value")
-        ),
-    )
-    kept = F.filter(spans, lambda s: F.length(s["value"]) >= least).cast(f"array<{SPAN}>")
+    found = F.struct(whole.alias("m"), value.alias("v"), F.split(text, pattern, -1).alias("gaps"))
+    kept = F.filter(bound(found, placed), lambda s: F.length(s["value"]) >= least).cast(f"array<{SPAN}>")
     return F.when(F.rlike(text, F.lit(pattern)), kept).otherwise(none)
 
 
+def untouched(mixed: Column, base: Column) -> Column:
+    """The spans of `mixed` (apart from each other) that no span of `base` overlaps.
+
+    In one order by the starts of `base` and the ends of `mixed`, a mixed span is touched if the
+    largest end of the base spans before it lies beyond its start.
+    """
+    event = "struct<at:long,own:int,reach:long,span:" + SPAN + ">"
+    events = F.array_sort(F.concat(
+        F.transform(mixed, lambda m: F.struct(m["end"].alias("at"), F.lit(0).alias("own"), F.lit(0).cast("long").alias("reach"), m.alias("span"))).cast(f"array<{event}>"),
+        F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("own"), b["end"].alias("reach"), b.alias("span"))).cast(f"array<{event}>"),
+    ))
+
+    def judged(found: Column) -> Column:
+        reach = running(F.transform(found, lambda e: e["reach"]), lambda a, b: F.greatest(a, b))
+        free = F.filter(F.arrays_zip(found.alias("e"), reach.alias("r")), lambda x: (x["e"]["own"] == 0) & (x["r"] <= x["e"]["span"]["start"]))
+        return F.transform(free, lambda x: x["e"]["span"])
+
+    # Few texts have both kinds; the others need no order.
+    return F.when((F.size(mixed) == 0) | (F.size(base) == 0), mixed).otherwise(bound(events, judged))
+
+
 def find_secrets(
     docs: DataFrame, room: Scratch, key: str = "doc_id", text: str = "text",
     repository: str = "source", owner: str = "source", max_owners: int = MAX_OWNERS,
@@ -93,7 +132,7 @@ def find_secrets(
         .select("key", "repository", "owner", F.array_sort(base).alias("base"), mixed.alias("mixed"))
         .select(
             "key", "repository", "owner", "base",
-            F.filter("mixed", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))).alias("mixed"),
+            untouched(F.col("mixed"), F.col("base")).alias("mixed"),
         )
         .withColumn("spans", F.concat("base", "mixed"))
         .drop("mixed"),

@@ -424,43 +424,79 @@ def test_components_of_a_chain(spark, room):
 # --- 6 --------------------------------------------------------------------------------------
 
 
-def test_lines(spark, room, docs):
-    got = {r["key"]: r for r in lines.repeated_units(docs, room).collect()}
-    seen, plain = set(), lambda u: re.sub(r"[\x09-\x0d\x20]+", " ", u.translate(LOWER)).strip(" ")
-    for i, text in enumerate(TEXTS):
-        if text is None:
-            assert got[i]["text"] is None and got[i]["n_units"] == 0 and got[i]["removed"] == []
-            continue
-        units, kept, gone, at = text.split("\n"), [], [], 0
-        for k, u in enumerate(units):
-            if plain(u) and plain(u) in seen:
-                gone.append((at, at + len(u), k))
+def plain_units(text, border):
+    out = [""]
+    for i, c in enumerate(text):
+        out[-1] += c
+        after = text[i + 1 : i + 2]
+        if border == "paragraph":
+            ends = out[-1].endswith("\n\n") and after != "\n"
+        else:
+            ends = c == "\n" or border == "sentence" and (c in "。！？" or c in ".!?" and after and after in "\t\n\x0b\x0c\r ")
+        if ends:
+            out.append("")
+    return [u for u in out if u]
+
+
+def plain_passages(rows, border, least):
+    """rows in rank order: what stays of each text and the removed spans."""
+    seen, out = set(), []
+    for text in rows:
+        units, again = plain_units(text or "", border), []
+        for u in units:
+            plain = tuple(re.findall(r"[^\x09-\x0d\x20]+", u.translate(LOWER)))
+            again.append(plain and (plain in seen))
+            seen.add(plain)
+        kept, spans, at, i = "", [], 0, 0
+        places = np.cumsum([0, *map(len, units)]).tolist()
+        while i < len(units):
+            if not again[i]:
+                kept, i = kept + units[i], i + 1
+                continue
+            j = end = i
+            while j < len(units) and (again[j] or not units[j].split()):
+                j, end = j + 1, j + 1 if again[j] else end
+            if sum(len(u.translate(LOWER).encode().split()) for u in units[i:end]) >= least:
+                spans.append((places[i], places[end], end - i))
             else:
-                kept.append(u)
-                seen.add(plain(u))
-            at += len(u) + 1
-        assert (got[i]["text"], got[i]["n_units"], [tuple(x) for x in got[i]["removed"]]) == ("\n".join(kept), len(units), gone), i
-
-
-def test_sentences_inside_lines_that_differ(spark, room):
-    shared = "The passage is repeated word for word. It has a second sentence as well!"
-    texts = [f"Own start of one. {shared} Own end of one.\nNo. Yes.", f"Other text 3.14 here: {shared.upper()} More. No.\n{shared}", None, "", "日本語。日本語。"]
-    rows = {r["key"]: r for r in lines.repeated_sentences(docs_of(spark, texts), room).collect()}
-    assert rows[0]["text"] == texts[0] and rows[2]["text"] is None and rows[3]["text"] == "" and rows[4]["text"] == texts[4]
-    assert rows[1]["text"] == "Other text 3.14 here: THE PASSAGE IS REPEATED WORD FOR WORD. More. No.\n"
-    cut = [(s["start"], s["end"]) for s in rows[1]["removed"]]
-    assert "".join(texts[1][i] for i in range(len(texts[1])) if not any(a <= i < b for a, b in cut)) == rows[1]["text"]
-    room.drop("")
-    assert len(lines.repeated_units(docs_of(spark, texts), room).where("key = 1").first()["removed"]) == 0
+                kept += "".join(units[i:end])
+            i = end
+        out.append((text if text is None else kept, len(units), spans))
+    return out
+
+
+BORDERS = {"sentence": lines.SENTENCES, "line": lines.LINES, "paragraph": lines.PARAGRAPHS}
+PASSAGES = [
+    "Own start. The passage is repeated word for word. It has a second sentence as well! End of one.\nNo. Yes.",
+    "Other 3.14 here: THE PASSAGE IS REPEATED  WORD FOR WORD. It has a second sentence as well! More. No.\nIt has a second sentence as well!\n\n\nNo. Yes.",
+    "The passage is repeated word for word.\n \nIt has a second sentence as well!", "日本語。日本語。 日本語。", "...\n..! a?b c. \x0b d.", "No. No. No.\n\nNo. Yes.\n\n\nNo. Yes.",
+]
 
 
-def test_lines_empty_and_repeated_rows(spark, room, none):
+@pytest.mark.parametrize("border", list(BORDERS))
+@pytest.mark.parametrize("least", [1, 4, 12])
+def test_passages(spark, room, border, least):
+    texts = TEXTS + PASSAGES
+    got = {r["key"]: r for r in lines.repeated_units(docs_of(spark, texts).repartition(3), room, border=BORDERS[border], least=least).collect()}
+    for i, want in enumerate(plain_passages(texts, border, least)):
+        assert (got[i]["text"], got[i]["n_units"], [tuple(x) for x in got[i]["removed"]]) == want, i
+        gone = got[i]["removed"]
+        assert (texts[i] or "") and got[i]["text"] == "".join(c for k, c in enumerate(texts[i]) if not any(s["start"] <= k < s["end"] for s in gone)) or not texts[i]
+
+
+def test_passages_empty_and_repeated_rows(spark, room, none):
     assert lines.repeated_units(none, room).isEmpty()
     room.drop("")
-    rows = lines.repeated_units(docs_of(spark, ["x", "x", "x"], [1, 1, None]), room).collect()
+    rows = lines.repeated_units(docs_of(spark, ["x", "x", "x"], [1, 1, None]), room, least=1).collect()
     assert sorted(r["text"] for r in rows) == ["", "", "x"] and [r["text"] for r in rows if r["key"] is None] == [""]
 
 
+def test_passages_of_many_lines(spark, room):
+    text = "\n".join(f"line number {i} of the text" for i in range(20000))
+    rows = {r["key"]: r for r in lines.repeated_units(docs_of(spark, [text, "own\n" + text]), room).collect()}
+    assert rows[0]["text"] == text and rows[1]["text"] == "own\n" and rows[1]["n_units"] == 20001
+
+
 # --- 7 --------------------------------------------------------------------------------------
 
 
@@ -488,7 +524,7 @@ def test_contamination(spark, monkeypatch, per_pass):
     monkeypatch.setattr(decontaminate, "WINDOWS_PER_PASS", per_pass)
     rng = np.random.default_rng(6)
     item = lambda n: " ".join(f"v{rng.integers(9)}É" for _ in range(n))
-    items = [(1, item(40)), (2, item(13)), (3, "Short one, Ñ!"), (4, ""), (5, None), (None, "x y"), (6, item(60)), (1, item(20)), (7, "short ONE Ñ")]
+    items = [(1, item(40)), (2, item(13)), (3, "Short one, ñ!"), (4, ""), (5, None), (None, "x y"), (6, item(60)), (1, item(20)), (7, "short ONE Ñ")]
     base = [t for _, t in items if t]
     texts = [*TEXTS, *base, base[0].upper() + " tail", " ".join(base[4].split()[5:25]), "a short one ñ b", " ".join(rng.choice(base[0].split(), 300)), base[1] + " " + base[1]]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -562,7 +598,7 @@ def test_secrets(spark, room):
     at = len(TEXTS)
     assert [(s["kind"], s["n_owners"], s["verdict"]) for s in rows[at + 3]["spans"]] == [(3, 1, "live")]
     assert [list(rows[at + k]["spans"]) for k in (4, 5, 6)] == [[], [], []]  # three owners share it
-    assert rows[at + 9]["base"][0]["n_owners"] == 2
+    assert rows[at + 9]["base"][0]["n_owners"] == len({at % 3, (at + 9) % 3})
 
 
 def test_secrets_repeated_rows_and_empty(spark, room, none):
@@ -572,6 +608,27 @@ def test_secrets_repeated_rows_and_empty(spark, room, none):
     assert sorted(len(r["base"]) for r in rows) == [0, 1, 1, 1]
 
 
+def test_secrets_of_many_matches(spark, room):
+    text = "".join(f"token={i:06d}abc Ab{i:020d}x " for i in range(20000))
+    (row,) = secrets.find_secrets(docs_of(spark, [text]), room).collect()
+    assert len(row["base"]) == 20000 and len(row["spans"]) == 40000
+    assert all(text[s["start"] : s["end"]].endswith(s["value"]) for s in row["spans"][::997])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_untouched_spans(spark, seed):
+    rng = np.random.default_rng(seed)
+    span = lambda a, b: (int(a), 0, int(b), "")
+    rows = []
+    for n in (0, 1, 40):
+        cuts = np.unique(rng.integers(0, 300, 2 * n))
+        mixed = [span(a, b) for a, b in zip(cuts[::2], cuts[1::2])]
+        rows += [(mixed, [span(a, a + rng.integers(1, 9)) for a in np.sort(rng.integers(0, 300, m))]) for m in (0, 1, 25)]
+    df = spark.createDataFrame(rows, f"m array<{secrets.SPAN}>, b array<{secrets.SPAN}>")
+    for r in df.select("m", "b", secrets.untouched(F.col("m"), F.col("b")).alias("free")).collect():
+        assert r["free"] == [m for m in r["m"] if not any(b["start"] < m["end"] and m["start"] < b["end"] for b in r["b"])]
+
+
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 1000])
 def test_running_sum(spark, n):
     values = list(range(n))
