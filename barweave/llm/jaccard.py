@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 from hashlib import blake2b
 from math import erf, exp, floor, sqrt
@@ -36,6 +37,7 @@ ENTRIES_PER_BATCH = 10_000
 IN_PLACE = 8192  # members of a list whose bitmaps are compared sooner than they are indexed again
 SMALL_SET = 40  # up to here a set's own size is about the cost of deletions
 COMPARED = 4096  # rows of one block of a long list
+SHINGLES_PER_BLOCK = 4_000_000  # and their shingles
 BLOCK = 1 << 20  # index entries combined locally before the shuffle
 LARGEST_SET = 1 << 40
 # Kinds of index rows: one element deleted; passes by the sort; stands for rows that do.
@@ -245,6 +247,60 @@ def list_pairs(lists: np.ndarray, labels: np.ndarray, deleted: np.ndarray, sizes
     return np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
 
 
+@dataclass(frozen=True)
+class Group:
+    """The work on one group of rows inside a task, for runs of n words and similarity t."""
+
+    n: int
+    t: Fraction
+
+    def bounded(self, rows: pd.DataFrame, bits: np.ndarray, component: np.ndarray, i: int) -> np.ndarray:
+        """Rows after i that may link with it by the bound, in a component of their own."""
+        up, down = self.t.numerator, self.t.denominator
+        n, deleted, block = (rows[c].to_numpy() for c in ("n_shingles", "deleted", "block"))
+        j = slice(i + 1, None)
+        good = (component[j] != component[i]) & (n[j] * down >= n[i] * up) & (n[i] * down >= n[j] * up) & ~(deleted[j] & deleted[i])
+        if rows["low"].iat[0] != rows["high"].iat[0]:
+            good &= block[j] != block[i]
+        at = np.flatnonzero(good) + i + 1
+        apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        return at[apart * (down + up) <= (n[at] + n[i]) * (down - up)]
+
+    def with_partners(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """The rows of a group that have a possible partner in it; no pairs are made."""
+        rows = rows.sort_values("id", ignore_index=True)
+        bits, label = folded(rows["bitmap"]), rows["label"].to_numpy()
+        some = np.zeros(len(rows), bool)
+        for i in range(len(rows) - 1):
+            at = self.bounded(rows, bits, label, i)
+            some[at] = True
+            some[i] |= len(at) > 0
+        return rows[some]
+
+    def spanning(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """Links that join the components of a group, found on the words: fewer than its rows, as what is joined is skipped."""
+        up, down, n = self.t.numerator, self.t.denominator, self.n
+        rows = rows.sort_values("id", ignore_index=True)
+        bits, (component, _) = folded(rows["bitmap"]), pd.factorize(rows["label"])
+        ids, texts = rows["id"].to_numpy(), rows["text"].tolist()
+        hashes = [hashed_set(t, n) for t in texts]
+        out = []
+        for i in range(len(rows) - 1):
+            words = None
+            for j in self.bounded(rows, bits, component, i).tolist():
+                if component[i] == component[j]:
+                    continue
+                same = len(np.intersect1d(hashes[i], hashes[j], assume_unique=True))
+                if same * down < up * (len(hashes[i]) + len(hashes[j]) - same):
+                    continue
+                words, other = shingles(texts[i], n) if words is None else words, shingles(texts[j], n)
+                same = len(words & other)
+                if same * down >= up * (len(words) + len(other) - same):
+                    out.append((ids[i], ids[j]))
+                    component[component == component[j]] = component[i]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+
 class Join:
     """One run of the join; tables go to `room`."""
 
@@ -437,40 +493,40 @@ class Join:
         several = named.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
         return several.select("list"), labels
 
-    def compared(self, rows: DataFrame, meta: DataFrame) -> DataFrame:
-        """Pairs of the lists (list, id, deleted, label) that pass the bound; the others are never made.
+    def joined_in_blocks(self, rows: DataFrame, meta: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
+        """`links` and those that join what the lists (list, id, deleted) hold apart.
 
-        A list is dealt to blocks of bounded size, and each two blocks of a list meet in one group,
-        where their bitmaps are compared in place.
+        A list is dealt to blocks of bounded rows and shingles. First the blocks of a sixteenth of
+        the lists are worked, then those of the rest, then each two blocks of a list; before each
+        step everybody is named anew by the components so far and lists of one component are left
+        out, so a large group of near copies, which meets in many lists, is joined early and once.
+        A group's bitmaps pick the rows with a possible partner; only these bring their texts.
         """
-        up, down, kind = self.t.numerator, self.t.denominator, self.kind
-
-        def compare(rows: pd.DataFrame) -> pd.DataFrame:
-            low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
-            rows = rows.sort_values("id", ignore_index=True)
-            bits = folded(rows["bitmap"])
-            ids, n, label = rows["id"].to_numpy(), rows["n_shingles"].to_numpy(), rows["label"].to_numpy()
-            deleted, block = rows["deleted"].to_numpy(bool), rows["block"].to_numpy()
-            out = []
-            for i in range(len(rows) - 1):
-                j = slice(i + 1, None)
-                apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                good = (apart * (down + up) <= (n[j] + n[i]) * (down - up)) & (label[j] != label[i])
-                good &= (n[j] * down >= n[i] * up) & (n[i] * down >= n[j] * up) & ~(deleted[j] & deleted[i])
-                if low != high:
-                    good &= block[j] != block[i]
-                out += [(i, k) for k in (np.flatnonzero(good) + i + 1).tolist()]
-            at = np.array(out, np.int64).reshape(-1, 2)
-            return pd.DataFrame({"a": ids[at[:, 0]], "b": ids[at[:, 1]]})
-
-        count = rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(COMPARED)).cast("int").alias("blocks"))
+        kind, group = self.kind, Group(self.n, self.t)
         own = meta.select(F.col("key").alias("id"), "n_shingles", "bitmap")
-        dealt = rows.join(count, "list").join(own, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        others = F.sequence(F.lit(0), F.col("blocks") - 1)
-        met = dealt.withColumn("other", F.explode(others)).drop("blocks").select(
-            "*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
-        )
-        return met.groupBy("list", "low", "high").applyInPandas(compare, f"a {kind}, b {kind}")
+        known = rows.join(own, "id")
+        needed = F.greatest(F.count(F.lit(1)) / F.lit(COMPARED), F.sum("n_shingles") / F.lit(SHINGLES_PER_BLOCK))
+        count = known.groupBy("list").agg(F.ceil(needed).cast("int").alias("blocks"))
+        dealt = known.join(count, "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        dealt = self.room.save(dealt, "dealt")
+        alone = dealt.select("*", F.col("block").alias("low"), F.col("block").alias("high"))
+        met = dealt.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
+        met = met.select(*dealt.columns, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        early = F.pmod(F.xxhash64("list"), F.lit(16)) == 0
+        fields = f"list long, low int, high int, id {kind}, label {kind}, deleted boolean, block int, n_shingles long, bitmap binary"
+        names = [x.split()[0] for x in fields.split(", ")]
+        for step, part in (("early", alone.where(early)), ("own", alone.where(~early)), ("cross", met)):
+            if part.isEmpty():
+                continue
+            labels = components(links, self.room, f"labels-{step}")
+            part = part.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
+            several = part.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("list")
+            groups = part.join(several, "list", "left_semi").select(*names).groupBy("list", "low", "high")
+            near = self.room.save(groups.applyInPandas(lambda rows: group.with_partners(rows), fields), f"partners-{step}")
+            groups = near.join(texts.dropDuplicates(["id"]), "id").groupBy("list", "low", "high")
+            more = groups.applyInPandas(lambda rows: group.spanning(rows), f"a {kind}, b {kind}").distinct()
+            links = self.room.save(links.unionByName(more), f"links-{step}")
+        return links
 
     def allotment(self, open_star: DataFrame) -> dict[int, tuple[int, int]]:
         """Errors per cut, from the number, size and distance of the open sets in each band.
@@ -535,22 +591,18 @@ def linked_documents(
         size = open_star.groupBy("list").agg(F.count(F.lit(1)).alias("members"))
         short = open_star.join(size.where(F.col("members") <= IN_PLACE), "list", "left_semi")
         longer = open_star.join(size.where(F.col("members") > IN_PLACE), "list", "left_semi")
-        label = F.coalesce("component", "id").alias("label")
-        rest = short.select("list", F.col("b").alias("id"), F.lit(False).alias("deleted")).join(labels, "id", "left")
-        rest = rest.select("list", "id", "deleted", label)
+        rest = short.select("list", F.col("b").alias("id"), F.lit(False).alias("deleted"))
         if not longer.isEmpty():
             named = texts.join(longer.select(F.col("b").alias("id")).distinct(), "id", "left_semi").join(labels, "id", "left")
-            found = room.save(job.pairs(job.index_again(named.withColumn("label", label), job.allotment(longer.join(measured, ["a", "b"])))), "lists-1")
+            found = room.save(job.pairs(job.index_again(named.withColumn("label", F.coalesce("component", "id")), job.allotment(longer.join(measured, ["a", "b"])))), "lists-1")
             pairs = found.where(F.col("b").isNotNull()).select("a", "b").distinct()
             near = job.apart(pairs, meta).where(job.possible()).select("a", "b")
             links = room.save(links.unionByName(job.verified(near, texts)), "links-2")
             # Lists of deletions alone pair nothing.
             full = found.where(F.col("b").isNull() & ~F.col("deleted")).select("list").distinct()
             long_rows = found.where(F.col("b").isNull()).join(full, "list", "left_semi")
-            still = long_rows.select("list", F.col("a").alias("id"), "deleted").join(labels, "id", "left")
-            rest = rest.unionByName(still.select("list", "id", "deleted", label))
-        near = job.compared(room.save(rest, "rest"), meta).distinct()
-        links = room.save(links.unionByName(job.verified(near, texts)), "links-3")
+            rest = rest.unionByName(long_rows.select("list", F.col("a").alias("id"), "deleted"))
+        links = job.joined_in_blocks(rest, meta, texts, links)
     links = links.distinct()
     reached = components(links, room)
     named = classes.join(reached.withColumnRenamed("id", "class_id"), "class_id", "left").select(
