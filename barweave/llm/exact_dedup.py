@@ -9,6 +9,7 @@ partition (of its salt).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -25,9 +26,9 @@ def sha256(content: Column) -> Column:
 
 def exact_groups(
     docs: DataFrame, room: Scratch, key: str = "doc_id", text: str = "text",
-    normalise: Callable[[Column], Column] = ascii_lower, digest: Callable[[Column], Column] = sha256,
+    normalise: Callable[[Column], Column] = ascii_lower, digest: Callable[[Column], Column] = sha256, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: key, digest, keep (largest key of the group), group_size, kept.
+    """One row per input row: key, digest, the columns of `carry`, keep (largest key of the group), group_size, kept.
 
     Null text counts as empty. Of equal texts the row with the largest key stays; a null key is
     the smallest. Rows that repeat key and text are all marked kept if their key is; they count
@@ -35,7 +36,7 @@ def exact_groups(
     Texts with equal digests but different contents are told apart by content.
     """
     rows = docs.select(
-        F.col(key).alias("key"), normalise(F.coalesce(F.col(text), F.lit(""))).alias("content")
+        F.col(key).alias("key"), normalise(F.coalesce(F.col(text), F.lit(""))).alias("content"), *carry
     ).withColumn("digest", digest(F.col("content")))
     salt = F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")
     salted = (
@@ -51,16 +52,22 @@ def exact_groups(
         "groups",
     )
     single = by_digest.where(F.col("contents") == 1).drop("contents")
-    found = rows.select("key", "digest").join(single, "digest")
+    found = rows.select("key", "digest", *carry).join(single, "digest")
     shared = by_digest.where(F.col("contents") > 1).select("digest")
     if not shared.isEmpty():  # digests that several contents share: join by the content itself
         apart = groups.join(shared, "digest", "left_semi").withColumnRenamed("n", "group_size")
-        again = rows.join(apart, ["digest", "content"]).select("key", "digest", "keep", "group_size")
+        again = rows.join(apart, ["digest", "content"]).select("key", "digest", *carry, "keep", "group_size")
         found = found.unionByName(again)
     return found.withColumn("kept", F.col("key").eqNullSafe(F.col("keep")))
 
 
 def drop_exact_copies(docs: DataFrame, room: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with their own columns. Needs keys without nulls."""
-    kept = exact_groups(docs, room, key, text).where("kept").select(F.col("key").alias("_kept_key")).distinct()
-    return docs.join(kept, docs[key] == kept["_kept_key"], "left_semi")
+    """One row of `docs` for each text, with its own columns: that of the largest key, null being the smallest.
+
+    Of rows that repeat key and text one stays. `docs` is read more than once and has to be a stored
+    table; rows are told apart by their number in it.
+    """
+    row = f"_row_{uuid.uuid4().hex}"
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    kept = exact_groups(numbered, room, key, text, carry=(row,)).where("kept").groupBy("digest", "key").agg(F.min(row).alias(row))
+    return numbered.join(kept.select(row), row, "left_semi").select(*docs.columns)

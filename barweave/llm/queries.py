@@ -27,7 +27,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1_token_store(spark: SparkSession, folder: str) -> DataFrame:
     docs, room = table(spark, folder, "documents"), Scratch(spark, "tokens")
     store = token_store.write_store(docs, room.folder, tokenizer_file("word_bpe_49k.json"), END_ID, special=True)
-    rows = token_store.read_ids(store, token_store.look_up(store, docs.select("doc_id")))
+    stored = store.table(spark, "entries").select("key", "copy")  # rows that share an id are copies of it
+    rows = token_store.read_ids(store, token_store.look_up(store, stored, key="key"))
     return rows.select(
         F.col("key").alias("doc_id"), F.col("start").cast("long"), F.col("length").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )

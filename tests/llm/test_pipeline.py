@@ -68,3 +68,46 @@ def test_every_query_is_registered():
 
     names = __spark_entry__.queries()
     assert set(QUERIES) <= set(names) and "pipeline" in names
+
+
+# Stages over awkward rows: null and repeated ids, repeated rows, null and empty texts, clashing names.
+ROWS = [
+    (1, "one two three four five six seven eight"), (1, "one two three four five six seven eight"), (1, "another text of the same id, all on its own here"),
+    (None, "a document without an id that nobody repeats at all"), (None, "ONE two three four five six seven eight"), (None, None), (7, ""), (7, None),
+    (9, "shared words " * 30 + "end"), (8, "shared words " * 30 + "END"), (None, "p q r s t u v w x y z " * 20 + "a"), (3, "p q r s t u v w x y z " * 20 + "b"),
+]
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, contamination string, component string, key string, document string"
+
+
+def awkward(spark, rows, path):
+    df = spark.createDataFrame([(i, t, "en", "s", 0, "c", "p", "k", "d") for i, t in rows], CLASH)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def kept(df):
+    assert df.columns == [c.split()[0] for c in CLASH.split(", ")]
+    rows = df.collect()
+    assert all((r["contamination"], r["component"], r["key"], r["document"]) == ("c", "p", "k", "d") for r in rows)
+    return sorted(((r["doc_id"], r["text"]) for r in rows), key=str)
+
+
+def test_stages_keep_what_has_no_copy(spark, tmp_path):
+    docs = awkward(spark, ROWS, f"file://{tmp_path}/docs")
+    spark.createDataFrame([(1, "p q r s t u v w x y z p q")], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    exact = kept(corpus_pipeline.drop_copies(spark, docs, f"file://{tmp_path}"))
+    assert [i for i, t in exact if (t or "").lower() == ROWS[0][1]] == [1] and [i for i, t in exact if not t] == [7]
+    assert [i for i, t in exact if (t or "").lower().endswith("end")] == [9] and len(exact) == 7
+    near = kept(corpus_pipeline.drop_near_copies(spark, docs, f"file://{tmp_path}"))
+    assert len([1 for i, t in near if not t]) == 3 and (None, ROWS[3][1]) in near and (1, ROWS[2][1]) in near
+    assert [i for i, t in near if (t or "").lower() == ROWS[0][1]] == [1] and [i for i, t in near if (t or "").lower().endswith("end")] == [8]
+    assert [i for i, t in near if (t or "").startswith("p q")] == [3]
+    clean = kept(corpus_pipeline.drop_contaminated(spark, docs, f"file://{tmp_path}"))
+    assert clean == sorted(((i, t) for i, t in ROWS if not (t or "").startswith("p q")), key=str)
+
+
+def test_stages_without_rows(spark, tmp_path):
+    docs = awkward(spark, [], f"file://{tmp_path}/docs")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.drop_contaminated, corpus_pipeline.pack_sequences):
+        assert stage(spark, docs, f"file://{tmp_path}").isEmpty()
