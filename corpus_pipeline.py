@@ -1,11 +1,14 @@
 """From raw documents to packed training sequences, in five stages over the whole table.
 
 Every stage is a function (spark, docs, sf_dir) -> DataFrame; its result is written as Parquet and
-read back as the next one's `docs`. All but the last return the columns of documents.
+read back as the next one's `docs`. All but the last return the columns of documents, whatever
+their names are. Null texts count as empty; null and repeated ids are documents of their own; an
+empty table passes through every stage.
 """
 
 from __future__ import annotations
 
+import uuid
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,18 +35,24 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that similarity links hold together."""
-    room = Scratch(spark, "near")
-    found, _ = jaccard.linked_documents(docs, room, NEAR_WORDS, NEAR_SIMILARITY)
-    stays = settled(found.where(F.col("key") == F.col("component")).select(F.col("key").alias("doc_id")).distinct(), room)
-    return docs.join(stays, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group that similarity links hold together: that with the smallest id, null being the largest.
+
+    Rows are told apart by their number, so null and repeated ids are documents of their own.
+    """
+    room, row = Scratch(spark, "near"), f"_row_{uuid.uuid4().hex}"
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    found, _ = jaccard.linked_documents(numbered, room, NEAR_WORDS, NEAR_SIMILARITY, key=row)
+    named = found.select(F.col("key").alias(row), "component").join(numbered.select(row, "doc_id"), row)
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", row))[row].alias(row))
+    return numbered.join(settled(first.select(row), room), row, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a notable share of benchmark windows."""
     small_batches(spark)
-    judged = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return judged.where(~decontaminate.is_contaminated()).select(*docs.columns)
+    held = docs.select(F.struct("*").alias("document"), "text")
+    judged = decontaminate.contamination(held, table(spark, sf_dir, "benchmark"))
+    return judged.where(~decontaminate.is_contaminated()).select("document.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
