@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barweave.catalog.tables import HOUR, MARKET, bars, feature_query, query, rounded, shown, ticks
+from barweave.operators.blocks import number_rows
 from barweave.operators.market import add_market_risk
 from barweave.operators.unit_root import rolling_adf
 from barweave.operators.wavelet import wavelet_coeff
@@ -64,6 +65,16 @@ feature_query("omega", "omega_ratio")
 feature_query("drawdown", "cum_max drawdown max_drawdown")
 feature_query("ulcer", "ulcer_index")
 feature_query("hurst", "hurst_30")
+
+
+@query("hurst_trend")
+def _hurst_trend(spark, sf_dir):
+    """A steep trend with very small deviations, whose spread is lost when large totals are subtracted."""
+    table = number_rows(bars(spark, sf_dir), HOUR)
+    close = 50000 + 3.0 * F.col("rn") + 1e-6 * (F.col("close") - F.floor("close"))
+    return shown(features(table.withColumn("close", close), ["hurst_30"], HOUR), ["hurst_30"])
+
+
 feature_query("dickey_fuller", "df_stat_30")
 feature_query("sharpe", "sharpe_ratio")
 feature_query("sortino", "sortino_ratio")

@@ -289,14 +289,14 @@ ORACLE["dickey_fuller"] = select(
 )
 
 
-def _hurst() -> str:
+def _hurst(source: str = "n") -> str:
     lags = "[" + ", ".join(str(i) for i in range(2, 20)) + "]"
     diffs = "list_transform(range(1, 31 - g), lambda i: xs[i + g] - xs[i])"
     return select(
         {"hurst_30": "2 * h"},
         "y",
         [
-            f"w AS (SELECT symbol, time, rn, count(close) {over(30)} AS c, list(close) {over(30)} AS xs FROM n)",
+            f"w AS (SELECT symbol, time, rn, count(close) {over(30)} AS c, list(close) {over(30)} AS xs FROM {source})",
             f"g AS (SELECT symbol, time, rn, g, list_aggregate({diffs}, 'stddev_pop') AS s "
             f"FROM w, (SELECT unnest({lags}) AS g) WHERE c = 30)",
             "s AS (SELECT symbol, rn, regr_slope(ln(s), ln(g)) AS h FROM g GROUP BY ALL)",
@@ -306,6 +306,7 @@ def _hurst() -> str:
 
 
 ORACLE["hurst"] = _hurst()
+ORACLE["hurst_trend"] = _hurst("(SELECT * REPLACE (50000 + 3.0 * rn + 1e-6 * (close - floor(close)) AS close) FROM n)")
 
 # --- recurrences ----------------------------------------------------------------------------
 
@@ -774,3 +775,7 @@ ORACLE["stream_positions"] = book_query(
     stake=2000,
     exits=0,
 )
+
+ORACLE["stream_features"] = "SELECT symbol, time, obv, ema_21, rsi_14, macd, adx_14 FROM " + " JOIN ".join(
+    f"({ORACLE[name]}) {name}_table" + (" USING (symbol, time)" if i else "") for i, name in enumerate(["obv", "ema", "rsi", "macd", "adx"])
+)

@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.catalog.tables import FIVE_MINUTES, HOUR, query, rounded, shown
+from barweave.catalog.tables import FIVE_MINUTES, HOUR, bars, query, rounded, shown
 from barweave.catalog.trading import PRICES, labelled
 from barweave.plans.features import features
 from barweave.session import shared_dir
 from barweave.streaming.bars import bar_stream
-from barweave.streaming.live import position_batches, read_signals, score_bars, trading_hours, write_stream
+from barweave.streaming.live import feature_batches, position_batches, read_signals, score_bars, trading_hours, write_stream
 from barweave.streaming.positions import alerts, position_stream
 
 ONCE = {"availableNow": True}
@@ -45,6 +45,22 @@ def _bars(spark, sf_dir):
     return shown(finished(stream, new_folder(spark), "bars"), PRICES)
 
 
+STREAMED = ["obv", "ema_21", "rsi_14", "macd", "adx_14"]
+
+
+@query("stream_features")
+def _features(spark, sf_dir):
+    """The bars arrive in three parts; each batch goes on from the state of the one before."""
+    folder, table = new_folder(spark), bars(spark, sf_dir)
+    span = table.agg(F.min("time").alias("first"), F.max("time").alias("last")).first()
+    part = F.least(F.lit(2), F.floor(3 * (F.unix_timestamp("time") - int(span["first"].timestamp())) / max(1, int((span["last"] - span["first"]).total_seconds()))))
+    for i in range(3):
+        table.where(part == i).write.parquet(f"{folder}/in/part={i}")
+        arriving = spark.readStream.schema(table.schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        feature_batches(arriving, folder, STREAMED, HOUR, trigger=ONCE).awaitTermination()
+    return shown(spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/features"), STREAMED)
+
+
 @query("stream_positions")
 def _positions(spark, sf_dir):
     folder = new_folder(spark)
@@ -66,8 +82,8 @@ def crossing_signal(bars: DataFrame) -> DataFrame:
 @query("stream_alerts")
 def _alerts(spark, sf_dir):
     folder = new_folder(spark)
-    bars = bar_stream(tick_stream(spark, sf_dir), HOUR)
+    hourly = bar_stream(tick_stream(spark, sf_dir), HOUR)
     names = ["sma_cross_signal_9_21"]
-    score_bars(trading_hours(bars), folder, crossing_signal, HOUR, names, trigger=ONCE).awaitTermination()
+    score_bars(trading_hours(hourly), folder, crossing_signal, HOUR, names, trigger=ONCE).awaitTermination()
     stream = position_stream(read_signals(spark, folder))
     return finished(alerts(stream), folder, "alerts")

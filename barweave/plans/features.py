@@ -19,7 +19,7 @@ SMALL_BLOCK = 256
 LARGE_BLOCK = 1400
 
 
-def _gather(names: list[str], own: dict[str, Feature], columns: list[str]) -> dict[str, Feature]:
+def gather(names: list[str], own: dict[str, Feature], columns: list[str]) -> dict[str, Feature]:
     """The wanted features and everything they need, inputs before users."""
     found: dict[str, Feature] = {}
 
@@ -83,7 +83,7 @@ def _check(rows: int, found: dict[str, Feature], reach: int) -> None:
 
 def _fits(names: list[str], own: dict[str, Feature], columns: list[str]) -> bool:
     """Whether one block size serves all of these features."""
-    found = _gather(names, own, columns)
+    found = gather(names, own, columns)
     reach = max(0, *_levels(found)[1].values()) if found else 0
     try:
         _check(_block_rows(found, reach), found, reach)
@@ -106,12 +106,18 @@ def _tilings(names: list[str], own: dict[str, Feature], columns: list[str]) -> l
     return groups
 
 
+def looked_back(names: list[str], own: dict[str, Feature], columns: list[str]) -> int:
+    """The most earlier rows that windows of these features look at, recurrences aside."""
+    found = gather(names, own, columns)
+    return max(0, *_levels(found)[1].values()) if found else 0
+
+
 def rows_needed(names: list[str], columns: list[str], own: list[Feature] = ()) -> int | None:
     """How many earlier bars of its symbol decide a bar's features; None where the whole past does."""
-    found = _gather(names, {f.name: f for f in own}, [*columns, "rn"])
+    found = gather(names, {f.name: f for f in own}, [*columns, "rn"])
     if any(f.scan or "rn" in f.needs for f in found.values()):
         return None
-    return max(0, *_levels(found)[1].values()) if found else 0
+    return looked_back(names, {f.name: f for f in own}, [*columns, "rn"])
 
 
 def features(
@@ -136,7 +142,7 @@ def features(
     columns = bars.columns
     keep = list(columns) if keep is None else keep
     rules = {f.name: f for f in own}
-    found = _gather(names, rules, columns + ["rn"])
+    found = gather(names, rules, columns + ["rn"])
     wanted = [*keep, *[n for n in names if n not in keep]]
     ordered = any(f.windowed or f.scan or "rn" in f.needs for f in found.values())
     frame = Frame()

@@ -540,41 +540,24 @@ def _step(name, n):
     return Feature(name, ("close",), lambda w: C("close") - w.lag("close", n), n, True)
 
 
-@_family(r"_square_(\d+)")
-def _square(name, n):
-    return Feature(name, (f"_step_{n}",), lambda w: C(f"_step_{n}") * C(f"_step_{n}"))
-
-
-@_family(r"_turn_(\d+)")
-def _turn(name, n):
-    # Counts changes exactly, as a spread of zero must not be a rounding residue.
-    x = f"_step_{n}"
-    return Feature(name, (x,), lambda w: (C(x) != w.lag(x)).cast("long"), 1, True)
-
-
-@_family(r"_sum_(step|square|turn)_(\d+)")
-def _lag_sum(name, kind, lag):
-    # The differences of lag L inside a 30-row window are those of its last 30 - L rows.
-    x, n = f"_{kind}_{lag}", 30 - lag - (kind == "turn")
-    return Feature(name, (f"_run[{x}]",), lambda w: w.since(x, n), n - 1, True)
+@_family(r"_spread_(\d+)")
+def _spread(name, lag):
+    # The differences of lag L inside a 30-row window are those of its last 30 - L rows. Their spread is not taken from
+    # running totals: along a smooth trend it is far smaller than the differences.
+    x = f"_step_{lag}"
+    return Feature(name, (x,), lambda w: F.var_pop(C(x)).over(w.last(30 - lag)), 29 - lag, True)
 
 
 def _hurst():
     result = F.when(C("_complete_30"), F.lit(0.0))
     for lag, weight in zip(HURST_LAGS, R.log_slope_weights(HURST_LAGS)):
-        n = 30 - lag
-        square, total = C(f"_sum_square_{lag}"), C(f"_sum_step_{lag}")
-        variance = (square - total * total / n) / n
-        result = result + F.when(C(f"_sum_turn_{lag}") > 0, F.ln(variance)) * weight
+        spread = C(f"_spread_{lag}")
+        result = result + F.when(spread > 0, F.ln(spread)) * weight
     return result
 
 
 _win("_complete_30", "_num[close]", 29, lambda w: w.present("close", 30))
-_row(
-    "hurst_30",
-    "_complete_30 " + " ".join(f"_sum_{kind}_{lag}" for lag in HURST_LAGS for kind in ("step", "square", "turn")),
-    _hurst,
-)
+_row("hurst_30", "_complete_30 " + " ".join(f"_spread_{lag}" for lag in HURST_LAGS), _hurst)
 
 
 def _dickey_fuller(w):

@@ -10,16 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
 from barweave import schema as S
 from barweave.operators.ledger import closing_bar, ledger, local_clock
 from barweave.plans.features import features, rows_needed
 from barweave.plans.registry import Feature
 from barweave.sources.bars import last_rows
+from barweave.streaming.recurrent import advance, plan
 
 TRIGGER = {"processingTime": "5 minutes"}
 SIGNALS = "symbol string, time timestamp, close double, signal int"
@@ -38,12 +39,44 @@ def rewrite(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_if_there(spark: SparkSession, path: str, schema) -> DataFrame | None:
+def read_if_there(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     """The table, or None before its first write."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        return None
-    return spark.read.schema(schema).parquet(path)
+    try:
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def feature_batches(
+    bars: DataFrame, folder: str, names: list[str], bar_seconds: int, own: list[Feature] = (), trigger: dict | None = None
+) -> StreamingQuery:
+    """Append closed bars with the features `names` to `folder`/features, equal to those of the batch code.
+
+    Recurrences go on from `folder`/state: a batch reads its own bars and a bounded number of rows per symbol.
+    """
+
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
+        done = with_features(batch, batch_id, folder, names, bar_seconds, own)
+        rewrite(done, f"{folder}/features/batch={batch_id}")
+
+    return (
+        bars.writeStream.foreachBatch(one_batch)
+        .option("checkpointLocation", f"{folder}/checkpoint-features")
+        .trigger(**(trigger or TRIGGER))
+        .start()
+    )
+
+
+def with_features(batch: DataFrame, batch_id: int, folder: str, names: list[str], bar_seconds: int, own: list[Feature] = ()) -> DataFrame:
+    """The batch's bars with their features; the state after it is written. Two state folders take turns, so a batch
+    that runs again still finds what it read."""
+    before = read_if_there(batch.sparkSession, f"{folder}/state/{(batch_id - 1) % 2}") if batch_id else None
+    steps = plan(names, batch.columns, own)
+    done, after = advance(batch, before, steps, bar_seconds, lambda df, name: rewrite(df, f"{folder}/step-{name}"))
+    rewrite(after, f"{folder}/state/{batch_id % 2}")
+    return done
 
 
 def score_bars(
@@ -61,8 +94,9 @@ def score_bars(
     features `names` (`own`: rules of its own, as for `features`). It gets the new bars and the
     earlier bars of each symbol that these features look at; the rows of the new bars are kept.
     Where all features look back a bounded number of bars, `folder`/recent holds just these.
-    Recurrences and running totals follow from the whole past, so with them every batch reads all
-    of `folder`/bars; the signals are those of the batch code in both cases.
+    Recurrences and running totals follow from the whole past: with them the features come ready
+    made, from the state of `folder`/state, and `score` sees the new bars alone; a rule of its own
+    that looks at earlier bars belongs into `own`. The signals are those of the batch code.
     A batch that runs again overwrites its own folders, so nothing is written twice.
     """
     history = rows_needed(names, bars.columns, own)
@@ -71,8 +105,7 @@ def score_bars(
         spark = batch.sparkSession
         new = rewrite(batch, f"{folder}/bars/batch={batch_id}")
         if history is None:
-            dated = StructType([*batch.schema.fields, StructField("batch", LongType())])
-            known = spark.read.schema(dated).parquet(f"{folder}/bars").where(F.col("batch") <= batch_id).drop("batch")
+            known = with_features(new, batch_id, folder, names, bar_seconds, own)
         else:
             # Two folders in turn: a batch that runs again still finds what it read.
             before = read_if_there(spark, f"{folder}/recent/{(batch_id - 1) % 2}", batch.schema) if batch_id else None

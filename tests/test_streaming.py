@@ -156,3 +156,34 @@ def test_trading_hours(spark):
     table = spark.createDataFrame(pd.DataFrame({"time": pd.to_datetime(times)}))
     kept = [str(r.time) for r in trading_hours(table).collect()]
     assert kept == ["2024-05-06 03:00:00", "2024-05-06 22:55:00"]
+
+
+RECURRENT = ["obv", "ema_21", "rsi_14", "macd_signal", "adx_14", "cum_max", "ulcer_index", "adl", "vwap", "sma_9", "vw_rsi"]
+
+
+def test_features_from_state_equal_batch_and_read_no_old_bars(spark):
+    """Many small batches: symbols that start late, pause, and have few rows; every old bar file is gone before the next batch."""
+    import shutil
+
+    from barweave.plans.features import features
+    from barweave.streaming.live import feature_batches
+
+    names = RECURRENT
+    a, b, c = walk("A", 420, 1), walk("B", 300, 2), walk("C", 12, 3)
+    whole = pd.concat([a, b, c], ignore_index=True)
+    cuts = {"A": np.array([60, 330, 333]), "B": np.array([0, 280, 280]), "C": np.array([3, 3, 8])}
+    folder = new_folder(spark)
+    rows = spark.createDataFrame(whole)
+    for i in range(4):
+        parts = [g.iloc[(cuts[s][i - 1] if i else 0) : (cuts[s][i] if i < 3 else None)] for s, g in whole.groupby("symbol")]
+        part = pd.concat(parts, ignore_index=True)
+        path = f"{folder}/in/part={i}"
+        spark.createDataFrame(part, rows.schema).coalesce(1).write.parquet(path)
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        feature_batches(stream, folder, names, SECONDS, trigger=ONCE).awaitTermination()
+        shutil.rmtree(path.removeprefix("file:"))
+    got = spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/features").toPandas().sort_values(["symbol", "time"], ignore_index=True)
+    want = features(rows, names, SECONDS).toPandas().sort_values(["symbol", "time"], ignore_index=True)
+    assert len(got) == len(want)
+    for n in names:
+        np.testing.assert_allclose(got[n].to_numpy(float), want[n].to_numpy(float), rtol=1e-9, atol=1e-9, err_msg=n)
