@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barweave.llm.common import Scratch, small_batches
+from barweave.llm.common import small_batches
 
 # A unit holds its end mark; what follows, white space included, belongs to the next one. Sentences end after their mark
 # where white space follows, after a full-width mark, and after a line feed. No text is lost between units.
@@ -54,19 +54,19 @@ def runs(units: list[str], repeated: set[int], least: int) -> list[tuple[int, in
 
 
 def repeated_units(
-    docs: DataFrame, room: Scratch, key: str = "doc_id", text: str = "text", border: re.Pattern = SENTENCES, least: int = LEAST_WORDS,
-) -> DataFrame:
+    docs: DataFrame, key: str = "doc_id", text: str = "text", border: re.Pattern = SENTENCES, least: int = LEAST_WORDS
+) -> DataFrame:
     """One row per input row: key, n_units, text (what stays), removed: array of (start, end, units).
 
     start and end are code points of the original text, `units` is how many went there. Of equal
     units over all rows the one of the smallest key stays (a null key comes last), within a row the
     first. Rows that share a key and text are repeats of each other: the first in no fixed order
     stays. Null text gives null text and no units, empty text none. An empty table gives an empty
-    result; other columns are not read.
+    result; other columns are not read. `docs` is read more than once and has to be a stored table;
+    rows are told apart by their number in it.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    rows = room.save(rows, "rows")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -83,7 +83,7 @@ def settled(result: DataFrame, room: Scratch) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines, cut further into sentences."""
-    kept = lines.repeated_units(table(spark, folder, "documents"), Scratch(spark, "lines"))
+    kept = lines.repeated_units(table(spark, folder, "documents"))
     spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"]))
     return kept.select(
         F.col("key").alias("doc_id"), F.col("n_units").cast("long"), F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["units"]).alias("n_removed"),

@@ -475,25 +475,24 @@ PASSAGES = [
 
 @pytest.mark.parametrize("border", list(BORDERS))
 @pytest.mark.parametrize("least", [1, 4, 12])
-def test_passages(spark, room, border, least):
+def test_passages(spark, border, least):
     texts = TEXTS + PASSAGES
-    got = {r["key"]: r for r in lines.repeated_units(docs_of(spark, texts).repartition(3), room, border=BORDERS[border], least=least).collect()}
+    got = {r["key"]: r for r in lines.repeated_units(docs_of(spark, texts).repartition(3), border=BORDERS[border], least=least).collect()}
     for i, want in enumerate(plain_passages(texts, border, least)):
         assert (got[i]["text"], got[i]["n_units"], [tuple(x) for x in got[i]["removed"]]) == want, i
         gone = got[i]["removed"]
         assert (texts[i] or "") and got[i]["text"] == "".join(c for k, c in enumerate(texts[i]) if not any(s["start"] <= k < s["end"] for s in gone)) or not texts[i]
 
 
-def test_passages_empty_and_repeated_rows(spark, room, none):
-    assert lines.repeated_units(none, room).isEmpty()
-    room.drop("")
-    rows = lines.repeated_units(docs_of(spark, ["x", "x", "x"], [1, 1, None]), room, least=1).collect()
+def test_passages_empty_and_repeated_rows(spark, none):
+    assert lines.repeated_units(none).isEmpty()
+    rows = lines.repeated_units(docs_of(spark, ["x", "x", "x"], [1, 1, None]), least=1).collect()
     assert sorted(r["text"] for r in rows) == ["", "", "x"] and [r["text"] for r in rows if r["key"] is None] == [""]
 
 
-def test_passages_of_many_lines(spark, room):
+def test_passages_of_many_lines(spark):
     text = "\n".join(f"line number {i} of the text" for i in range(20000))
-    rows = {r["key"]: r for r in lines.repeated_units(docs_of(spark, [text, "own\n" + text]), room).collect()}
+    rows = {r["key"]: r for r in lines.repeated_units(docs_of(spark, [text, "own\n" + text])).collect()}
     assert rows[0]["text"] == text and rows[1]["text"] == "own\n" and rows[1]["n_units"] == 20001
 
 
