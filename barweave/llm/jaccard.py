@@ -18,7 +18,7 @@ so a large group of near copies costs about its size, not its square.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 from hashlib import blake2b
@@ -254,25 +254,36 @@ class Group:
     n: int
     t: Fraction
 
-    def bounded(self, rows: pd.DataFrame, bits: np.ndarray, component: np.ndarray, i: int) -> np.ndarray:
-        """Rows after i that may link with it by the bound, in a component of their own."""
+    def bounded(self, rows: pd.DataFrame, bits: np.ndarray) -> Callable[[np.ndarray, int], np.ndarray]:
+        """A function of (component of every row, i): the rows after i that may link with it by the bound, in other components."""
         up, down = self.t.numerator, self.t.denominator
         n, deleted, block = (rows[c].to_numpy() for c in ("n_shingles", "deleted", "block"))
-        j = slice(i + 1, None)
-        good = (component[j] != component[i]) & (n[j] * down >= n[i] * up) & (n[i] * down >= n[j] * up) & ~(deleted[j] & deleted[i])
-        if rows["low"].iat[0] != rows["high"].iat[0]:
-            good &= block[j] != block[i]
-        at = np.flatnonzero(good) + i + 1
-        apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        return at[apart * (down + up) <= (n[at] + n[i]) * (down - up)]
+        apart_only = rows["low"].iat[0] != rows["high"].iat[0]
+
+        def of(component: np.ndarray, i: int) -> np.ndarray:
+            j = slice(i + 1, None)
+            good = (component[j] != component[i]) & (n[j] * down >= n[i] * up) & (n[i] * down >= n[j] * up)
+            if deleted[i]:
+                good &= ~deleted[j]
+            if apart_only:
+                good &= block[j] != block[i]
+            at = np.flatnonzero(good) + i + 1
+            # Where most rows are left, the whole slice is cheaper to compare than a copy of them.
+            most = 2 * len(at) > len(good)
+            apart = np.bitwise_count((bits[j] if most else bits[at]) ^ bits[i]).sum(axis=1, dtype=np.int64)
+            apart = apart[at - i - 1] if most else apart
+            return at[apart * (down + up) <= (n[at] + n[i]) * (down - up)]
+
+        return of
 
     def with_partners(self, rows: pd.DataFrame) -> pd.DataFrame:
         """The rows of a group that have a possible partner in it; no pairs are made."""
         rows = rows.sort_values("id", ignore_index=True)
         bits, label = folded(rows["bitmap"]), rows["label"].to_numpy()
-        some = np.zeros(len(rows), bool)
+        some, bounded = np.zeros(len(rows), bool), self.bounded(rows, bits)
+        label, _ = pd.factorize(label)
         for i in range(len(rows) - 1):
-            at = self.bounded(rows, bits, label, i)
+            at = bounded(label, i)
             some[at] = True
             some[i] |= len(at) > 0
         return rows[some]
@@ -284,10 +295,10 @@ class Group:
         bits, (component, _) = folded(rows["bitmap"]), pd.factorize(rows["label"])
         ids, texts = rows["id"].to_numpy(), rows["text"].tolist()
         hashes = [hashed_set(t, n) for t in texts]
-        out = []
+        out, bounded = [], self.bounded(rows, bits)
         for i in range(len(rows) - 1):
             words = None
-            for j in self.bounded(rows, bits, component, i).tolist():
+            for j in bounded(component, i).tolist():
                 if component[i] == component[j]:
                     continue
                 same = len(np.intersect1d(hashes[i], hashes[j], assume_unique=True))
