@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barweave.functions.rolling import Frame
@@ -21,6 +21,8 @@ from barweave.operators.blocks import prefix
 UNDERFLOW = 746.0
 # Largest exponent of lam ** position kept inside a block (doubles end near e^709).
 MAX_EXPONENT = 600.0
+# Blocks of a symbol whose end states one task puts in order.
+STRIP_BLOCKS = 16384
 
 
 @dataclass(frozen=True)
@@ -151,15 +153,8 @@ def _carry(states: DataFrame, scans: dict[str, Scan], tiling: Tiling) -> DataFra
     affine = {n: s for n, s in scans.items() if s.kind == "affine" and s.lam > 0}
     parts = []
     if affine:
-        reach = max(1 + math.ceil(UNDERFLOW / (tiling.rows * -math.log(s.lam))) for s in affine.values())
-        later = states.select("symbol", "blk", *affine).withColumn(
-            "_i", F.explode(F.sequence(F.lit(1), F.lit(reach)))
-        )
-        weighted = [
-            F.sum(F.col(n) * F.exp((F.col("_i") - 1) * F.lit(tiling.rows * math.log(s.lam)))).alias(n)
-            for n, s in affine.items()
-        ]
-        parts.append(later.groupBy("symbol", (F.col("blk") + F.col("_i")).alias("blk")).agg(*weighted))
+        rates = {n: tiling.rows * -math.log(s.lam) for n, s in affine.items()}
+        parts.append(decayed(states.select("symbol", "blk", *affine), rates))
     if sums or maxes:
         parts.append(prefix(states.select("symbol", "blk", *sums, *maxes), sums, maxes))
     if not parts:
@@ -169,3 +164,49 @@ def _carry(states: DataFrame, scans: dict[str, Scan], tiling: Tiling) -> DataFra
         carry = carry.join(part, ["symbol", "blk"], "full")
     missing = [n for n in scans if n not in carry.columns]
     return carry.withColumns({n: F.lit(None).cast("double") for n in missing}) if missing else carry
+
+
+def group_blocks(rate: float) -> int:
+    """Blocks per group for a state that decays by e^-rate per block.
+
+    A group spans at least UNDERFLOW, so a state outlives only one group, and less than twice
+    MAX_EXPONENT. Sizes are rounded up in steps of half an octave, so that similar rates share a window.
+    """
+    need, step = math.ceil(UNDERFLOW / rate), 0
+    while math.ceil(2 ** (step / 2)) < need:
+        step += 1
+    return math.ceil(2 ** (step / 2))
+
+
+def decayed(blocks: DataFrame, rates: dict[str, float], strip: int = STRIP_BLOCKS) -> DataFrame:
+    """For every (symbol, blk): each column summed over all earlier blocks, the i-th one back weighing e^-(i-1)*rate.
+
+    Blocks are numbered 0, 1, ... without gaps. They are dealt to strips, each with copies of the
+    two groups before it; inside a strip, groups are summed on their own, and the end of the group
+    before is added. Rows stay linear in the blocks, whatever the rate; one exchange serves all columns.
+    """
+    sizes = {n: group_blocks(rate) for n, rate in rates.items()}
+    halo = 2 * max(sizes.values())
+    strip = max(strip, 8 * halo)
+    home, place = F.floor(F.col("blk") / F.lit(strip)).cast("long"), F.col("blk") % F.lit(strip)
+    copied = F.when(place >= strip - halo, home + 1)
+    dealt = (
+        blocks.withColumn("_strip", F.explode(F.array_compact(F.array(home, copied))))
+        .repartition("symbol", "_strip")
+        .withColumn("_at", F.col("blk") - F.col("_strip") * F.lit(strip) + F.lit(halo))
+    )
+    by_block = Window.partitionBy("symbol", "_strip").orderBy("blk")
+    before = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    inside, ends, total = {}, {}, {}
+    for n, rate in rates.items():
+        size = sizes[n]
+        group, in_group = F.floor(F.col("_at") / F.lit(size)), F.col("_at") % F.lit(size)
+        running = Window.partitionBy("symbol", "_strip", group).orderBy("blk").rowsBetween(Window.unboundedPreceding, 0)
+        power = (in_group - (size - 1) / 2.0) * F.lit(rate)
+        inside[f"_in_{n}"] = F.sum(F.col(n) * F.exp(power)).over(running) * F.exp(-power)
+        ends[f"_end_{n}"] = F.last(F.when(in_group == size - 1, F.col(f"_in_{n}")), ignorenulls=True).over(before)
+        ends[f"_before_{n}"] = F.when(in_group > 0, F.lag(f"_in_{n}").over(by_block))
+        carried = F.col(f"_end_{n}") * F.exp(-in_group * F.lit(rate))
+        total[n] = F.coalesce(F.col(f"_before_{n}") + carried, f"_before_{n}", carried)
+    summed = dealt.withColumns(inside).withColumns(ends)
+    return summed.where(home == F.col("_strip")).select("symbol", "blk", *[c.alias(n) for n, c in total.items()])
