@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROWS_PER_BUCKET = 4096
 BLOCKS_PER_GROUP = 4096
@@ -20,6 +21,30 @@ def time_bucket(time: str, bar_seconds: int, rows: int = ROWS_PER_BUCKET) -> Col
     return F.floor(F.unix_timestamp(time) / F.lit(bar_seconds * rows)).cast("long")
 
 
+def _bucket_offsets(bucketed: DataFrame, newest_first: bool) -> DataFrame:
+    """symbol, _tb and _off, the number of rows in the symbol's buckets that come earlier in the order."""
+    counts = bucketed.groupBy("symbol", "_tb").agg(F.count(F.lit(1)).alias("_n"))
+    order = F.col("_tb").desc() if newest_first else F.col("_tb").asc()
+    earlier = Window.partitionBy("symbol").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("symbol", "_tb", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("long").alias("_off"))
+
+
+def _ranked(bucketed: DataFrame, offsets: DataFrame, newest_first: bool) -> DataFrame:
+    """Add `rn`; rows of one symbol and time follow the values of their other columns."""
+    others = [f"`{f.name}`" for f in bucketed.schema if f.name not in ("symbol", "time", "_tb") and _orderable(f.dataType)]
+    keys = [F.col("time"), *[F.col(c) for c in others]]
+    inside = Window.partitionBy("symbol", "_tb").orderBy(*[k.desc() if newest_first else k.asc() for k in keys])
+    return (
+        bucketed.join(offsets, ["symbol", "_tb"])
+        .withColumn("rn", F.col("_off") + F.row_number().over(inside) - F.lit(1))
+        .drop("_tb", "_off")
+    )
+
+
+def _orderable(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
 def number_rows(
     bars: DataFrame, bar_seconds: int, rows_per_bucket: int = ROWS_PER_BUCKET, newest_first: bool = False
 ) -> DataFrame:
@@ -29,24 +54,20 @@ def number_rows(
     per bucket, give the offset. `bar_seconds` is the bar length.
     """
     bucketed = bars.withColumn("_tb", time_bucket("time", bar_seconds, rows_per_bucket))
-    counts = bucketed.groupBy("symbol", "_tb").agg(F.count(F.lit(1)).alias("_n"))
-    order = F.col("_tb").desc() if newest_first else F.col("_tb").asc()
-    earlier = Window.partitionBy("symbol").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "symbol", "_tb", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("long").alias("_off")
-    )
-    row_order = F.col("time").desc() if newest_first else F.col("time").asc()
-    inside = Window.partitionBy("symbol", "_tb").orderBy(row_order)
-    return (
-        bucketed.join(offsets, ["symbol", "_tb"])
-        .withColumn("rn", F.col("_off") + F.row_number().over(inside) - F.lit(1))
-        .drop("_tb", "_off")
-    )
+    return _ranked(bucketed, _bucket_offsets(bucketed, newest_first), newest_first)
 
 
-def last_rows(bars: DataFrame, n: int, bar_seconds: int) -> DataFrame:
-    """The newest n rows of every symbol."""
-    return number_rows(bars, bar_seconds, newest_first=True).where(F.col("rn") < n).drop("rn")
+def last_rows(bars: DataFrame, n: int, bar_seconds: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """The newest n rows of every symbol.
+
+    The counts of the buckets tell which ones can hold such rows; only these are ranked. The oldest
+    of them also bounds the time in the scan, as a subquery, so older files and row groups are skipped.
+    """
+    bucketed = bars.withColumn("_tb", time_bucket("time", bar_seconds, rows_per_bucket))
+    offsets = _bucket_offsets(bucketed, newest_first=True).where(F.col("_off") < n)
+    first = F.timestamp_seconds(F.min("_tb") * F.lit(bar_seconds * rows_per_bucket))
+    recent = bucketed.where(F.col("time") >= offsets.select(first.alias("first")).scalar())
+    return _ranked(recent, offsets, newest_first=True).where(F.col("rn") < n).drop("rn")
 
 
 def lay_out(numbered: DataFrame, block_rows: int, back: int = 0, ahead: int = 0) -> DataFrame:
@@ -55,13 +76,8 @@ def lay_out(numbered: DataFrame, block_rows: int, back: int = 0, ahead: int = 0)
         raise ValueError(f"a block of {block_rows} rows cannot look {max(back, ahead)} rows away")
     home = F.floor(F.col("rn") / F.lit(block_rows)).cast("long")
     place = F.col("rn") % F.lit(block_rows)
-    # Window work is bound by cores, not bytes: a fixed number of tasks is not merged again.
-    spark = numbered.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if spark.sparkContext.master.startswith("local"):
-        tasks = min(tasks, spark.sparkContext.defaultParallelism)
     if not back and not ahead:
-        return numbered.withColumn("blk", home).repartition(tasks, "symbol", "blk")
+        return numbered.withColumn("blk", home).repartition("symbol", "blk")
     none = F.lit(None).cast("long")
     targets = [home]
     if back:
@@ -69,7 +85,7 @@ def lay_out(numbered: DataFrame, block_rows: int, back: int = 0, ahead: int = 0)
     if ahead:
         targets.append(F.when((place < ahead) & (home > 0), home - 1).otherwise(none))
     return numbered.withColumn("blk", F.explode(F.array_compact(F.array(*targets)))).repartition(
-        tasks, "symbol", "blk"
+        "symbol", "blk"
     )
 
 

@@ -166,6 +166,52 @@ def test_number_rows_ranks_across_buckets(bars, bars_frame):
     assert newest["A"].time.max() == bars_frame[bars_frame.symbol == "A"].time.max()
 
 
+def test_decayed_sums_equal_a_loop(spark):
+    from barweave.operators.scan import decayed, group_blocks
+
+    rates = {"slow": 2.56, "middle": 20.0, "fast": 300.0, "faster": 1100.0}
+    rng = np.random.default_rng(5)
+    states = pd.DataFrame({n: rng.lognormal(0, 3, 9000) for n in rates})
+    states.loc[100:8000, "slow"] = 0.0
+    states["symbol"], states["blk"] = "A", range(9000)
+    got = decayed(spark.createDataFrame(states), rates, strip=1).toPandas().sort_values("blk")
+    assert got.blk.tolist() == list(range(9000))
+    for name, rate in rates.items():
+        want, state = [], 0.0
+        for value in states[name]:
+            want.append(state)
+            state = state * np.exp(-rate) + value
+        np.testing.assert_allclose(got[name].fillna(0), want, rtol=1e-9, atol=1e-300, err_msg=name)
+    for rate in (0.01, 0.5, 2.56, 20.0, 93.0, 124.0, 186.0, 300.0, 745.0, 746.0, 1190.0):
+        size = group_blocks(rate)
+        assert size * rate >= 746 and (size == 1 or (size - 1) * rate <= 1200)
+
+
+def test_newest_rows_prune_the_scan(spark, bars, bars_frame, tmp_path):
+    from barweave.operators.blocks import last_rows
+
+    path = str(tmp_path / "bars")
+    bars.sortWithinPartitions("time").write.parquet(path)
+    newest = last_rows(spark.read.parquet(path), 13, SECONDS, rows_per_bucket=32)
+    got = newest.toPandas()
+    for symbol, rows in bars_frame.groupby("symbol"):
+        want = rows.time.sort_values().tail(13).tolist()
+        assert got[got.symbol == symbol].time.sort_values().tolist() == want
+    scans = [p for p in newest._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in p]
+    assert any("time" in p.split("DataFilters")[1].split("Format")[0] and "ubquery" in p for p in scans)
+    assert last_rows(bars.limit(0), 13, SECONDS).count() == 0
+
+
+def test_repeated_times_are_numbered_by_value(spark, bars_frame):
+    from barweave.operators.blocks import number_rows
+
+    frame = pd.concat([bars_frame[bars_frame.symbol == "C"]] * 2).reset_index(drop=True)
+    frame["close"] = np.arange(len(frame), dtype=float)
+    one = number_rows(spark.createDataFrame(frame), SECONDS).toPandas().sort_values("rn")
+    two = number_rows(spark.createDataFrame(frame.iloc[::-1]), SECONDS).toPandas().sort_values("rn")
+    assert one.rn.tolist() == list(range(len(frame))) and one.close.tolist() == two.close.tolist()
+
+
 def test_prefix_levels_agree(spark):
     from barweave.operators.blocks import prefix
 
