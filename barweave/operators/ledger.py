@@ -14,15 +14,23 @@ from barweave.plans.registry import Feature
 from barweave.session import stage
 
 
+def local_time(time: str, time_zone: str) -> Column:
+    """Wall clock of an instant in the zone, as a timestamp without zone; the session's zone plays no part."""
+    seconds = (F.unix_micros(F.col(time).cast("timestamp")) / F.lit(1_000_000)).cast("decimal(18,6)")
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    return F.convert_timezone(F.lit("UTC"), F.lit(time_zone), utc)
+
+
 def local_clock(time: str, time_zone: str) -> Column:
-    return F.date_format(F.from_utc_timestamp(F.col(time), time_zone), "HH:mm:ss")
+    """Local time of day as HH:mm:ss."""
+    return F.substring(local_time(time, time_zone).cast("string"), 12, 8)
 
 
 def closing_bar(close_at: str, time_zone: str) -> Feature:
     """True on the first bar of a local day at or after `close_at`."""
 
     def make(w: Frame) -> Column:
-        day = F.to_date(F.from_utc_timestamp(F.col("time"), time_zone))
+        day = local_time("time", time_zone).cast("date")
         late = local_clock("time", time_zone) >= close_at
         late_before = F.lag(late).over(w.ordered) & (F.lag(day).over(w.ordered) == day)
         return late & ~F.coalesce(late_before, F.lit(False))

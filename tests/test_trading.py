@@ -174,3 +174,20 @@ def test_split_is_exact_and_repeatable(spark):
     assert both.count() == 0
     assert stratified_split(table, "target", 0.0).where("is_test").count() == 0
     assert stratified_split(table, "target", 1.0).where("is_test").count() == 5000
+
+
+@pytest.mark.parametrize("session_zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_local_clock_in_any_session_zone(spark, session_zone):
+    from barweave.operators.ledger import local_clock, local_time
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", session_zone)
+        # 2024-03-10 06:30 UTC is inside the night New York's clocks go forward.
+        instants = spark.createDataFrame([(1710052200,), (1717271999,), (-1,)], "s long").selectExpr("timestamp_seconds(s) AS time")
+        got = instants.select(
+            local_clock("time", "America/Sao_Paulo").alias("clock"), local_time("time", "America/Sao_Paulo").cast("date").cast("string").alias("day")
+        ).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert [tuple(r) for r in got] == [("03:30:00", "2024-03-10"), ("16:59:59", "2024-06-01"), ("20:59:59", "1969-12-31")]
