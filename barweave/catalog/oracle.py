@@ -779,3 +779,24 @@ ORACLE["stream_positions"] = book_query(
 ORACLE["stream_features"] = "SELECT symbol, time, obv, ema_21, rsi_14, macd, adx_14 FROM " + " JOIN ".join(
     f"({ORACLE[name]}) {name}_table" + (" USING (symbol, time)" if i else "") for i, name in enumerate(["obv", "ema", "rsi", "macd", "adx"])
 )
+
+# Hourly bars that the stream has closed, inside the session, traded by the crossing of two means.
+_ALERT_TABLES = [
+    bar_table("every_bar"),
+    f"bars AS MATERIALIZED (SELECT * FROM every_bar WHERE strftime({_LOCAL}, '%H:%M:%S') BETWEEN '00:00:00' AND '19:55:00' "
+    "AND time + INTERVAL 70 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM events))",
+    NUMBERED,
+    _DIFFS,
+    _CROSS,
+    f"lab AS (SELECT symbol, time, close, coalesce((sa - lag(sa) OVER {W}) // 2, 0) AS target FROM c)",
+]
+ORACLE["stream_alerts"] = (
+    "WITH RECURSIVE "
+    + ",\n    ".join([*_ALERT_TABLES, *book(_SESSION_SIGNALS[len(_LABELS) :], stake=2000, exits=0)])
+    + f""",
+    paid AS (SELECT *, sum(pnl) OVER {W} AS realized FROM book)
+    SELECT symbol, epoch(time)::BIGINT AS time, state,
+        concat_ws(' ', symbol, state, printf('%.4f', coalesce(entry_price, exit_price)),
+            CASE WHEN exit_price IS NOT NULL THEN printf('%.2f (%.2f)', pnl, realized) END) AS message
+    FROM paid WHERE entry_price IS NOT NULL OR exit_price IS NOT NULL"""
+)

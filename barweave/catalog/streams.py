@@ -13,7 +13,7 @@ from barweave.plans.features import features
 from barweave.session import shared_dir
 from barweave.streaming.bars import bar_stream
 from barweave.streaming.live import feature_batches, position_batches, read_signals, score_bars, trading_hours, write_stream
-from barweave.streaming.positions import alerts, position_stream
+from barweave.streaming.positions import alerts
 
 ONCE = {"availableNow": True}
 
@@ -85,5 +85,7 @@ def _alerts(spark, sf_dir):
     hourly = bar_stream(tick_stream(spark, sf_dir), HOUR)
     names = ["sma_cross_signal_9_21"]
     score_bars(trading_hours(hourly), folder, crossing_signal, HOUR, names, trigger=ONCE).awaitTermination()
-    stream = position_stream(read_signals(spark, folder))
-    return finished(alerts(stream), folder, "alerts")
+    book = f"{folder}/book"
+    position_batches(read_signals(spark, folder), book, HOUR, trigger=ONCE).awaitTermination()
+    told = alerts(spark.read.parquet(f"{book}/positions"))
+    return told.withColumn("time", F.unix_timestamp("time"))

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from barweave import schema as S
 from barweave.operators.ledger import closing_bar, ledger, local_clock
+from barweave.operators.scan import Scan
 from barweave.plans.features import features, rows_needed
 from barweave.plans.registry import Feature
 from barweave.sources.bars import last_rows
@@ -195,11 +196,14 @@ def position_batches(
         )
         book = ledger(
             openings.unionByName(rows), bar_seconds, spread, trade_value, leverage, exit_spreads=0
-        ).join(carry, "symbol", "left")
+        )
+        paid = Feature("_paid", ("pnl",), scan=Scan("pnl", kind="sum"))
+        book = features(book, ["_paid"], bar_seconds, own=[paid]).join(carry, "symbol", "left")
         held = F.coalesce("side", F.lit(0)) != 0
         earlier = F.coalesce("trades", F.lit(0)) - held.cast("int")
         moved = book.select(
             *[c for c in ("symbol", "time", "close", "signal", "state", "entry_price", "exit_price", "pnl")],
+            (F.coalesce("realized", F.lit(0.0)) + F.col("_paid")).alias("realized_pnl"),
             F.when(F.col("state").isin(S.HOLD_LONG, S.HOLD_SHORT), F.col("running_pnl")).otherwise(0.0).alias("unrealized_pnl"),
             (F.col("trade_id") + earlier).alias("trade_id"),
             (F.coalesce(F.col("time") <= F.col("last_time"), F.lit(False))).alias("old"),

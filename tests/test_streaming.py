@@ -115,7 +115,9 @@ def test_positions_by_blocks_equal_batch_ledger(spark, signals, batch_ledger, fi
     folder = new_folder(spark)
     for _ in feed(spark, signals, folder, files):
         position_batches(read_signals(spark, folder), folder, SECONDS, trigger=ONCE).awaitTermination()
-    same_as_batch(spark.read.parquet(f"{folder}/positions").toPandas(), batch_ledger)
+    got = spark.read.parquet(f"{folder}/positions").toPandas().sort_values(["symbol", "time"])
+    same_as_batch(got, batch_ledger)
+    np.testing.assert_allclose(got.groupby("symbol").pnl.cumsum(), got.realized_pnl, rtol=1e-9, atol=1e-9)
 
 
 def test_alerts(spark, signals):
