@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barweave.catalog.tables import HOUR, MARKET, bars, feature_query, query, rounded, shown, ticks
+from barweave.catalog.tables import HOUR, MARKET, PLAIN, bars, feature_query, query, rounded, shown, ticks
 from barweave.operators.blocks import number_rows
 from barweave.operators.market import add_market_risk
 from barweave.operators.unit_root import rolling_adf
@@ -145,12 +145,10 @@ def _pipeline(spark, sf_dir):
     table = build_features(
         bars(spark, sf_dir), HOUR, quotes=latest_quotes(ticks(spark, sf_dir), 0.025), market=market
     )
-    return table
+    return shown(table, [c for c in table.columns if c not in ("symbol", "time", "rn")], PLAIN)
 
 
 @query("all_feature_sets")
 def _all_sets(spark, sf_dir):
     names = set_columns(list(SETS))
-    from barweave.catalog.tables import PLAIN
-
     return shown(features(bars(spark, sf_dir), names, HOUR), names, PLAIN)

@@ -13,6 +13,7 @@ from barweave.operators.ledger import ledger
 from barweave.operators.split import ordered_split, stratified_split
 from barweave.plans import ml
 from barweave.plans.features import features
+from barweave.plans.job import model_table
 from barweave.schema import MODEL_FEATURES
 from barweave.session import stage
 from barweave.sources.bars import latest_quotes, market_returns
@@ -54,17 +55,26 @@ def _ordered(spark, sf_dir):
     )
 
 
-@query("model_features")
-def _model_features(spark, sf_dir):
-    from barweave.plans.job import model_table
-
-    table = model_table(
+def all_model_features(spark: SparkSession, sf_dir: str, adf: bool) -> DataFrame:
+    return model_table(
         bars(spark, sf_dir).withColumn("spread", F.lit(0.025)),
         HOUR,
         latest_quotes(ticks(spark, sf_dir), 0.025),
         market_returns(bars(spark, sf_dir, market=MARKET), HOUR),
+        adf,
     )
-    return shown(table, MODEL_FEATURES, PLAIN)
+
+
+@query("model_features")
+def _model_features(spark, sf_dir):
+    return shown(all_model_features(spark, sf_dir, True), MODEL_FEATURES, PLAIN)
+
+
+@query("model_features_in_sql")
+def _model_features_in_sql(spark, sf_dir):
+    """All model features but the rolling ADF, which plain SQL cannot fit."""
+    names = [n for n in MODEL_FEATURES if n != "adf_stat_30"]
+    return shown(all_model_features(spark, sf_dir, False), names, PLAIN)
 
 
 def _first_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ml.Trained]:

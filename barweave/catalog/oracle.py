@@ -6,6 +6,8 @@ so it shares no method with the block-wise library.
 
 from __future__ import annotations
 
+import re
+
 HOUR = 3600
 ORACLE: dict[str, str] = {}
 
@@ -542,6 +544,49 @@ ORACLE["complete_rows"] = (
 _PRICES = ["open", "high", "low", "close", "tick_volume"]
 ORACLE["hourly_bars"] = select(same(*_PRICES))
 ORACLE["csv_round_trip"] = select(same(*_PRICES))
+
+# --- wide tables ----------------------------------------------------------------------------
+
+
+def wide(columns: list[str], complete: bool = False) -> str:
+    """The columns of many queries above side by side, each from the first that shows it."""
+    home: dict[str, str] = {}
+    for member, sql in ORACLE.items():
+        for c in re.findall(r"\+ 0\.0 AS (\w+)", sql):
+            home.setdefault(c, member)
+    taken = {c: f"m_{home[c]}.{c}" for c in columns if c in home}
+    taken |= {c: e for c, e in _OTHER_NAMES.items() if c in columns}
+    members = list(dict.fromkeys([home[c] for c in columns if c in home] + ["macd"]))
+    parts = ", ".join(f"m_{m} AS MATERIALIZED ({ORACLE[m]})" for m in members)
+    source = f"m_{members[0]} " + " ".join(f"JOIN m_{m} USING (symbol, time)" for m in members[1:])
+    sql = f"WITH {parts} SELECT symbol, time, {', '.join(f'{taken[c]} AS {c}' for c in columns)} FROM {source}"
+    return sql + " WHERE " + " AND ".join(f"{taken[c]} IS NOT NULL" for c in columns) if complete else sql
+
+
+_OTHER_NAMES = {"signal_macd": "m_macd.macd_signal", "spread": "CAST(0.025 AS DOUBLE)"}
+# The columns of the wide tables.
+_STANDARD = """open high low close tick_volume bid ask last_price beta market_correlation wavelet_coeff
+    volatility change_percent avg_price sma_5 sma_9 sma_21 sma_50 sma_100 sma_200 ema_5 ema_9 ema_21 ema_50 ema_100
+    ema_200 rsi_14 rsi_9 macd signal_macd bb_upper21 bb_lower21 bb_upper9 bb_lower9 bb_upper50 bb_lower50 atr_14 roc_10
+    obv mfi_14 rolling_max_20 rolling_min_20 std_dev_20 adx_14 vwap obv_10 obv_20 obv_50 obv_100 ichi_conversion
+    ichi_base ichi_leading_span_a ichi_leading_span_b vwmacd vwmacd_signal volume_skew volume_kurtosis hurst_30 es_95
+    omega_ratio vol_cluster haar_approx haar_detail log_ret max_drawdown volatility_30 sharpe_ratio sortino_ratio
+    ewma_30 returns_skewness returns_kurtosis ulcer_index""".split()
+_FURTHER = """trend_strength volatility_regime zscore_vol atr_50 rolling_volatility_20 bb_width bollinger_percent_b ema_20
+    keltner_upper keltner_lower keltner_break roc_5 roc_20 williams_r_14 momentum_10 macd_signal macd_hist stoch_k stoch_d
+    cci_14 cmo_14 tr plus_dm minus_dm plus_dm_sum minus_dm_sum tr_sum plus_vi minus_vi ema_13 bull_power bear_power cmf_20
+    mfi_10 vwap_20 vroc_14 volume_profile adl vw_rsi sma_diff_50_200 sma_cross_signal_50_200 sma_diff_9_21
+    sma_cross_signal_9_21 hma_9 hma_14 hma_21 hma_50 hma_100 cum_max drawdown var_95 df_stat_30""".split()
+_LAGS = [f"{c}_lag{i}" for i in (1, 2, 3) for c in ("low", "high", "open", "close")]
+_JOINED = "open high low close tick_volume bid ask last_price beta market_correlation wavelet_coeff".split()
+_MODEL = """plus_dm plus_dm_sum minus_dm minus_dm_sum adl ask atr_14 atr_50 avg_price bear_power beta bid
+    bollinger_percent_b bull_power cci_14 change_percent cmf_20 close cum_max drawdown ema_13 ema_20 ewma_30 high hma_14
+    hma_50 last_price low log_ret macd macd_hist macd_signal momentum_10 mfi_10 open obv roc_20 roc_5 rsi_14 sharpe_ratio
+    sma_100 sma_200 sma_21 sma_50 sma_9 sma_cross_signal_50_200 sma_cross_signal_9_21 sma_diff_50_200 sma_diff_9_21 spread
+    stoch_d stoch_k tick_volume tr_sum ulcer_index vwap_20 volume_profile vw_rsi vroc_14 williams_r_14 zscore_vol""".split()
+ORACLE["all_feature_sets"] = wide([c for c in _STANDARD if c not in _JOINED] + _FURTHER + _LAGS)
+ORACLE["feature_pipeline"] = wide(_STANDARD, complete=True)
+ORACLE["model_features_in_sql"] = wide(_MODEL + _LAGS)
 ORACLE["five_minute_bars"] = (
     "WITH " + bar_table("bars", 300) + " SELECT symbol, epoch(time)::BIGINT AS time, "
     + ", ".join(rounded(c, c) for c in _PRICES) + " FROM bars"

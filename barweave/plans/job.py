@@ -16,6 +16,8 @@ from barweave.sources.bars import last_rows, read_bars, write_bars
 
 # The sets of the standard feature table, in order.
 STANDARD_SETS = ["core", "ichimoku", "vwmacd", "stats", "tail_risk", "ml", "extra"]
+# Members of sets that are joined to the table instead of resolved by the registry.
+ADF_SET, WAVELET_SET = "risk", "ml"
 
 
 def build_features(
@@ -24,8 +26,8 @@ def build_features(
     sets: list[str] = STANDARD_SETS,
     quotes: DataFrame | None = None,
     market: DataFrame | None = None,
-    adf: bool = False,
-    wavelet: bool = False,
+    adf: bool | None = None,
+    wavelet: bool | None = None,
     check: bool = True,
     complete: bool = True,
     names: list[str] | None = None,
@@ -33,11 +35,15 @@ def build_features(
     """Validated bars with the columns of the sets, or with the named features.
 
     quotes: adds bid, ask, last_price. market: adds beta and market_correlation; without it
-    those columns do not exist. adf, wavelet: the two columns no set contains.
+    those columns do not exist. adf, wavelet: whether adf_stat_30 and wavelet_coeff are added; by
+    default where their sets (risk and ml) are asked for.
     complete: keep only rows without a missing value.
     """
     if check:
         bars, _ = validate(bars)
+    asked = sets if names is None else []
+    adf = ADF_SET in asked if adf is None else adf
+    wavelet = WAVELET_SET in asked if wavelet is None else wavelet
     names = set_columns(sets) if names is None else list(names)
     if market is not None and "log_ret" not in names:
         names.append("log_ret")
@@ -56,13 +62,13 @@ def build_features(
     return table.na.drop("any") if complete else table
 
 
-def model_table(bars: DataFrame, bar_seconds: int, quotes: DataFrame, market: DataFrame) -> DataFrame:
+def model_table(
+    bars: DataFrame, bar_seconds: int, quotes: DataFrame, market: DataFrame, adf: bool = True
+) -> DataFrame:
     """Bars with every feature the model may use; missing values stay for the imputer."""
     joined = {"bid", "ask", "last_price"}
     names = [n for n in MODEL_FEATURES if n not in bars.columns and n not in joined and resolve(n)]
-    return build_features(
-        bars, bar_seconds, names=names, quotes=quotes, market=market, adf=True, complete=False
-    )
+    return build_features(bars, bar_seconds, names=names, quotes=quotes, market=market, adf=adf, complete=False)
 
 
 def run_features(

@@ -57,6 +57,15 @@ def test_feature_job(spark, bars):
     assert {"adf_stat_30", "wavelet_coeff", "zscore_vol", "spread"} <= set(out.columns)
 
 
+def test_sets_bring_their_joined_members(spark, bars):
+    """adf_stat_30 belongs to the set risk, wavelet_coeff to ml; a flag overrules the set."""
+    table = build_features(bars, 300, sets=["risk", "ml"], complete=False)
+    assert {"adf_stat_30", "wavelet_coeff", "cum_max", "vol_cluster"} <= set(table.columns) and table.count() == 750
+    assert table.where("adf_stat_30 is not null").count() == 750 - 2 * 29
+    bare = build_features(bars, 300, sets=["risk", "ml"], adf=False, wavelet=False).columns
+    assert not {"adf_stat_30", "wavelet_coeff"} & set(bare)
+
+
 def test_market_columns_only_with_a_market(spark, bars):
     assert "beta" not in build_features(bars, 300, sets=["basic"]).columns
     market = bars.where("symbol = 'A'").select("time", F.lit(None).cast("double").alias("market_log_ret"))
