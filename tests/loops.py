@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -169,6 +170,30 @@ def adf(w):
     return regress(best, len(w) - 1 - best)[1]
 
 
+def exact_adf(w):
+    """The same in rational numbers."""
+    w = [Fraction(float(v)) for v in w]
+    d = [b - a for a, b in zip(w, w[1:])]
+
+    def regress(lags, rows):
+        first = len(d) - rows
+        x = [[Fraction(1), *(d[i - k] for k in range(1, lags + 1)), w[i]] for i in range(first, len(d))]
+        x = [[*row, y] for row, y in zip(x, d[first:])]
+        m, width = [[sum(r[i] * r[j] for r in x) for j in range(lags + 3)] for i in range(lags + 3)], lags + 2
+        for k in range(width):  # elimination leaves the residual sum in the corner
+            for i in range(k + 1, width + 1):
+                share = m[i][k] / m[k][k]
+                m[i] = [a - share * b for a, b in zip(m[i], m[k])]
+        rest, pivot, right = m[width][width], m[width - 1][width - 1], m[width - 1][width]
+        return float(rest), float(right) / math.sqrt(float(pivot) * float(rest) / (rows - width))
+
+    deepest = min(len(w) // 2 - 2, int(np.ceil(12 * (len(w) / 100) ** 0.25)))
+    rows = len(d) - deepest
+    aic = [rows * math.log(regress(p, rows)[0] / rows) + 2 * (p + 2) for p in range(deepest + 1)]
+    best = int(np.argmin(aic))
+    return regress(best, len(d) - best)[1]
+
+
 def expected(b: pd.DataFrame) -> dict[str, np.ndarray]:
     """Every checked feature of one symbol's bars."""
     b = b.sort_values("time").reset_index(drop=True)

@@ -1,10 +1,10 @@
 import numpy as np
 import pandas as pd
 import pytest
-from loops import NAN, adf, expected, rolling, walk
+from loops import NAN, adf, exact_adf, expected, rolling, walk
 from pyspark.sql import functions as F
 
-from barweave.operators.unit_root import rolling_adf
+from barweave.operators.unit_root import adf_statistics, rolling_adf
 from barweave.plans.features import features, moving_average
 from barweave.plans.registry import SETS, resolve, set_columns
 from barweave.schema import BAR
@@ -144,6 +144,17 @@ def test_augmented_dickey_fuller(bars, bars_frame):
     assert got["C"].adf_stat_30.isna().all()
 
 
+def test_dickey_fuller_of_a_steep_trend_and_of_dependent_columns():
+    """Deviations a ten-millionth of the steps keep their digits; windows without independent columns still get an answer."""
+    noise = np.random.default_rng(4).normal(size=34)
+    windows = np.lib.stride_tricks.sliding_window_view(50000 + 3.0 * np.arange(34) + 1e-6 * noise, 30)
+    np.testing.assert_allclose(adf_statistics(windows), [exact_adf(w) for w in windows], rtol=1e-6)
+    windows = np.lib.stride_tricks.sliding_window_view(100 + noise.cumsum(), 30)
+    np.testing.assert_allclose(adf_statistics(windows), [exact_adf(w) for w in windows], rtol=1e-9)
+    step = np.r_[np.zeros(15), np.ones(15)]
+    assert np.isfinite(adf_statistics(np.stack([step + 1, step * 5]))).all() and np.isnan(adf_statistics(np.ones((1, 30)))).all()
+
+
 def test_nan_prices_become_missing(spark):
     from barweave.sources.bars import missing_to_null
 
