@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.catalog.tables import HOUR, MARKET, PLAIN, bars, query, shown, ticks
+from barweave.catalog.tables import HOUR, MARKET, PLAIN, bars, query, rounded, shown, ticks
 from barweave.catalog.trading import labelled
 from barweave.operators import reports
 from barweave.operators.labels import reversal_label
@@ -15,7 +17,7 @@ from barweave.plans import ml
 from barweave.plans.features import features
 from barweave.plans.job import model_table
 from barweave.schema import MODEL_FEATURES
-from barweave.session import stage
+from barweave.session import shared_dir, stage
 from barweave.sources.bars import latest_quotes, market_returns
 
 NAMES = "close volatility change_percent sma_9 sma_21 roc_5 rsi_14 close_lag1 volume_profile".split()
@@ -98,6 +100,36 @@ def _importance(spark, sf_dir):
     return ml.impurity_importance(trained, spark)
 
 
+@query("whole_model")
+def _whole_model(spark, sf_dir):
+    """A forest on all model features, per symbol: its bars scored again by the reloaded model, and its newest bar.
+
+    The accuracy is taken anew from the stored predictions; the gap to the one kept with the model is shown.
+    """
+    table = stage(all_model_features(spark, sf_dir, True), "model-features")
+    split = stage(stratified_split(reversal_label(table, HOUR), "target", 0.7), "split")
+    trained = ml.fit(split, ml.present(split, ml.available(split)))
+    scored = stage(ml.score(trained.model, split, trained.names), "predictions")
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    ml.save(trained, path)
+    again = ml.load(spark, path)
+    newest = ml.latest_scores(again, table)
+    anew = ml.score(again.model, split, again.names).select("symbol", "time", F.col("prediction_class").alias("again"))
+    tested, hit = F.col("is_test"), (F.col("prediction_class") == F.col("target")).cast("double")
+    known = F.col("predicted_class").isin(-1, 0, 1).alias("known")
+    whole = scored.agg(F.avg(F.when(tested, hit)).alias("accuracy"), F.count_if(tested).alias("test_rows"))
+    total = ml.impurity_importance(again, spark).agg(F.sum("importance").alias("total"))
+    per_symbol = scored.join(anew, ["symbol", "time"]).groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("scored_rows"), F.count_if(F.col("again") != F.col("prediction_class")).alias("changed_rows")
+    )
+    return per_symbol.join(newest, "symbol").select(
+        "symbol", "scored_rows", "changed_rows", whole.select("test_rows").scalar().alias("test_rows"),
+        rounded(whole.select("accuracy").scalar() - F.lit(again.accuracy)).alias("accuracy_gap"),
+        rounded(total.scalar()).alias("importance_total"), F.unix_timestamp("time").alias("newest"),
+        rounded("last_open").alias("last_open"), known,
+    )
+
+
 @query("permutation_importance")
 def _permutation(spark, sf_dir):
     split, trained = _first_model(spark, sf_dir)

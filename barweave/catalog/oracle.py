@@ -792,6 +792,16 @@ ORACLE["stratified_split"] = (
     + ", ".join([*_BASE, *_LABELS])
     + " SELECT target::BIGINT AS target, round(count(*) * 0.3)::BIGINT AS test_rows, count(*) AS all_rows FROM lab GROUP BY 1"
 )
+ORACLE["whole_model"] = (
+    "WITH "
+    + ", ".join([bar_table("bars"), NUMBERED, *_LABELS])
+    + f""", k AS (SELECT target, round(count(*) * 0.7)::BIGINT AS tested FROM lab GROUP BY 1),
+        m AS (SELECT symbol, count(*) AS scored_rows FROM lab GROUP BY 1)
+    SELECT symbol, m.scored_rows, 0::BIGINT AS changed_rows, (SELECT sum(tested)::BIGINT FROM k) AS test_rows,
+        0.0::DOUBLE AS accuracy_gap, 1.0::DOUBLE AS importance_total, epoch(max(time))::BIGINT AS newest,
+        {rounded("arg_max(open, time)", "last_open")}, true AS known
+    FROM n JOIN m USING (symbol) GROUP BY 1, 2"""
+)
 ORACLE["ordered_split"] = (
     "WITH "
     + ", ".join([*_BASE, *_LABELS])
