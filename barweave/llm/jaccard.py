@@ -38,6 +38,7 @@ IN_PLACE = 8192  # members of a list whose bitmaps are compared sooner than they
 SMALL_SET = 40  # up to here a set's own size is about the cost of deletions
 COMPARED = 4096  # rows of one block of a long list
 SHINGLES_PER_BLOCK = 4_000_000  # and their shingles
+SMALL_GROUP = 64  # rows of a group whose pairs of bitmaps are compared at once
 BLOCK = 1 << 20  # index entries combined locally before the shuffle
 LARGEST_SET = 1 << 40
 # Kinds of index rows: one element deleted; passes by the sort; stands for rows that do.
@@ -228,7 +229,7 @@ def least_apart(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
-def folded(bitmaps: pd.Series) -> np.ndarray:
+def folded(bitmaps: pd.Series | np.ndarray) -> np.ndarray:
     """Bitmaps of several lengths as rows of 64-bit words of the shortest length."""
     words = min(len(b) for b in bitmaps) // 8
     rows = [np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, words), axis=0) for b in bitmaps]
@@ -288,6 +289,50 @@ class Group:
             some[i] |= len(at) > 0
         return rows[some]
 
+    def some_partner(
+        self, label: np.ndarray, n: np.ndarray, deleted: np.ndarray, block: np.ndarray, bitmap: np.ndarray, apart_only: bool
+    ) -> np.ndarray:
+        """Which rows of a small group have a possible partner, all pairs of rows at once; `label` numbers their components."""
+        up, down = self.t.numerator, self.t.denominator
+        i, j = np.triu_indices(len(n), 1)
+        good = (label[i] != label[j]) & ~(deleted[i] & deleted[j]) & (n[i] * down >= n[j] * up) & (n[j] * down >= n[i] * up)
+        if apart_only:
+            good &= block[i] != block[j]
+        i, j = i[good], j[good]
+        some = np.zeros(len(n), bool)
+        if len(i):
+            bits = folded(bitmap)
+            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+            near = apart * (down + up) <= (n[i] + n[j]) * (down - up)
+            some[i[near]] = some[j[near]] = True
+        return some
+
+    def partners_in(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """`with_partners` of every group of a stream that is sorted by group. Most groups are small: they are cut
+        from the batch as they stand."""
+        rest = None
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            starts = group_starts(rows)
+            yield from self._groups(rows, starts)
+            rest = rows.iloc[starts[-1] :].reset_index(drop=True)
+        if rest is not None:
+            yield from self._groups(rest, np.array([0, len(rest)]))
+
+    def _groups(self, rows: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Of the groups that begin at `starts`; the last of these begins the rows that are not looked at."""
+        fields = [pd.factorize(rows["label"])[0], *(rows[c].to_numpy() for c in ("n_shingles", "deleted", "block", "bitmap"))]
+        across, some = (rows["low"] != rows["high"]).to_numpy(), np.zeros(len(rows), bool)
+        for first, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            if end - first > SMALL_GROUP:
+                yield self.with_partners(rows.iloc[first:end])
+            elif end - first > 1:
+                some[first:end] = self.some_partner(*(x[first:end] for x in fields), across[first])
+        if some.any():
+            yield rows[some]
+
     def spanning(self, rows: pd.DataFrame) -> pd.DataFrame:
         """Links that join the components of a group, found on the words: fewer than its rows, as what is joined is skipped."""
         up, down, n = self.t.numerator, self.t.denominator, self.n
@@ -312,6 +357,16 @@ class Group:
         return pd.DataFrame(out, columns=["a", "b"])
 
 
+def group_starts(rows: pd.DataFrame) -> np.ndarray:
+    """Where the groups of (list, low, high) begin in rows sorted by them."""
+    new = np.zeros(len(rows), bool)
+    new[0] = True
+    for c in ("list", "low", "high"):
+        values = rows[c].to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
 class Join:
     """One run of the join; tables go to `room`."""
 
@@ -532,8 +587,9 @@ class Join:
             labels = components(links, self.room, f"labels-{step}")
             part = part.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
             several = part.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("list")
-            groups = part.join(several, "list", "left_semi").select(*names).groupBy("list", "low", "high")
-            near = self.room.save(groups.applyInPandas(lambda rows: group.with_partners(rows), fields), f"partners-{step}")
+            by_group = part.join(several, "list", "left_semi").select(*names).repartition("list", "low", "high")
+            by_group = by_group.sortWithinPartitions("list", "low", "high")
+            near = self.room.save(by_group.mapInPandas(lambda batches: group.partners_in(batches), fields), f"partners-{step}")
             groups = near.join(texts.dropDuplicates(["id"]), "id").groupBy("list", "low", "high")
             more = groups.applyInPandas(lambda rows: group.spanning(rows), f"a {kind}, b {kind}").distinct()
             links = self.room.save(links.unionByName(more), f"links-{step}")

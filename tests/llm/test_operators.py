@@ -673,3 +673,24 @@ def test_context_sums_are_neighbour_sums(spark):
     rows = quality.context_sums(docs_of(spark, texts).repartition(3), "text").collect()
     assert {r["bucket"]: r["n"] for r in rows} == n
     assert all([r[f"v{i}"] for i in range(quality.WIDTH)] == list(sums[r["bucket"]]) for r in rows)
+
+
+def test_partners_of_a_stream_equal_those_of_each_group():
+    """Groups cut by batches, of one row, small and large, within a block and across two."""
+    import pandas as pd
+
+    rng, group, parts = np.random.default_rng(3), jaccard.Group(5, Fraction(8, 10)), []
+    for g in range(60):
+        base, rows = rng.integers(0, 2**63, 120).astype(np.uint64), []
+        for k in range(150 if g % 20 == 7 else int(rng.integers(1, 14))):
+            near = rng.random() < 0.4
+            h = np.unique(base[rng.random(120) > 0.2 * rng.random()] if near else rng.integers(0, 2**63, 100).astype(np.uint64))
+            label = int(rng.integers(0, 5)) if rng.random() < 0.3 else 1000 * g + k
+            rows.append((g // 2, 0, g % 2, 1000 * g + k, label, bool(rng.random() < 0.3), int(rng.integers(0, 2)), len(h), jaccard.parity_bitmap(h)))
+        parts.append(pd.DataFrame(rows, columns=["list", "low", "high", "id", "label", "deleted", "block", "n_shingles", "bitmap"]))
+    table = pd.concat(parts, ignore_index=True)
+    wanted = sorted(i for part in parts for i in group.with_partners(part)["id"])
+    for size in (1, 40, 10_000):
+        cut = (table.iloc[i : i + size].reset_index(drop=True) for i in range(0, len(table), size))
+        assert sorted(i for found in group.partners_in(cut) for i in found["id"]) == wanted and wanted
+    assert list(group.partners_in(iter([table.iloc[:0]]))) == []
