@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
+from threading import Lock
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,9 @@ VECTOR = "features"
 MAX_DEPTH = 30  # the deepest tree Spark grows
 SEED = 42
 TREES = 100
+# Rows times trees that the fits running at once in a search may grow. Spark keeps growing trees on the driver, whose
+# memory this bounds (0.4 nodes per row and tree on the hourly bars, at most 1.3). One tree per fit is the least.
+ROWS_GROWN = 250_000
 
 # The search grid. The smallest node to split has no Spark parameter, so its
 # values only repeat a combination. None means no depth limit.
@@ -233,22 +238,35 @@ def sampled_grid(grid: dict = GRID, size: int = 50, seed: int = SEED) -> list[di
     return random.Random(seed).sample(combinations, min(size, len(combinations)))
 
 
-def cut_hits(trees: Forest, cuts: list[tuple[int, int]], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hits of the forest cut to each (trees, depth), by number of the cut."""
+def tree_batches(trees: int, rows: int, fits: int) -> list[int]:
+    """Trees of each batch of a forest on so many rows, when `fits` of them grow at once."""
+    count = math.ceil(trees / max(1, ROWS_GROWN // max(1, rows * fits)))
+    return [trees // count + (i < trees % count) for i in range(count)]
+
+
+def cut_votes(trees: Forest, cuts: list[tuple[int, int]], before: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds a batch of trees, `before` others came first, to the votes of every row at each depth of the cuts.
+
+    A cut (trees, depth) that has all its trees now gets its place in `hits`: 1 where its class is the label.
+    """
     depths = sorted({d for _, d in cuts})
     stops = {d: trees.stops(d) for d in depths}
     for batch in batches:
         for first in range(0, len(batch), ROWS_AT_ONCE):
             part = batch.iloc[first : first + ROWS_AT_ONCE]
-            x, label, rows = np.stack(part["x"]), part[LABEL].to_numpy(), []
+            x, label, hits = np.stack(part["x"]), part[LABEL].to_numpy(), np.stack(part["hits"])
+            votes = np.zeros((len(depths), len(x), trees.share.shape[1]))
+            if before:
+                votes += np.stack(part["votes"]).reshape(len(x), len(depths), -1).swapaxes(0, 1)
             at = trees.starts(len(x))
-            for d in depths:  # a deeper cut goes on where the one before stopped
+            for d, sums in zip(depths, votes):  # a deeper cut goes on where the one before stopped
                 at = trees.walk(x, at, stops[d])
-                asked = [(i, n) for i, (n, depth) in enumerate(cuts) if depth == d]
+                asked = [(i, n - before) for i, (n, depth) in enumerate(cuts) if depth == d and 0 < n - before <= at.shape[1]]
                 sizes = sorted({n for _, n in asked})
-                right = dict(zip(sizes, ((c == label).sum() for c in trees.classes(at, sizes))))
-                rows += [(i, int(right[n]), len(x)) for i, n in asked]
-            yield pd.DataFrame(rows, columns=["cut", "hits", "n"])
+                right = dict(zip(sizes, (c == label for c in trees.classes(at, sizes, sums))))
+                for i, n in asked:
+                    hits[:, i] = right[n]
+            yield part.assign(votes=list(votes.swapaxes(0, 1).reshape(len(x), -1)), hits=list(hits))
 
 
 def random_search(
@@ -262,9 +280,11 @@ def random_search(
 
     Candidates that differ in trees and depth alone are cuts of one forest: it is grown once per
     fold with the most trees and the largest depth among them, so the whole grid takes 12 forests
-    instead of 144. A cut to fewer trees has the law of its candidate, not its seed. Folds follow a
-    hash of symbol and time, so they are the same on every run. The winner is fitted anew on all
-    training rows; of equal candidates the first one wins.
+    instead of 144. A cut to fewer trees has the law of its candidate, not its seed. A forest too
+    large for the driver grows in batches of trees, each with a seed of its own, and the held rows
+    take their votes from batch to batch through a stored table. Folds follow a hash of symbol and
+    time, so they are the same on every run. The winner is fitted anew on all training rows, whole,
+    as it is returned; of equal candidates the first one wins.
     """
     candidates = sampled_grid() if candidates is None else candidates
     spark = split.sparkSession
@@ -273,24 +293,41 @@ def random_search(
     steps = Pipeline(stages=preparation(train.count(), len(names))).fit(train)
     fold = F.pmod(row_hash(["symbol", "time"], SEED), F.lit(folds)).alias("fold")
     prepared = steps.transform(train).select(LABEL, VECTOR, fold).persist()
+    sizes = {r["fold"]: r["count"] for r in prepared.groupBy("fold").count().collect()}
     shapes: dict[tuple, list[int]] = {}
     for i, c in enumerate(candidates):
         shapes.setdefault(tuple(sorted((k, v) for k, v in c.items() if k not in ("numTrees", "maxDepth"))), []).append(i)
+    jobs = [(shape, number) for shape in shapes for number in range(folds)]
+    largest = max(c.get("numTrees", TREES) for c in candidates) * sum(sorted(sizes.values())[1:])
+    reading = Lock()  # saving a forest takes as much of the driver's memory as growing it
+    at_once = min(parallelism, len(jobs), max(3, ROWS_GROWN // max(1, largest)))
+
+    def voted(rows: DataFrame, job: tuple[tuple, int], cuts: list[tuple[int, int]], before: int, trees: int, batch: int, path: str) -> DataFrame:
+        estimator = forest(trees, max(d for _, d in cuts), SEED + (batch << 32))
+        grown = estimator.fit(prepared.where(F.col("fold") != job[1]), {estimator.getParam(k): v for k, v in job[0]})
+        with reading:
+            read = forest_of(spark, grown, f"{path}/forest")
+        return rows.mapInPandas(lambda batches: cut_votes(read, cuts, before, batches), rows.schema)
 
     def rates(job: tuple[tuple, int]) -> list[tuple[int, float]]:
         shape, number = job
         cuts = [(candidates[i].get("numTrees", TREES), candidates[i].get("maxDepth", MAX_DEPTH)) for i in shapes[shape]]
-        estimator = forest(max(n for n, _ in cuts), max(d for _, d in cuts))
-        grown = estimator.fit(prepared.where(F.col("fold") != number), {estimator.getParam(k): v for k, v in shape})
-        trees = forest_of(spark, grown, f"{shared_dir(spark)}/forest-{uuid.uuid4().hex}")
-        held = prepared.where(F.col("fold") == number).select(LABEL, vector_to_array(VECTOR).alias("x"))
-        hits = held.mapInPandas(lambda batches: cut_hits(trees, cuts, batches), "cut int, hits long, n long")
-        found = hits.groupBy("cut").agg((F.sum("hits") / F.sum("n")).alias("rate")).collect()
-        return [(shapes[shape][r["cut"]], r["rate"]) for r in found]
+        held = prepared.where(F.col("fold") == number).select(
+            LABEL, vector_to_array(VECTOR).alias("x"), F.array().cast("array<double>").alias("votes"), F.array_repeat(F.lit(0), len(cuts)).alias("hits")
+        )
+        path, before, most = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}", 0, max(n for n, _ in cuts)
+        others = sum(n for fold, n in sizes.items() if fold != number)
+        for batch, trees in enumerate(tree_batches(most, others, at_once)):
+            if batch:  # two tables take turns
+                held.write.mode("overwrite").parquet(f"{path}/votes-{batch % 2}")
+                held = spark.read.schema(held.schema).parquet(f"{path}/votes-{batch % 2}")
+            held = voted(held, job, cuts, before, trees, batch, path)
+            before += trees
+        found = held.agg(*[F.avg(F.get("hits", i)).alias(f"rate_{i}") for i in range(len(cuts))]).first()
+        return list(zip(shapes[shape], found))
 
-    jobs = [(shape, number) for shape in shapes for number in range(folds)]
     sums = [0.0] * len(candidates)
-    with ThreadPool(min(parallelism, len(jobs))) as pool:
+    with ThreadPool(at_once) as pool:
         for found in pool.imap(inheritable_thread_target(spark)(rates), jobs):
             for i, rate in found:
                 sums[i] += rate / folds

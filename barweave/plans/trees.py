@@ -59,10 +59,13 @@ class Forest:
     def starts(self, rows: int) -> np.ndarray:
         return np.repeat(self.roots[None, :], rows, 0)
 
-    def classes(self, at: np.ndarray, trees: list[int] | None = None) -> list[np.ndarray]:
-        """Predicted class of each row by the first n trees, for every n of `trees`; votes add up tree by tree."""
-        wanted = trees or [at.shape[1]]
-        votes, out = np.zeros((len(at), self.share.shape[1])), {}
+    def classes(self, at: np.ndarray, trees: list[int] | None = None, votes: np.ndarray | None = None) -> list[np.ndarray]:
+        """Predicted class of each row by the first n trees, for every n of `trees`; votes add up tree by tree.
+
+        `votes` are those of earlier trees; the ones of all trees here are added in place.
+        """
+        wanted, out = trees or [at.shape[1]], {}
+        votes = np.zeros((len(at), self.share.shape[1])) if votes is None else votes
         for t in range(at.shape[1]):
             votes += self.share[at[:, t]]
             if t + 1 in wanted:
@@ -89,21 +92,23 @@ def forest_of(spark: SparkSession, model: RandomForestClassificationModel, path:
     """The nodes of a fitted forest, by way of its saved form at `path`."""
     model.write().overwrite().save(path)
     split = F.col("nodeData.split")
-    nodes = spark.read.parquet(f"{path}/data").select(
+    table = spark.read.parquet(f"{path}/data").select(
         "treeID", "nodeData.id", "nodeData.leftChild", "nodeData.rightChild", "nodeData.prediction", "nodeData.impurityStats",
-        split["featureIndex"].alias("feature"), F.get(split["leftCategoriesOrThreshold"], 0).alias("threshold"),
-    ).toPandas().sort_values(["treeID", "id"], ignore_index=True)
-    roots = np.flatnonzero(nodes["id"].to_numpy() == 0)
-    base = np.repeat(roots, np.diff(np.append(roots, len(nodes))))
+        split["featureIndex"].alias("feature"), F.coalesce(F.get(split["leftCategoriesOrThreshold"], 0), F.lit(0.0)).alias("threshold"),
+    ).toArrow()
+    order = np.lexsort((table["id"].to_numpy(), table["treeID"].to_numpy()))
+    nodes = {c: table[c].to_numpy()[order] for c in table.column_names if c != "impurityStats"}
+    roots = np.flatnonzero(nodes["id"] == 0)
+    base = np.repeat(roots, np.diff(np.append(roots, len(order))))
     left, right = (np.where(nodes[c] < 0, -1, nodes[c] + base).astype(np.int32) for c in ("leftChild", "rightChild"))
-    depth, level, at = np.zeros(len(nodes), np.int16), roots, 0
+    depth, level, at = np.zeros(len(order), np.int16), roots, 0
     while len(level):
         depth[level] = at
         inner = level[left[level] >= 0]
         level, at = np.concatenate([left[inner], right[inner]]), at + 1
-    stats = np.stack(nodes["impurityStats"].to_list())
+    stats = table["impurityStats"].combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order]
     total = stats.sum(1, keepdims=True)
     return Forest(
-        roots.astype(np.int32), np.maximum(nodes["feature"].to_numpy(), 0).astype(np.int16), nodes["threshold"].fillna(0.0).to_numpy(),
-        left, right, nodes["prediction"].to_numpy(), np.divide(stats, total, out=np.zeros_like(stats), where=total > 0), depth,
+        roots.astype(np.int32), np.maximum(nodes["feature"], 0).astype(np.int16), nodes["threshold"],
+        left, right, nodes["prediction"], np.divide(stats, total, out=np.zeros_like(stats), where=total > 0), depth,
     )

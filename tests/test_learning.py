@@ -125,6 +125,32 @@ def test_search_equals_counting_cut_by_cut(spark, trained):
     folded.unpersist()
 
 
+def test_search_grows_large_forests_in_batches(spark, trained, monkeypatch):
+    split, model = trained
+    train = ml.labelled_rows(split, model.names).where("not is_test")
+    prepared = ml.Pipeline(stages=ml.preparation(train.count(), len(model.names))).fit(train).transform(train)
+    folded = prepared.withColumn("fold", F.pmod(ml.row_hash(["symbol", "time"], ml.SEED), F.lit(3))).persist()
+    read, sizes = ml.forest_of, []
+    monkeypatch.setattr(ml, "forest_of", lambda spark, grown, path: sizes.append(grown.getNumTrees) or read(spark, grown, path))
+    monkeypatch.setattr(ml, "ROWS_GROWN", 3 * 3 * folded.where("fold != 0").count(), raising=False)
+    candidates = [{"numTrees": n, "maxDepth": d} for n in (2, 4, 7) for d in (3, 6)]
+    _, table = ml.random_search(split, model.names, candidates)
+    assert sum(sizes) == 3 * 7 and max(sizes) <= 4  # the folds' sizes differ a little
+    got = {r.parameters: r.accuracy for r in table.collect()}
+    rates = {str(c): 0.0 for c in candidates}
+    for k in range(3):
+        others, held = folded.where(F.col("fold") != k), folded.where(F.col("fold") == k).toPandas()
+        for d in (3, 6):
+            batches = ml.tree_batches(7, others.count(), 3)
+            trees = [t for b, n in enumerate(batches) for t in ml.forest(n, d, ml.SEED + (b << 32)).fit(others).trees]
+            shares = [[t.predictProbability(v).toArray() for t in trees] for v in held[ml.VECTOR]]
+            for n in (2, 4, 7):
+                hits = [sum(row[:n]).argmax() == label for row, label in zip(shares, held[ml.LABEL])]
+                rates[str({"numTrees": n, "maxDepth": d})] += np.mean(hits) / 3
+    assert got == pytest.approx(rates, abs=1e-12)
+    folded.unpersist()
+
+
 def test_rescored_paths_equal_whole_rescoring(spark, trained, grown, tmp_path):
     import pandas as pd
 
